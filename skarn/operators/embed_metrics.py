@@ -18,9 +18,9 @@ def nmi(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame
     by = by or []
     t = _contingency(df, a, b, by)
     w = Window.partitionBy(*by)
-    t = t.withColumn("N", F.sum("n").over(w)).withColumn("na", F.sum("n").over(Window.partitionBy(*by, "a"))).withColumn("nb", F.sum("n").over(Window.partitionBy(*by, "b")))
-    p = F.col("n") / F.col("N")
-    s = t.groupBy(*by).agg(F.sum(p * F.log(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("i"), F.sum(-p * F.log(F.col("na") / F.col("N"))).alias("ha"), F.sum(-p * F.log(F.col("nb") / F.col("N"))).alias("hb"))
+    t = t.withColumn("total", F.sum("n").over(w)).withColumn("na", F.sum("n").over(Window.partitionBy(*by, "a"))).withColumn("nb", F.sum("n").over(Window.partitionBy(*by, "b")))
+    p = F.col("n") / F.col("total")
+    s = t.groupBy(*by).agg(F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("i"), F.sum(-p * F.log(F.col("na") / F.col("total"))).alias("ha"), F.sum(-p * F.log(F.col("nb") / F.col("total"))).alias("hb"))
     return s.select(*by, F.when(F.col("ha") + F.col("hb") < 1e-12, 1.0).otherwise(2 * F.col("i") / (F.col("ha") + F.col("hb"))).alias("nmi"))
 
 
@@ -129,11 +129,11 @@ def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k
     e = graph.knn(emb, k, "cosine", within=[label])
     obs = e.join(emb.select(F.col("cell_id").alias("j"), F.col(batch).alias("b")), "j").groupBy(label, "i", "b").agg(F.count("*").alias("o"))
     share = emb.groupBy(label, F.col(batch).alias("b")).agg(F.count("*").alias("n"))
-    share = share.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy(label))).withColumn("B", F.count("*").over(Window.partitionBy(label))).where("B > 1")
+    share = share.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy(label))).withColumn("n_batches", F.count("*").over(Window.partitionBy(label))).where("n_batches > 1")
     size = e.groupBy(label, "i").agg(F.count("*").alias("k"))
     x = size.join(share, label).join(obs, [label, "i", "b"], "left")
     want = F.col("k") * F.col("f")
-    return x.groupBy(label, "i").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - want, 2) / want).alias("chi2"), (F.max("B") - 1).alias("df"))
+    return x.groupBy(label, "i").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - want, 2) / want).alias("chi2"), (F.max("n_batches") - 1).alias("df"))
 
 
 def kbet_per_label(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, alpha: float = 0.05) -> DataFrame:

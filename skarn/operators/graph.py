@@ -53,7 +53,8 @@ def _with_cat(emb: DataFrame, cat: str | None) -> DataFrame:
 
 def knn(emb: DataFrame, k: int = 15, metric: str = "cosine", *, within: list[str] | None = None, queries: DataFrame | None = None, itself: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """edges (within, i, j, rank, distance): k - 1 others of each cell (k of them for a table of queries), ties by j."""
-    n = k if queries is not None or itself else k - 1
+    others = queries is None and not itself
+    n = k - 1 if others else k
     keys = within or []
 
     def run(batches):
@@ -62,7 +63,7 @@ def knn(emb: DataFrame, k: int = 15, metric: str = "cosine", *, within: list[str
                 ia, x, _ = _vectors(b.column(len(keys))[r])
                 ib, y, _ = _vectors(b.column(len(keys) + 1)[r])
                 d = np.round(distances(x, y, metric), 6) + 0.0
-                if queries is None and not itself:
+                if others:
                     d[ia[:, None] == ib[None, :]] = np.inf
                 m = min(n, d.shape[1])
                 if not m:
