@@ -151,7 +151,7 @@ def m7b(s, d):
 
 
 _KB = f"""{EMB}, {_DIST}, kn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM pr WHERE la = lb QUALIFY r <= 14), ob AS (SELECT la AS label, i, bb AS b, count(*) AS o FROM kn GROUP BY ALL), sz AS (SELECT la AS label, i, count(*) AS k FROM kn GROUP BY ALL),
-  fr AS (SELECT label, batch AS b, count(*) / sum(count(*)) OVER (PARTITION BY label) AS f, count(*) OVER (PARTITION BY label) AS nb FROM emb GROUP BY ALL QUALIFY nb > 1)"""
+  f0 AS (SELECT label, batch AS b, count(*) AS n FROM emb GROUP BY ALL), f1 AS (SELECT label, b, n / sum(n) OVER (PARTITION BY label) AS f, count(*) OVER (PARTITION BY label) AS nb FROM f0), fr AS (SELECT * FROM f1 WHERE nb > 1)"""
 
 
 @query("m8_kbet_statistic", f"WITH {_KB} SELECT sz.label, sz.i, round(sum((coalesce(o, 0) - k * f) ** 2 / (k * f)), 6) AS chi2, max(nb) - 1 AS df FROM sz JOIN fr USING (label) LEFT JOIN ob ON ob.label = sz.label AND ob.i = sz.i AND ob.b = fr.b GROUP BY ALL")
@@ -189,7 +189,7 @@ def m10(s, d):
     return M.knn_label_scores(A.embeddings(s, d)).withColumns({c: r6(c) for c in _R4})
 
 
-@query("m11_batch_pred_acc", f"WITH {_KC.replace('label', 'batch')} SELECT round(avg(CAST(batch = pred AS INTEGER)), 6) AS batch_pred_acc FROM kc")
+@query("m11_batch_pred_acc", f"WITH {EMB.replace("'B' || (vec_id % 4) AS batch", "0 AS z").replace("'L' || label AS label", "'B' || (vec_id % 4) AS label")}, {_KC.split(', rl AS', 1)[1].join(('rl AS', ''))} SELECT round(avg(CAST(label = pred AS INTEGER)), 6) AS batch_pred_acc FROM kc")
 def m11(s, d):
     return M.batch_pred_acc(A.embeddings(s, d)).select(r6("batch_pred_acc").alias("batch_pred_acc"))
 

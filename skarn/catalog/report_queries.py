@@ -11,12 +11,12 @@ def _names(s, d):
     return sorted(r[0] for r in A.read(s, d, "events").select("event_type").distinct().collect())  # metric names: a handful
 
 
-@query("r1_widen", f"WITH {METRICS}, m AS (SELECT run_id, fold, metric, min(value) AS v FROM metrics GROUP BY ALL) SELECT run_id, fold, list({{'metric': metric, 'value': v}} ORDER BY metric) AS wide FROM m GROUP BY ALL")
+@query("r1_widen", f"WITH {METRICS}, m AS (SELECT run_id, fold, metric, min(value) AS v FROM metrics GROUP BY ALL) SELECT run_id, fold, list(metric ORDER BY metric) AS names, list(v ORDER BY metric) AS values FROM m GROUP BY ALL")
 def r1(s, d):
     names = _names(s, d)
     w = R.widen(A.metrics(s, d), ["run_id", "fold"], names)
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names]), lambda x: x["value"].isNotNull())
-    return w.select("run_id", "fold", pairs.alias("wide"))
+    return w.select("run_id", "fold", pairs.alias("wide")).select("run_id", "fold", F.col("wide.metric").alias("names"), F.col("wide.value").alias("values"))
 
 
 @query("r2_combine_strategies", f"WITH {METRICS} SELECT run_id, exp, model, metric, value, CASE WHEN strategy = 'avg' THEN fold END AS fold, strategy FROM metrics WHERE exp <> 'exp3'")
@@ -58,11 +58,11 @@ def r7(s, d):
     return R.task_model_matrix(A.metrics(s, d), list(MODELS))
 
 
-@query("r8_cross_table", f"WITH {METRICS}, c AS (SELECT strategy, exp, metric, round(avg(value), 3) AS v FROM metrics GROUP BY ALL) SELECT strategy, exp, list({{'metric': metric, 'value': v}} ORDER BY metric) AS row FROM c GROUP BY ALL")
+@query("r8_cross_table", f"WITH {METRICS}, c AS (SELECT strategy, exp, metric, round(avg(value), 3) AS v FROM metrics GROUP BY ALL) SELECT strategy, exp, list(metric ORDER BY metric) AS names, list(v ORDER BY metric) AS values FROM c GROUP BY ALL")
 def r8(s, d):
     names = _names(s, d)
     w = R.cross_table(A.metrics(s, d), names)
-    return w.select("strategy", "exp", F.filter(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names]), lambda x: x["value"].isNotNull()).alias("row"))
+    return w.select("strategy", "exp", F.filter(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names]), lambda x: x["value"].isNotNull()).alias("row")).select("strategy", "exp", F.col("row.metric").alias("names"), F.col("row.value").alias("values"))
 
 
 @query("r9_task_snr", f"WITH {METRICS}, m AS (SELECT exp, model, avg(value) / stddev_samp(value) AS r FROM metrics GROUP BY ALL) SELECT exp, round(avg(r), 6) AS snr FROM m GROUP BY 1")
@@ -156,11 +156,11 @@ def r16b(s, d):
     return R.aggregate_bootstrap(_failing(s, d), ["model", "metric"])[1].drop("value")
 
 
-@query("r17_embedding_rows", f"WITH {METRICS}, c AS (SELECT run_id, strategy || '::' || metric AS k, round(avg(value), 6) AS v FROM metrics GROUP BY ALL) SELECT run_id, list({{'name': k, 'value': v}} ORDER BY k) AS row FROM c GROUP BY 1")
+@query("r17_embedding_rows", f"WITH {METRICS}, c AS (SELECT run_id, strategy || '::' || metric AS k, round(avg(value), 6) AS v FROM metrics GROUP BY ALL) SELECT run_id, list(k ORDER BY k) AS names, list(v ORDER BY k) AS values FROM c GROUP BY 1")
 def r17(s, d):
     names = sorted(f"{a}::{n}" for a in ("avg", "vote") for n in _names(s, d))
     w = R.embedding_rows(A.metrics(s, d), "strategy", names)
-    return w.select("run_id", F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names]), lambda x: x["value"].isNotNull()).alias("row"))
+    return w.select("run_id", F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names]), lambda x: x["value"].isNotNull()).alias("row")).select("run_id", F.col("row.name").alias("names"), F.col("row.value").alias("values"))
 
 
 @query("r18_combine_methods", f"WITH {METRICS} SELECT model AS method, exp AS task, value AS score FROM metrics WHERE strategy = 'avg' AND metric <> 'error' UNION ALL SELECT model, exp, value FROM metrics WHERE strategy = 'vote'")
@@ -174,11 +174,11 @@ def r19(s, d):
     return R.compare_variants(A.metrics(s, d), {"gf_v2_ft": "finetuned", "scGPT_cancer": "finetuned", "GF-V1": "frozen", "scgpt_bc": "frozen"})
 
 
-@query("r20_metric_profile", f"WITH {METRICS}, c AS (SELECT model, metric, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(stddev_samp(value), 6), 0) AS sd FROM metrics GROUP BY ALL), g AS (SELECT m.model, n.metric, coalesce(mean, 0) AS mean, coalesce(sd, 0) AS sd FROM (SELECT DISTINCT model FROM metrics) m CROSS JOIN (SELECT DISTINCT metric FROM metrics) n LEFT JOIN c USING (model, metric)) SELECT model, list({{'metric': metric, 'mean': mean, 'sd': sd}} ORDER BY metric) AS profile FROM g GROUP BY 1")
+@query("r20_metric_profile", f"WITH {METRICS}, c AS (SELECT model, metric, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(stddev_samp(value), 6), 0) AS sd FROM metrics GROUP BY ALL), g AS (SELECT m.model, n.metric, coalesce(mean, 0) AS mean, coalesce(sd, 0) AS sd FROM (SELECT DISTINCT model FROM metrics) m CROSS JOIN (SELECT DISTINCT metric FROM metrics) n LEFT JOIN c USING (model, metric)) SELECT model, list(metric ORDER BY metric) AS names, list(mean ORDER BY metric) AS means, list(sd ORDER BY metric) AS sds FROM g GROUP BY 1")
 def r20(s, d):
     names = _names(s, d)
     w = R.metric_profile(A.metrics(s, d), "model", names)
-    return w.select("model", F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}_mean`").alias("mean"), F.col(f"`{n}_sd`").alias("sd")) for n in names]).alias("profile"))
+    return w.select("model", F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}_mean`").alias("mean"), F.col(f"`{n}_sd`").alias("sd")) for n in names]).alias("p")).select("model", F.col("p.metric").alias("names"), F.col("p.mean").alias("means"), F.col("p.sd").alias("sds"))
 
 
 _RULES = [("hvg", "log_normalized", "error"), ("pca_n20", "log_normalized", "warning"), ("GF-V1", "raw_counts", "error"), ("scGPT_cancer", "raw_counts", "error"), ("scVI", "raw_counts", "warning")]

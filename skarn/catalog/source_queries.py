@@ -97,10 +97,10 @@ def s9(s, d):
     return out.select("run_id", F.size("evaluations").cast("long").alias("n_evaluations"), (last["kind"] == "classification").alias("replaced"))
 
 
-@query("s10_parse_cv_metrics", f"WITH {METRICS}, p AS (SELECT run_id, metric, fold, round(avg(value), 6) AS value FROM metrics GROUP BY ALL) SELECT run_id, metric, list(value ORDER BY fold) AS folds, round(avg(value), 6) AS mean FROM p GROUP BY ALL")
+@query("s10_parse_cv_metrics", f"WITH {METRICS}, p AS (SELECT run_id, metric, fold, avg(value) AS value FROM metrics GROUP BY ALL) SELECT run_id, metric, list(round(value, 9) ORDER BY fold) AS folds, round(avg(value), 9) AS mean FROM p GROUP BY ALL")
 def s10(s, d):
-    x = A.metrics(s, d).groupBy("run_id", "metric", F.concat(F.lit("fold_"), "fold").alias("name")).agg(r6(F.avg("value")).alias("value"))
-    return runs.parse_cv_metrics(x).select("run_id", "metric", F.col("folds.value").alias("folds"), r6("mean").alias("mean"))
+    x = A.metrics(s, d).groupBy("run_id", "metric", F.concat(F.lit("fold_"), "fold").alias("name")).agg(F.avg("value").alias("value"))
+    return runs.parse_cv_metrics(x).select("run_id", "metric", F.transform("folds", lambda f: F.round(f["value"], 9)).alias("folds"), F.round("mean", 9).alias("mean"))
 
 
 @query("s11_read_gene_panel", "SELECT p_name || '-' || p_partkey AS gene_id, count(*) AS n FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1")
@@ -128,7 +128,7 @@ def s13(s, d):
 @query("s14_ledger_stream", f"WITH {METRICS} SELECT run_id, count(*) AS n FROM metrics GROUP BY 1")
 def s14(s, d):
     root = shared_dir(s)
-    rows = A.read(s, d, "events").groupBy(F.concat(F.lit("r"), "user_id").alias("run_id")).agg(F.count("*").alias("n"), F.min("ts").alias("started"))
+    rows = A.read(s, d, "events").groupBy(F.concat(F.lit("r"), "user_id").alias("run_id")).agg(F.count("*").alias("n"), F.min("ts").cast("timestamp").alias("started"))
     rows.write.parquet(f"{root}/in")
     again = s.read.parquet(f"{root}/in")
     again.write.mode("append").parquet(f"{root}/in")  # every run arrives twice

@@ -176,7 +176,7 @@ def search_catalog(df: DataFrame, facets: dict[str, list[str]], text: str = "")
     """Array facets hold any of the wanted values, plain ones are among them; text occurs in the name, status or an array."""
     for c, wanted in facets.items():
         kind = dict(df.dtypes)[c]
-        df = df.where(F.exists(c, lambda x, w=wanted: x.isin(w)) if kind.startswith("array") else F.col(c).isin(wanted))
+        df = df.where(F.arrays_overlap(c, F.array(*map(F.lit, wanted))) if kind.startswith("array") else F.col(c).isin(wanted))
     if text:
         df = df.where(F.lower(F.concat_ws(" ", "model_name", "status", "modalities")).contains(text.lower()))
     return df
