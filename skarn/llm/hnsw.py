@@ -45,8 +45,8 @@ class Graph:
         size = [int((level >= k).sum()) for k in range(level.max(initial=0) + 1)]
         self.order = order
         self.u = v[order]
-        top = max((k for k, s in enumerate(size) if s >= TOP), default=0)
-        self.top = size[min(top, len(size) - 1)] if size else 0
+        top = next((k for k, s in enumerate(size) if s <= TOP), len(size) - 1)
+        self.top = size[top] if size else 0
         self.layers: list[np.ndarray] = []
         while self.top > 4 * TOP:  # no layer is small: the first rows serve as one
             self.top //= 2
