@@ -98,7 +98,7 @@ _PB = f"{EXPR}, {CELLS}, pb AS (SELECT sample_id, gene_id, sum(value) / any_valu
 def v11(s, d):
     x, c = A.expr(s, d), A.cells(s, d)
     pb = PT.pseudobulk(x, c)
-    grid = c.select("sample_id").distinct().crossJoin(F.broadcast(x.select("gene_id").distinct()))
+    grid = c.select("sample_id").distinct().crossJoin(x.select("gene_id").distinct())
     return V.top_variance(grid.join(pb, ["sample_id", "gene_id"], "left").select("sample_id", "gene_id", F.coalesce("mean", F.lit(0.0)).alias("value")), 30)
 
 

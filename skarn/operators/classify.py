@@ -50,7 +50,7 @@ def cross_validate(emb: DataFrame, cells: DataFrame, roles: DataFrame, name: str
     def one(job):
         strategy, fold = job
         r = roles.where(F.col("fold") == fold)
-        x = (sample if strategy == "avg" else cell).join(F.broadcast(r.select("sample_id", "label", "role")), "sample_id")
+        x = (sample if strategy == "avg" else cell).join(r.select("sample_id", "label", "role"), "sample_id")
         p = fit_score(x.where("role = 'train'").drop("role"), x.where("role = 'test'").drop("role"), name, params, seed)
         if strategy == "vote":
             p = patient.vote(p.withColumn("sample_id", F.concat_ws("\u0001", "role", "sample_id"))).select(F.split("sample_id", "\u0001")[0].alias("role"), F.split("sample_id", "\u0001")[1].alias("sample_id"), "label", "pred", "pred_score")

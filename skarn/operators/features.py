@@ -11,7 +11,7 @@ def _dispersions(moments: DataFrame, by: list[str], n_bins: int) -> DataFrame:
     """moments(gene_id, by, mean, var) -> normalised dispersions: z-scores inside equal-width bins of log1p(mean)."""
     d = moments.withColumn("disp", F.when((F.col("var") > 0) & (F.col("mean") > 0), F.log(F.col("var") / F.col("mean")))).withColumn("m", F.log1p("mean"))
     ends = d.groupBy(*by).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    d = d.join(F.broadcast(ends), by) if by else d.crossJoin(F.broadcast(ends))
+    d = d.join(ends, by) if by else d.crossJoin(F.broadcast(ends))
     place = F.ceil(F.round((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins, 9))
     d = d.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.greatest(place, F.lit(1))).otherwise(1))
     s = d.groupBy(*by, "bin").agg(F.avg("disp").alias("avg_bin"), F.stddev_samp("disp").alias("sd_bin"), F.count("disp").alias("n_bin"))
@@ -32,7 +32,7 @@ def hvg_by_batch(expr: DataFrame, cells: DataFrame, n_top: int, n_bins: int = 20
     """Per batch, then genes by the number of batches that chose them and by mean z."""
     sizes = cells.groupBy("batch").agg(F.count("*").alias("n"))
     x = expr.withColumn("value", F.expm1("value")).join(cells.select("cell_id", "batch"), "cell_id")
-    m = x.groupBy("gene_id", "batch").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(F.broadcast(sizes), "batch")
+    m = x.groupBy("gene_id", "batch").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(sizes, "batch")
     m = m.select("gene_id", "batch", (F.col("s") / F.col("n")).alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var"))
     d = _dispersions(m, ["batch"], n_bins).where("z is not null").withColumn("z", F.round("z", 6))
     rank = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("z"), "gene_id"))
@@ -57,7 +57,7 @@ def hvg_v3(expr: DataFrame, n_cells: int, n_top: int) -> DataFrame:
     m = m.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), c[0] + c[1] * F.col("x") + c[2] * F.col("x") * F.col("x"))))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(float(n_cells) ** 0.5))
     z0 = -F.col("mean") / F.col("sd")
-    v = expr.join(F.broadcast(m.select("gene_id", "mean", "sd")), "gene_id").groupBy("gene_id").agg(F.sum(z * z).alias("q"), F.count("*").alias("k"), F.first(z0).alias("z0"))
+    v = expr.join(m.select("gene_id", "mean", "sd"), "gene_id").groupBy("gene_id").agg(F.sum(z * z).alias("q"), F.count("*").alias("k"), F.first(z0).alias("z0"))
     return v.select("gene_id", ((F.col("q") + (n_cells - F.col("k")) * F.col("z0") * F.col("z0")) / (n_cells - 1)).alias("norm_var")).orderBy(F.desc("norm_var"), "gene_id").limit(n_top)
 
 

@@ -20,14 +20,14 @@ def block_pairs(left: DataFrame, right: DataFrame, within: list[str] | None = No
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         n = df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
-        x = df.join(F.broadcast(n), keys) if keys else df.crossJoin(F.broadcast(n))
+        x = df.join(n, keys) if keys else df.crossJoin(F.broadcast(n))
         x = x.withColumn("block", F.pmod(F.xxhash64("cell_id"), "n_blocks").cast("int"))
         return x.groupBy(*keys, "block", "n_blocks").agg(F.collect_list(F.struct("cell_id", "embedding", "cat")).alias(name))
 
     a, b = blocks(left, "a"), blocks(right, "b")
     counts = b.groupBy(*keys).agg(F.max("n_blocks").alias("n"))
     a = a.drop("n_blocks").withColumnRenamed("block", "i")
-    a = a.join(F.broadcast(counts), keys) if keys else a.crossJoin(F.broadcast(counts))
+    a = a.join(counts, keys) if keys else a.crossJoin(F.broadcast(counts))
     a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return a.join(b.drop("n_blocks"), [*keys, "block"]).select(*keys, "a", "b")
 

@@ -13,7 +13,7 @@ def pseudobulk(expr: DataFrame, cells: DataFrame, sample: str = "sample_id") ->
     """Mean expression by sample and gene; zeros of cells without a row count."""
     n = cells.groupBy(sample).agg(F.count("*").alias("n"))
     s = expr.join(cells.select("cell_id", sample), "cell_id").groupBy(sample, "gene_id").agg(F.sum("value").alias("s"))
-    return s.join(F.broadcast(n), sample).select(sample, "gene_id", (F.col("s") / F.col("n")).alias("mean"))
+    return s.join(n, sample).select(sample, "gene_id", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def composition(cells: DataFrame, sample: str = "sample_id", cell_type: str = "cell_type", types: list[str] | None = None) -> DataFrame:
@@ -78,9 +78,9 @@ def bag_table(frame: DataFrame, bag: str) -> DataFrame:
 def marker_table(expr: DataFrame, clusters: DataFrame, markers: DataFrame) -> DataFrame:
     """clusters(cell_id, cluster), markers(gene_id): mean expression and detected share by cluster, the mean scaled to 0..1 over clusters; absent markers have nulls."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    x = expr.join(F.broadcast(markers.select("gene_id").distinct()), "gene_id").join(clusters, "cell_id").groupBy("cluster", "gene_id").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("k"))
+    x = expr.join(markers.select("gene_id").distinct(), "gene_id").join(clusters, "cell_id").groupBy("cluster", "gene_id").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("k"))
     there = expr.select("gene_id").distinct().join(markers.select("gene_id").distinct(), "gene_id", "left_semi")
-    grid = there.crossJoin(F.broadcast(size)).join(x, ["cluster", "gene_id"], "left")  # markers x clusters
+    grid = there.crossJoin(size).join(x, ["cluster", "gene_id"], "left")  # markers x clusters
     g = grid.select("gene_id", "cluster", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("detected"))
     w = Window.partitionBy("gene_id")
     lo, hi = F.min("mean").over(w), F.max("mean").over(w)

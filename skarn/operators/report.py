@@ -65,7 +65,7 @@ def task_snr(metrics: DataFrame) -> DataFrame:
 
 def with_model_size(df: DataFrame, sizes: DataFrame, baseline: bool = False) -> DataFrame:
     """sizes(model, n_params) joined; models without parameters apart."""
-    x = df.join(F.broadcast(sizes), "model")
+    x = df.join(sizes, "model")
     return x.where("n_params = 0" if baseline else "n_params > 0")
 
 
@@ -151,7 +151,7 @@ def metric_profile(df: DataFrame, by: str, names: list[str]) -> DataFrame:
 
 def validate_runs(runs: DataFrame, rules: DataFrame) -> DataFrame:
     """runs(run_id, method, kind, normalize), rules(method, needs, level): one row per breach."""
-    x = runs.join(F.broadcast(rules), "method", "left")
+    x = runs.join(rules, "method", "left")
     checks = F.array(
         F.when(F.col("needs").isNull(), F.struct(F.lit("warning").alias("severity"), F.lit("no rule for the method").alias("message"))),
         F.when((F.col("needs") == "raw_counts") & (F.col("kind") != "raw_counts"), F.struct(F.col("level").alias("severity"), F.lit("needs raw counts").alias("message"))),

@@ -27,7 +27,7 @@ def scan_runs(spark: SparkSession, root: str, filename: str, contains: str = "")
 
 
 def attach_metadata(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(meta), "run_id", "left")
+    return rows.join(meta, "run_id", "left")
 
 
 def parse_cv_metrics(df: DataFrame) -> DataFrame:
