@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRADES, WIDTH, RATIO, LEAST = 4, 1 << 20, 5, 10
+#: Features are seen in at least the share LEAST of toxic rows (and 3), and RATIO times as often as in clean ones.
+#: The fit weighs both classes alike; a document counts as toxic from the chance TOXIC on, which one plain insult in a long text reaches.
+GRADES, WIDTH, RATIO, LEAST, TOXIC = 4, 1 << 20, 20, 0.015, 0.25
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,7 +68,7 @@ def fit(rows: list[tuple[dict[int, int], int | None, int]], kept: int = 2000, st
     c = np.asarray(list(seen.values()), "f8")
     p0, p1 = (c[:, 0] + 0.5) / (n0 + 1), (c[:, 1] + 0.5) / (n1 + 1)
     z = np.abs(p1 - p0) / np.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-    use = np.flatnonzero((c.sum(1) >= LEAST) & (p1 >= RATIO * p0))
+    use = np.flatnonzero((c[:, 1] >= max(3, LEAST * n1)) & (p1 >= RATIO * p0))
     use = use[np.lexsort((keys[use], -z[use]))[:kept]]
     telltale = {int(k) for k in keys[use][p1[use] >= 20 * p0[use]]}
     columns = {int(k): i for i, k in enumerate(keys[use])}
@@ -150,7 +152,7 @@ def severity(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             over = _over(b.column(1).to_pylist(), model, of)
             each = -np.diff(np.c_[np.ones(len(over)), over, np.zeros(len(over))], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(over.sum(1)), pa.array(each.argmax(1).astype("i4")), pa.array(over[:, 0]), pa.array((over[:, 0] >= 0.5).astype("i4"))],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(over.sum(1)), pa.array(each.argmax(1).astype("i4")), pa.array(over[:, 0]), pa.array((over[:, 0] >= TOXIC).astype("i4"))],
                                              names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -158,12 +160,12 @@ def severity(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def harmless(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, all columns as they are, whose chance of any grade over 0 is under one half."""
+    """The rows of docs, all columns as they are, whose chance of any grade over 0 is under TOXIC."""
     text = docs.columns.index("text")
 
     def run(batches):
         of = _known(model)
         for b in batches:
-            yield b.filter(pa.array(_over(b.column(text).cast("string").to_pylist(), model, of)[:, 0] < 0.5))
+            yield b.filter(pa.array(_over(b.column(text).cast("string").to_pylist(), model, of)[:, 0] < TOXIC))
 
     return docs.mapInArrow(run, docs.schema)
