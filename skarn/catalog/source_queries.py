@@ -81,7 +81,7 @@ def _evals(s, d):
 _EV = f"{METRICS}, ev AS (SELECT exp AS run_id, 'classification' AS kind, strategy AS variant, fold, metric, round(avg(value), 6) AS value FROM metrics GROUP BY ALL)"
 
 
-@query("s8_build_results", f"WITH {_EV}, ag AS (SELECT run_id, kind, variant, metric, avg(value) AS v FROM ev GROUP BY ALL) SELECT run_id, kind, variant, count(DISTINCT fold) AS n_folds, round(sum(v), 6) AS total FROM ev JOIN ag USING (run_id, kind, variant, metric) WHERE fold = 0 GROUP BY ALL")
+@query("s8_build_results", f"WITH {_EV}, ag AS (SELECT run_id, kind, variant, metric, avg(value) AS v FROM ev GROUP BY ALL), tl AS (SELECT run_id, kind, variant, round(sum(v), 6) AS total FROM ag GROUP BY ALL) SELECT run_id, kind, variant, CAST(bool_or(fold = 0) AS BIGINT) AS n_folds, any_value(total) AS total FROM ev JOIN tl USING (run_id, kind, variant) GROUP BY ALL")
 def s8(s, d):
     e = runs.build_results(_evals(s, d)).select("run_id", F.explode("evaluations").alias("e"))
     return e.select("run_id", "e.kind", "e.variant", F.size(F.filter("e.folds", lambda f: f["fold"] == 0)).cast("long").alias("n_folds"), r6(F.aggregate(F.map_values("e.aggregate"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
