@@ -4,8 +4,8 @@ Equal vectors are collapsed first. The distinct ones are dealt to shards by a ha
 reads its vectors, builds its layers, then streams all queries through them in batches, so memory holds one
 shard and one batch. Searches run in lockstep: a step advances every query of a batch by numpy operations.
 
-A query's beam is widened until its worst entry is under the threshold, so that groups of near copies larger than the
-beam are found whole; and for each batch an audit compares the links of a hashed share of its queries with brute
+A query's beam is widened until its worst entry is under the threshold and no more links turn up, so that groups of near copies
+larger than the beam are found whole; and for each batch an audit compares the links of a hashed share of its queries with brute
 force over the shard: under the wanted recall the batch's beam doubles and the batch is searched again, up to the
 shard's size, where the search is exact. Cosines of found links are recomputed in double precision.
 
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 #: Neighbours kept in upper layers (twice as many in the lowest), beams for building and searching, share of audited queries.
-M, BUILD_BEAM, BEAM, AUDITED, RECALL = 12, 40, 32, 1 / 16, 0.99
+M, BUILD_BEAM, BEAM, AUDITED, RECALL = 8, 24, 16, 1 / 16, 0.99
+#: A step of a graph search costs about as much as this many comparisons of a whole scan for each it makes.
+STEP = 16
+#: Places in each list for links to members that nothing else leads to.
+REPAIRS = 4
 #: Rows of a layer that are compared directly instead of by a graph; queries searched at once.
 TOP, LANES = 256, 4096
 
@@ -155,12 +159,32 @@ class Graph:
                 o = np.argsort(-s, axis=1)
                 links[rows] = self._chosen(np.take_along_axis(both, o, 1), np.take_along_axis(s, o, 1), width)
             at = stop
+        if width == 2 * M:
+            links = self._connected(links, max(1, start))
         self.layers.append(links)
 
+    def _connected(self, links: np.ndarray, sources: int) -> np.ndarray:
+        """The lowest layer with links to what its first rows (those of the layer above) don't lead to, from the nearest they do."""
+        links = np.concatenate([links, np.full((len(links), REPAIRS), -1, "i4")], axis=1)
+        for k in range(2 * REPAIRS):
+            seen, wave = np.zeros(len(links), bool), np.arange(sources)
+            seen[wave] = True
+            while len(wave):
+                wave = np.unique(links[wave])
+                wave = wave[(wave >= 0) & ~seen[wave]]
+                seen[wave] = True
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            near = self._search(self.u[lost], links, _first_only(self._descend(self.u[lost], 8)), BUILD_BEAM)[0][:, 0]
+            near, first = np.unique(near, return_index=True)
+            links[near, 2 * M + k % REPAIRS] = lost[first]
+        return links
+
     def _descend(self, q: np.ndarray, beam: int) -> np.ndarray:
         entry = self._entry(q, 4)
         for links in self.layers:
-            if links.shape[1] == 2 * M:
+            if links.shape[1] > M:  # the lowest
                 break
             entry = self._search(q, links, entry, beam)[0]
         return entry
@@ -193,17 +217,20 @@ class Shard:
         slack, n = np.float32(self.threshold - 1e-5), len(self.ids)
         if self.graph is None or beam * 2 * M >= n:
             return np.nonzero(q.astype("f4") @ self.flat.T >= slack)
-        out, rows = [], np.arange(len(q))
+        out, rows, before, wide = [], np.arange(len(q)), np.zeros(len(q), "i8"), False
         while len(rows):
-            if beam * 2 * M >= n:  # as many comparisons as the shard has members: all of them
+            if wide and beam * 2 * M * STEP >= n:  # a wider search would cost more than comparing all members
                 a, b = np.nonzero(q[rows].astype("f4") @ self.flat.T >= slack)
                 out.append((rows[a], b))
                 break
             ids, sims = self.graph.search(q[rows].astype("f4"), beam)
-            full = sims[:, -1] >= slack
-            a, b = np.nonzero((sims >= slack) & ~full[:, None])
+            hit = sims >= slack
+            count = hit.sum(1)
+            again = hit[:, -1] | (count > before[rows])  # a full beam, or one that still finds more
+            a, b = np.nonzero(hit & ~again[:, None])
             out.append((rows[a], ids[a, b]))
-            rows, beam = rows[full], beam * 4
+            before[rows] = count
+            rows, beam, wide = rows[again], beam * 4, True
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
     def query(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -299,7 +326,7 @@ def _shards(threshold: float, lanes: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 16, shard_rows: int = 500_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6, shard_rows: int = 500_000) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept. At least `shards` shards; more where one would pass shard_rows."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
