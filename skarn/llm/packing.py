@@ -33,8 +33,8 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int)
         encode, part, seen = text_encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encode.bytes_of(text) + end
+            for doc, raw in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
+                raw += end
                 n = len(raw) // 4
                 at = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):

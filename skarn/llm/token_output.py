@@ -33,7 +33,7 @@ def _encoded(tokenizer: str, end_id: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                raw = [encode.bytes_of(t) + end for t in b.column(1).to_pylist()]
+                raw = [r + end for r in encode.many(b.column(1).to_pylist())]
                 n = np.asarray([len(r) // 4 for r in raw], "i8")
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(
@@ -87,7 +87,8 @@ def _with_start(rows: DataFrame, meta: DataFrame) -> DataFrame:
     )
     cols = [c for c in rows.columns if c not in ("part", "first")]
     start = (F.col("before") + F.col("first")).alias("start")
-    return rows.join(before, "part").select(cols[0], start, *cols[1:])
+    # a row per range, as many as spark.sql.shuffle.partitions: small enough to go to every task
+    return rows.join(F.broadcast(before), "part").select(cols[0], start, *cols[1:])
 
 
 def with_checksum(tokens: DataFrame) -> DataFrame:

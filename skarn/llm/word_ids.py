@@ -1,70 +1,87 @@
 """Token ids of whole texts by the tokenizers library, one distinct word at a time.
 
 The library's byte-level pre-tokeniser always starts a new piece at a blank or line feed that follows
-a character which is not white space, so a text's ids are the ids of its parts between such places,
-one after another. Words repeat; each is encoded once per worker and looked up afterwards.
+a character which is not white space, and between letters and a following run of signs without apostrophe. A text's ids are
+therefore the ids of its parts between such places, one after another. Words repeat; each is encoded once per worker and looked up
+afterwards. Words not seen before are encoded together.
 """
 
 import re
+import sys
+from array import array
+from itertools import filterfalse
 
-_ODD = re.compile(r"[^\S \n]|[ \n](?=[ \n])|\A[ \n]|[ \n]\Z")
+#: Marks keys that are encoded as they stand; others follow a blank. No text holds a lone surrogate.
+_AS_IS = "\ud800"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_TAIL = re.compile(r"([^\W\d_]+)([^\w\s']+)\Z")
 _ENCODERS: dict = {}
 #: Words remembered by a worker before the older half is let go.
-REMEMBERED = 400_000
-
-
-class _Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; lead is put before the word."""
-
-    def __init__(self, encode, lead):
-        self.encode, self.lead, self.old = encode, lead, {}
-
-    def __missing__(self, word):
-        found = self.old.get(word)
-        if found is None:
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                found = self[word[:-1]] + self.encode(word[-1])
-            else:
-                found = self.encode(self.lead + word)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+REMEMBERED = 500_000
 
 
 class TextEncoder:
-    """bytes_of(text): the text's ids as little-endian unsigned 32-bit integers."""
+    """many(texts): each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path):
-        import numpy as np
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-        def encode(text):
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        self.after_blank, self.whole = _Words(encode, " "), _Words(encode, "")
-
-    def bytes_of(self, text):
+    def _keys(self, text):
         if not text:
-            return b""
-        if _ODD.search(text):
-            return b"".join(map(self.whole.__getitem__, _CUT.split(text)))
-        first, *lines = text.split("\n")
-        head, *words = first.split(" ")
-        out = [self.whole[head], *map(self.after_blank.__getitem__, words)]
-        for line in lines:
-            head, *words = line.split(" ")
-            out.append(self.whole["\n" + head])
-            out.extend(map(self.after_blank.__getitem__, words))
-        return b"".join(out)
+            return []
+        if " ".join(text.split()) != text.replace("\n", " "):  # white space that is not single blanks and line feeds between words
+            return [_AS_IS + p for p in _CUT.split(text)]
+        return (_AS_IS + text.replace("\n", f" {_AS_IS}\n {_AS_IS}")).split(" ")
+
+    def _encode(self, pieces):
+        out = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in out:
+                a.byteswap()
+        return [a.tobytes() for a in out]
+
+    def _learn(self, new):
+        """Encode keys that aren't remembered."""
+        if self.old:
+            self.ids.update((k, self.old[k]) for k in new & self.old.keys())
+            new = new - self.old.keys()
+        split, plain, ids, tail = [], set(), self.ids, _TAIL.match
+        for k in new:
+            as_is = k[0:1] == _AS_IS
+            if m := tail(k, as_is):
+                a, b = _AS_IS * as_is + m[1], _AS_IS + m[2]
+                split.append((k, a, b))
+                plain.add(a)
+                plain.add(b)
+            else:
+                plain.add(k)
+        plain -= ids.keys()
+        plain = list(plain)
+        ids.update(zip(plain, self._encode([k[1:] if k[0:1] == _AS_IS else f" {k}" for k in plain]), strict=True))
+        ids.update((k, ids[a] + ids[b]) for k, a, b in split)
+
+    def many(self, texts):
+        if len(self.ids) > REMEMBERED:
+            self.ids, self.old = {}, self.ids
+        keys, known = [self._keys(t) for t in texts], self.ids.__contains__
+        new = set()
+        for k in keys:
+            new.update(filterfalse(known, k))
+        if new:
+            self._learn(new)
+        get = self.ids.__getitem__
+        return [b"".join(map(get, k)) for k in keys]
 
 
 def text_encoder(path):
     """The worker's encoder for a tokenizer file."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
