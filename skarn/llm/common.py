@@ -1,16 +1,14 @@
 """What the training-data operators share: shared folder, written tables, components."""
 
-import atexit
+import gc
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_OWN: dict = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,17 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if "dir" not in _OWN:
-            _OWN["dir"] = tempfile.mkdtemp(prefix="spark-skarn-")
-            atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
-        base = f"file://{_OWN['dir']}"
-    return f"{base.rstrip('/')}/skarn-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
@@ -70,3 +57,13 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+_SLOT: dict = {}
+
+
+def worker_memory(key, make):
+    """What a Python worker remembers from task to task: make() once for a key. One key at a time, so that a worker which goes on to another operator lets go of the last one's."""
+    if key not in _SLOT:
+        _SLOT.clear()
+        gc.collect()
+        _SLOT[key] = make()
+    return _SLOT[key]

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_memory, written
+
 DIM, BUCKETS, CHUNK = 32, 1 << 15, 1 << 15
-#: A worker keeps its word vectors from task to task.
-_KEPT: dict = {}
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -60,7 +60,7 @@ def index_vectors() -> np.ndarray:
 class _Rows(dict):
     """Word -> its row in the growing table of word vectors; new rows are filled together by at()."""
 
-    def __init__(self, context, index, most=300_000):
+    def __init__(self, context, index, most=130_000):
         self.context, self.index, self.most = context, index, most
         self.vectors, self.new = np.zeros((1 << 14, 2 * DIM), "f4"), []
 
@@ -182,8 +182,6 @@ def held_out(doc_id) -> F.col:
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5000, label_col: str = "quality") -> dict | None:
     """The model of docs(doc_id, text) and labels(doc_id, quality); rows held out are never read for it."""
-    from .common import written
-
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     picked = F.broadcast(written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)))  # sample_rows narrow rows at most
@@ -201,10 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5000, label_
 
 
 def _worker_rows(model: dict, key: int) -> _Rows:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Rows(model["context"].astype("f4"), index_vectors())
-    return _KEPT[key]
+    """The worker's word vectors for a model."""
+    return worker_memory(("quality", key), lambda: _Rows(model["context"].astype("f4"), index_vectors()))
 
 
 def _scores(texts: list[str | None], model: dict, rows: _Rows) -> np.ndarray:

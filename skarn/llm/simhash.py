@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, worker_memory, written
 
 #: Fingerprints in a posting list (or block of one) that are compared in one task at once.
 BLOCK = 4096
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp (signed long)."""
 
     def run(batches):
+        worker_memory("simhash", dict)  # nothing is remembered; what other operators left goes
         for b in batches:
             fp = [fingerprint(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, "int64")], names=["doc_id", "fp"])

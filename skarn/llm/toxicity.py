@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_memory, written
+
 #: Features are seen in at least the share LEAST of toxic rows (and 3), and RATIO times as often as in clean ones.
-#: The fit weighs both classes alike; a document counts as toxic from the chance TOXIC on, which one plain insult in a long text reaches.
-GRADES, WIDTH, RATIO, LEAST, TOXIC = 4, 1 << 20, 20, 0.015, 0.25
+#: A document counts as toxic from the chance TOXIC on, which one plain insult reaches.
+GRADES, WIDTH, RATIO, LEAST, TOXIC = 4, 1 << 20, 10, 0.015, 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,7 +42,7 @@ class _Terms(dict):
         self.of = of
 
     def __missing__(self, word):
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         out = self[word] = self.of(word)
         return out
@@ -54,8 +56,8 @@ def features(text: str | None, of) -> dict[int, int]:
     return counts
 
 
-def fit(rows: list[tuple[dict[int, int], int | None, int]], kept: int = 2000, steps: int = 500) -> dict:
-    """rows: (features, grade or None, toxic) -> columns, weights, thresholds."""
+def fit(rows: list[tuple[dict[int, int], int | None, int]], share: float | None = None, kept: int = 2000, steps: int = 500) -> dict:
+    """rows: (features, grade or None, toxic) -> columns, weights, thresholds. share: of toxic rows among all labels, if the sample has another."""
     toxic = np.asarray([t for _, _, t in rows], bool)
     n1, n0 = toxic.sum(), (~toxic).sum()
     if not n1 or not n0:
@@ -85,8 +87,9 @@ def fit(rows: list[tuple[dict[int, int], int | None, int]], kept: int = 2000, st
     else:
         grade = np.where(toxic, 1 + np.searchsorted(np.quantile(told[toxic], [1 / 3, 2 / 3]), told, "left"), 0)
     over = (grade[:, None] > np.arange(GRADES - 1)).astype("f4")
-    # classes weigh the same, whatever their shares
-    row = np.where(toxic, 0.5 / n1, 0.5 / n0).astype("f4")[:, None]
+    # classes weigh as much as they do among all labels
+    share = n1 / (n0 + n1) if share is None else share
+    row = np.where(toxic, share / n1, (1 - share) / n0).astype("f4")[:, None]
     w, a = np.zeros(x.shape[1], "f4"), np.asarray([0.0, 0.5, 0.5], "f4")  # thresholds: a0, then positive gaps
     m, v = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
     for i in range(1, steps + 1):
@@ -103,14 +106,14 @@ def fit(rows: list[tuple[dict[int, int], int | None, int]], kept: int = 2000, st
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, label_col: str = "toxic", grade_col: str | None = None) -> dict:
     """The model of docs(doc_id, text) and labels(doc_id, toxic[, grade])."""
-    from .common import written
-
     picked = None
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"), (F.col(grade_col) if grade_col else F.lit(None)).cast("int").alias("grade"))
     own = own.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("grade").alias("grade"))
     for toxic in (0, 1):
         some = own.where(F.col("toxic").cast("boolean") == bool(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         picked = some if picked is None else picked.unionAll(some)
+    n = own.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") != 0).alias("n1")).first()
+    share = n["n1"] / n["n"] if n["n"] else None
     picked = F.broadcast(written(picked))  # 2 * sample_rows narrow rows at most
 
     def run(batches):
@@ -118,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, label_
         for b in batches:
             for text, grade, toxic in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 rows.append((features(text, of), grade, toxic))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], "binary")], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, share))], "binary")], names=["model"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "grade", "toxic")
     model = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").collect()
@@ -141,7 +144,7 @@ def _over(texts: list[str | None], model: dict, of: _Terms) -> np.ndarray:
 def _known(model: dict) -> _Terms:
     """The worker's memory of words: the places of their features that the model has."""
     columns = model["columns"]
-    return _Terms(lambda word: tuple(j for f in terms(word) if (j := columns.get(f)) is not None))
+    return worker_memory(("toxicity", len(columns), tuple(model["t"])), lambda: _Terms(lambda word: tuple(j for f in terms(word) if (j := columns.get(f)) is not None)))
 
 
 def severity(docs: DataFrame, model: dict) -> DataFrame:
