@@ -4,10 +4,10 @@ Equal vectors are collapsed first. The distinct ones are dealt to shards by a ha
 reads its vectors, builds its layers, then streams all queries through them in batches, so memory holds one
 shard and one batch. Searches run in lockstep: a step advances every query of a batch by numpy operations.
 
-A query's beam is widened until its worst entry is under the threshold and no more links turn up, so that groups of near copies
-larger than the beam are found whole; and for each batch an audit compares the links of a hashed share of its queries with brute
-force over the shard: under the wanted recall the batch's beam doubles and the batch is searched again, up to the
-shard's size, where the search is exact. Cosines of found links are recomputed in double precision.
+The graph decides which queries have links in a shard at all; a query with a hit in its beam is compared with the whole shard, whatever
+the shard's size, so that its links there are complete. For each batch an audit compares the links of a hashed share of its queries with brute
+force over the shard: under the wanted recall the batch's beam doubles and the batch is searched again; past WIDEST
+all its queries are compared with the whole shard. Cosines of found links are recomputed in double precision.
 
 A task emits, per query, its count of links, and the edges of a forest over queries and shard members (never all
 pairs of a group); components() unites the shards' forests.
@@ -26,8 +26,8 @@ from .common import components, written
 
 #: Neighbours kept in upper layers (twice as many in the lowest), beams for building and searching, share of audited queries.
 M, BUILD_BEAM, BEAM, AUDITED, RECALL = 8, 24, 16, 1 / 16, 0.99
-#: A step of a graph search costs about as much as this many comparisons of a whole scan for each it makes.
-STEP = 16
+#: The widest beam; a batch whose audit fails even so is compared with the whole shard.
+WIDEST = 256
 #: Places in each list for links to members that nothing else leads to.
 REPAIRS = 4
 #: Rows of a layer that are compared directly instead of by a graph; queries searched at once.
@@ -213,25 +213,14 @@ class Shard:
         self.beams: dict[int, int] = {}
 
     def _found(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) places of candidates over the threshold in single precision, for beams wide enough."""
-        slack, n = np.float32(self.threshold - 1e-5), len(self.ids)
-        if self.graph is None or beam * 2 * M >= n:
+        """(query, member) places of candidates over the threshold in single precision: of queries with a hit in the beam, all of the shard's."""
+        slack = np.float32(self.threshold - 1e-5)
+        if self.graph is None or beam > WIDEST or beam >= len(self.ids):
             return np.nonzero(q.astype("f4") @ self.flat.T >= slack)
-        out, rows, before, wide = [], np.arange(len(q)), np.zeros(len(q), "i8"), False
-        while len(rows):
-            if wide and beam * 2 * M * STEP >= n:  # a wider search would cost more than comparing all members
-                a, b = np.nonzero(q[rows].astype("f4") @ self.flat.T >= slack)
-                out.append((rows[a], b))
-                break
-            ids, sims = self.graph.search(q[rows].astype("f4"), beam)
-            hit = sims >= slack
-            count = hit.sum(1)
-            again = hit[:, -1] | (count > before[rows])  # a full beam, or one that still finds more
-            a, b = np.nonzero(hit & ~again[:, None])
-            out.append((rows[a], ids[a, b]))
-            before[rows] = count
-            rows, beam, wide = rows[again], beam * 4, True
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        _, sims = self.graph.search(q.astype("f4"), beam)
+        some = np.flatnonzero((sims >= slack).any(1))
+        a, b = np.nonzero(q[some].astype("f4") @ self.flat.T >= slack)
+        return some[a], b
 
     def query(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """-> links of each query, the queries that have an edge and the member each is joined to, the beam used."""

@@ -259,6 +259,34 @@ def test_vectors_against_all_pairs(spark, sf_dir):
     assert hnsw.near_duplicates(df.where("false")).count() == 0 and len(got) == len(rows)
 
 
+def shard_of_groups(n, seed=3):
+    """Odd ids, vectors of which some are in groups of 2 to 5 near copies, and each one's links by brute force."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64))
+    for i in range(0, n // 2, 8):
+        v[i : i + rng.integers(2, 6)] = v[i] + 0.3 * rng.normal(size=64)
+    v += 0.15 * rng.normal(size=v.shape)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v = v[rng.permutation(n)]
+    return np.arange(n) * 2 + 1, v, np.concatenate([(v[i : i + 1000] @ v.T >= 0.9).sum(1) - 1 for i in range(0, n, 1000)])
+
+
+def test_links_in_a_shard_over_16384_members():
+    ids, v, true = shard_of_groups(17000)
+    shard = hnsw.Shard(ids, v, np.ones(len(ids), "i8"), 0.9)
+    got = np.concatenate([shard.query(ids[i : i + 4096], v[i : i + 4096])[0] for i in range(0, len(ids), 4096)])
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum() and true.sum() > 5000
+    # a graph that leads to one link of each: its word that there are any is enough, at every size
+    def one(q, beam):
+        near = q @ v.T
+        near[near > 0.99999] = -1
+        best = near.argmax(1)
+        return np.stack([best, np.full(len(q), -1)], 1), np.stack([near[np.arange(len(q)), best], np.full(len(q), -np.inf)], 1)
+
+    shard.graph.search = one
+    assert (shard.query(ids[:512], v[:512])[0] == true[:512]).all() and true[:512].max() > 1
+
+
 def test_graph_search_recall_over_several_layers():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(60, 24))
