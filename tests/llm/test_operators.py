@@ -287,6 +287,27 @@ def test_links_in_a_shard_over_16384_members():
     assert (shard.query(ids[:512], v[:512])[0] == true[:512]).all() and true[:512].max() > 1
 
 
+def test_audit_sees_lost_links_of_small_groups_beside_a_hot_one():
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=64) + 0.1 * rng.normal(size=(1500, 64))
+    pairs = np.repeat(rng.normal(size=(300, 64)), 2, axis=0) + 0.1 * rng.normal(size=(600, 64))
+    v = np.concatenate([hot, pairs])
+    v = (v / np.linalg.norm(v, axis=1)[:, None])[rng.permutation(len(v))]
+    for step, add in ((1, 0), (2, 1), (16, 3)):  # also where no id is divisible by 16
+        ids = np.arange(len(v)) * step + add
+        shard = hnsw.Shard(ids, v, np.ones(len(v), "i8"), 0.9)
+        true = (v @ v.T >= 0.9).sum(1) - 1
+        right = shard.graph.search
+
+        def blind(q, beam):  # narrow beams miss the pairs
+            near, sims = right(q, beam)
+            return near, np.where(((sims >= 0.9).sum(1) < 3)[:, None] & (beam < 64), -np.inf, sims)
+
+        shard.graph.search = blind
+        n, _, _, beam = shard.query(ids, v)
+        assert beam >= 64 and (n == true).all()
+
+
 def test_graph_search_recall_over_several_layers():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(60, 24))
