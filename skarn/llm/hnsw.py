@@ -8,7 +8,8 @@ The graph decides which queries have links in a shard at all; a query with a hit
 the shard's size, so that its links there are complete. For each batch an audit compares the links of queries chosen by a hash of their ids
 (a sixteenth, at least 256; self matches left out) with brute force over the shard: where the mean recall of the queries with up to
 16 links, or of those with more, is under the wanted one, the batch's beam doubles and the batch is searched again; past WIDEST
-all its queries are compared with the whole shard. Cosines of found links are recomputed in double precision.
+all its queries are compared with the whole shard. Cosines of found links are recomputed in double precision. Links are counted and united
+block by block and then dropped: a task never holds more than a block's pairs.
 
 A task emits, per query, its count of links, and the edges of a forest over queries and shard members (never all
 pairs of a group); components() unites the shards' forests.
@@ -35,6 +36,8 @@ WIDEST = 256
 REPAIRS = 4
 #: Rows of a layer that are compared directly instead of by a graph; queries searched at once.
 TOP, LANES = 256, 4096
+#: Queries and members of a block that is compared at once; pairs whose cosines are recomputed at once.
+ROWS, COLUMNS, PAIRS = 256, 4096, 1 << 16
 
 
 def _sims(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -229,35 +232,50 @@ class Shard:
         self.up = np.arange(len(ids))
         self.beams: dict[int, int] = {}
 
-    def _found(self, ids: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) places of candidates over the threshold in single precision: of queries with a hit in the beam besides themselves, all of the shard's."""
-        slack = np.float32(self.threshold - 1e-5)
+    def _hits(self, ids: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
+        """Whether each query has a hit in its beam besides itself, in single precision; of beams past WIDEST, true."""
         if self.graph is None or beam > WIDEST or beam >= len(self.ids):
-            return np.nonzero(q.astype("f4") @ self.flat.T >= slack)
+            return np.ones(len(q), bool)
         near, sims = self.graph.search(q.astype("f4"), beam)
-        some = np.flatnonzero(((sims >= slack) & (self.ids[near] != ids[:, None])).any(1))
-        a, b = np.nonzero(q[some].astype("f4") @ self.flat.T >= slack)
-        return some[a], b
+        return ((sims >= np.float32(self.threshold - 1e-5)) & (self.ids[near] != ids[:, None])).any(1)
+
+    def _links(self, ids: np.ndarray, q: np.ndarray):
+        """(query, member) places of all links, a block of queries and members at a time: a block holds ROWS x COLUMNS pairs at most."""
+        for x in range(0, len(q), ROWS):
+            flat = q[x : x + ROWS].astype("f4")
+            for y in range(0, len(self.ids), COLUMNS):
+                a, b = np.nonzero(flat @ self.flat[y : y + COLUMNS].T >= np.float32(self.threshold - 1e-5))
+                a, b = a + x, b + y
+                ok = ids[a] != self.ids[b]
+                for z in range(0, len(a), PAIRS):
+                    k = slice(z, z + PAIRS)
+                    ok[k] &= np.einsum("ij,ij->i", q[a[k]], self.exact[b[k]]) >= self.threshold
+                if ok.any():
+                    yield a[ok], b[ok]
 
     def query(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """-> links of each query, the queries that have an edge and the member each is joined to, the beam used."""
         beam, audited = BEAM, _audited(ids)
-        true = np.zeros(len(ids), "i8")
-        true[audited] = ((q[audited] @ self.exact.T >= self.threshold) & (ids[audited, None] != self.ids)).sum(1)
+        true = np.zeros(len(audited), "i8")
+        for a, _ in self._links(ids[audited], q[audited]):
+            true += np.bincount(a, minlength=len(true))
         while True:
-            a, b = self._found(ids, q, beam)
-            ok = (ids[a] != self.ids[b]) & (np.einsum("ij,ij->i", q[a], self.exact[b]) >= self.threshold)
-            a, b = a[ok], b[ok]
-            if beam > WIDEST or _passes(true[audited], np.bincount(a, minlength=len(ids))[audited]):
+            hits = self._hits(ids, q, beam)
+            # links of a query with a hit are complete
+            if beam > WIDEST or _passes(true, true * hits[audited]):
                 break
             beam *= 2
         self.beams[beam] = self.beams.get(beam, 0) + 1
-        n = np.bincount(a, weights=self.copies[b], minlength=len(ids)).astype("i8")
-        o = np.argsort(a, kind="stable")
-        a, b = a[o], b[o]
-        rows, first = np.unique(a, return_index=True)
-        self._unite(b, np.repeat(b[first], np.diff(np.r_[first, len(a)])) if len(a) else b)
-        return n, rows, b[first], beam
+        some = np.flatnonzero(hits)
+        n, first = np.zeros(len(ids), "i8"), np.full(len(ids), -1)
+        for a, b in self._links(ids[some], q[some]):
+            a = some[a]
+            n += np.bincount(a, weights=self.copies[b], minlength=len(ids)).astype("i8")
+            row, at = np.unique(a, return_index=True)
+            first[row] = np.where(first[row] < 0, b[at], first[row])
+            self._unite(b, first[a])
+        rows = np.flatnonzero(first >= 0)
+        return n, rows, first[rows], beam
 
     def _unite(self, x: np.ndarray, y: np.ndarray) -> None:
         """Join members x and y: all labels of a pair sink to the smaller one until none differ."""

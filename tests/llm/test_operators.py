@@ -1,6 +1,7 @@
 """The ten operators: brute force, round trips, held-out accuracy, and odd rows (nulls, empty and long texts, repeats, empty tables, clashing columns)."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -308,6 +309,23 @@ def test_audit_sees_lost_links_of_small_groups_beside_a_hot_one():
         assert beam >= 64 and (n == true).all()
 
 
+def test_a_hot_group_never_has_all_its_links_in_memory():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6000, 64))
+    v[:2500] = v[0] + 0.1 * rng.normal(size=(2500, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None])[rng.permutation(len(v))]
+    ids = np.arange(len(v))
+    shard = hnsw.Shard(ids, v, np.ones(len(v), "i8"), 0.9)
+    tracemalloc.start()
+    n, rows, to, _ = shard.query(ids[:4000], v[:4000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    true = (v[:4000] @ v.T >= 0.9).sum(1) - 1
+    assert (n == true).all() and true.sum() > 4_000_000 and (rows == np.flatnonzero(true)).all()
+    assert len(np.unique(shard._root(np.flatnonzero((v @ v[rows[true[rows] > 1000][0]]) >= 0.95)))) == 1 and (np.einsum("ij,ij->i", v[rows], v[to]) >= 0.9).all()
+    assert peak < 300e6, peak
+
+
 def test_graph_search_recall_over_several_layers():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(60, 24))
