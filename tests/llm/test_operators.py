@@ -85,6 +85,22 @@ def test_counts_are_the_librarys(spark, odd, empty, docs):
     assert token_counts.count_tokens(empty, PIECES, limit=1).count() == 0
 
 
+def test_literal_word_marks_count_as_the_library_has_them(spark):
+    c = token_counts.PieceCounter(PIECES)
+    rng = np.random.default_rng(1)
+    texts = ["▁", "b▁ ", "▁ ▁", "▁ 的", "a ▁b▁ c▁▁", " ▁"] + ["".join(rng.choice(list("ab的e\n ▁"), rng.integers(1, 15))) for _ in range(2000)]
+    long = ["".join(rng.choice(list("abcde的\n ▁"), 3000)) for _ in range(20)]
+    for t in texts:
+        assert c.count(t) == len(c.model.encode(t)), repr(t)
+    for t in long:
+        assert token_counts.count_by_chunks(c, t, 200, 2) == len(c.model.encode(t))
+    df = spark.createDataFrame(list(enumerate(texts[:50] + long)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(df, PIECES, limit=10, chunk_chars=500, overlap=4).collect()}
+    for i, t in enumerate(texts[:50] + long):
+        n = len(c.model.encode(t))
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len(t.encode()), n > 10)
+
+
 def test_overlaps_widen_until_chunks_align():
     c = token_counts.PieceCounter(PIECES)
     rng = np.random.default_rng(0)
