@@ -12,7 +12,7 @@ where backslashes already stand there, so that reading takes exactly one away ag
 
 Defined results: a null text or role counts as empty; a message whose parent is null or missing starts a path;
 messages on or under a cycle of parents reach no start and give no path; repeated messages (equal tree and node) are told
-apart by their text; rows with a null tree or node give no path; an empty table gives no rows; other columns are not read.
+apart by their text; rows with a null tree (unless null_tree is set, as for turns, where a null conversation is one like any other) or node give no path; an empty table gives no rows; other columns are not read.
 """
 
 import re
@@ -79,9 +79,12 @@ def paths(messages: DataFrame) -> DataFrame:
     return reach
 
 
-def format_trees(messages: DataFrame, *, top_k: int = 1, learn: str = "assistant") -> DataFrame:
-    """messages(tree_id, node_id, parent_id, role, text, score) -> tree_id, leaf, rank, n_turns, formatted, loss_spans."""
-    m = messages.select("tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+def format_trees(messages: DataFrame, *, top_k: int = 1, learn: str = "assistant", null_tree: bool = False) -> DataFrame:
+    """messages(tree_id, node_id, parent_id, role, text, score) -> tree_id, leaf, rank, n_turns, formatted, loss_spans. With null_tree, messages with a null tree are one tree."""
+    messages = messages if null_tree else messages.where("tree_id is not null")
+    # joins never match nulls: until the end a tree's key is a struct, which is never null
+    tree = F.struct(F.col("tree_id").isNull().alias("none"), F.coalesce(F.col("tree_id").cast("long"), F.lit(0).cast("long")).alias("id")).alias("tree_id")
+    m = messages.select(tree, "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     reach = paths(m)
     scores = m.groupBy("tree_id", "node_id").agg(F.max("score").alias("score"))
     ranked = reach.join(scores, ["tree_id", "node_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("score")).select(
@@ -97,6 +100,7 @@ def format_trees(messages: DataFrame, *, top_k: int = 1, learn: str = "assistant
                  pa.array([[{"start": x, "end": y} for x, y in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["tree_id", "leaf", "rank", "n_turns", "formatted", "loss_spans"])
 
+    chosen = chosen.select(F.expr("if(tree_id.none, null, tree_id.id)").alias("tree_id"), "leaf", "rank", "turns")
     return chosen.mapInArrow(run, "tree_id long, leaf long, rank int, n_turns long, formatted string, loss_spans array<struct<start: long, end: long>>")
 
 

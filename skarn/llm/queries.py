@@ -30,7 +30,7 @@ def op5_chat_format(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
-    return chat.read_back(chat.format_trees(chat.turns_as_trees(rows)))
+    return chat.read_back(chat.format_trees(chat.turns_as_trees(rows), null_tree=True))
 
 
 def op6_embedding_dedup(spark, sf_dir):

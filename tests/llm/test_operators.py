@@ -248,6 +248,13 @@ def test_long_chain(spark):
     assert len(r) == 1 and [t for _, t in chat.read_turns(r[0]["formatted"])] == [str(i) for i in range(n)]
 
 
+def test_turns_without_a_conversation_are_one(spark):
+    c = common.prepare(spark) and spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "assistant", "b"), (0, 1, "user", "zero")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_trees(chat.turns_as_trees(c), null_tree=True)).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {None: 2, 0: 1}
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+
+
 def test_repeated_turns_all_count(spark):
     c = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 0, "user", "a", 5), (1, None, None, None, 5)], "conv_id long, turn long, role string, text string, score int")
     r = chat.read_back(chat.format_trees(chat.turns_as_trees(c))).first()
