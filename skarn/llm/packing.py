@@ -6,8 +6,9 @@ length, so 2,048 at most), best-fit decreasing runs over those counts on the dri
 rank within its length. Ranks come from a running count inside each written part plus the parts' counts
 before it, so no length, however frequent, passes through one task.
 
-Defined results: a null text counts as empty (the end id alone); repeated rows are packed each; an empty table gives
-no rows; other columns are not read. Which of several pieces of one length takes which slot is arbitrary.
+Defined results: a null text counts as empty (the end id alone); a very long text is cut into pieces of the capacity, the first of what is left over;
+repeated rows and null ids are packed each; an empty table gives no rows; other columns are not read. Which of several pieces of one length (a tie)
+takes which slot is arbitrary.
 """
 
 import bisect
@@ -27,24 +28,30 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """docs(doc_id, text) -> a row per piece; part and nth number the pieces of each length inside a task."""
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, seen = text_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            out = []
-            for doc, raw in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
-                raw += end
-                n = len(raw) // 4
-                at = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    nth = seen.get(b - a, 0)
-                    seen[b - a] = nth + 1
-                    out.append((doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), part, nth))
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = ("int64", "int32", "int64", "int64", "int64", "int32", "int64")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
+        encode, part, seen = text_encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, n = encode.many(b.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
+            pieces = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            head = (n - 1) % capacity + 1
+            start = np.where(piece > 0, head[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, head[doc])
+            at = (np.cumsum(n) - n)[doc] + start
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            # the nth of its length in this task
+            order = np.argsort(length, kind="stable")
+            count = np.bincount(length, minlength=capacity + 1)
+            nth = np.empty(len(length), "i8")
+            nth[order] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count - seen, count)
+            seen += count
+            cols = [b.column(0).take(pa.array(doc)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crc, "int64"), pa.array(np.full(len(doc), part, "i4")), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
 
