@@ -10,7 +10,7 @@ import pytest
 from brute import Writer, classes, predict, simhash
 from pyspark.sql import functions as F
 
-from skarn.llm import bpe, chat, common, hnsw, packing, quality, simhash as sh, token_counts, token_output, toxicity, webp
+from skarn.llm import bpe, chat, common, hnsw, packing, quality, simhash as sh, token_counts, token_output, toxicity, webp, word_ids
 
 JSON, RANKS, PIECES = (public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 LONG = "lorem ipsum  dolor\n" * 9000 + "x" * 3000
@@ -74,6 +74,55 @@ def test_token_files_have_indexes_and_the_chosen_encoding(spark, docs, tmp_path)
         assert any(mark in e for e in column.encodings) and column.has_column_index and column.has_offset_index
 
 
+def test_word_encoder_is_the_library(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, e, rng = Tokenizer.from_file(JSON), word_ids.TextEncoder(JSON), random.Random(1)
+    signs = ["a", "bc", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "'s", "don't", "!!", "$$$", "é", "中", "😀", "\x01", "\xa0", "\u2003", "<|endoftext|>", "12", "Ġ", "\x1c", "\u200b", "x" * 120, " a", " b.", "\nc!\n"]
+    for bound in (word_ids.REMEMBERED, 400):  # also where it forgets all the time
+        monkeypatch.setattr(word_ids, "REMEMBERED", bound)
+        for size in (4, 10, 40, 2000):
+            texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, size))) for _ in range(200 if size < 2000 else 5)] + [None, "", " ", "\n", "\x01", "\x01\n", "a \x01"]
+            ids, n = e.many(pa.array(texts))
+            ends = n.cumsum()
+            for t, a, b in zip(texts, ends - n, ends, strict=True):
+                assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_word_encoder_remembers_few_bytes():
+    import pyarrow as pa
+
+    rng, e = np.random.default_rng(0), word_ids.TextEncoder(JSON)
+    for _ in range(4):  # texts without blanks, and many short words
+        e.many(pa.array(["".join(map(chr, rng.integers(0x4E00, 0x9000, 20_000))) for _ in range(10)] + [" ".join(map(str, rng.integers(0, 1 << 40, 50_000)))]))
+        assert e.words.nbytes + e.flat.nbytes + e.size.nbytes <= word_ids.REMEMBERED and max(map(len, e.words.to_pylist())) <= word_ids.LONG
+
+
+def test_filters_read_few_pages_and_hot_ids_are_dealt(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    token_output.write_tokens(df, f"file://{tmp_path}/a", JSON, 2, page_rows=100, parts=2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for cols in (["doc_id", "n_tokens"], ["doc_id", "ids"]):
+            q = spark.read.parquet(f"file://{tmp_path}/a").where("doc_id = 1234").select(*cols)
+            assert q.count() == 1 and len(q.collect()) == 1
+            scan = q._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+            assert scan.metrics().apply("numOutputRows").value() <= 300  # of 4,000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for hot in (5, None):
+        rows = [(hot, f"hot {i % 7}") for i in range(300)] + [(i, str(i)) for i in range(100)]
+        token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{tmp_path}/{hot}", JSON, 2, parts=8)
+        got = token_output.read_tokens(spark, f"file://{tmp_path}/{hot}").orderBy("start").collect()
+        ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+        assert ids == sorted(ids) and len(ids) == 400 and [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+        files = spark.read.parquet(f"file://{tmp_path}/{hot}").where(F.col("doc_id").eqNullSafe(hot)).groupBy("part").count().collect()
+        assert len(files) > 4 and max(r["count"] for r in files) < 100
+
+
 def test_counts_are_the_librarys(spark, odd, empty, docs):
     import sentencepiece
 
