@@ -1,21 +1,23 @@
 """6. Embedding near-duplicates by navigable small-world graphs, one hierarchy per shard.
 
-Equal vectors are collapsed first. The distinct ones are dealt to shards by a hash of their id; each shard task
-reads its vectors, builds its layers, then streams all queries through them in batches, so memory holds one
+Equal vectors are collapsed first. The distinct ones are dealt to shards of bounded bytes by a hash; each shard task
+reads its vectors, builds its layers, then streams all queries of the same dimension through them in batches, so memory holds one
 shard and one batch. Searches run in lockstep: a step advances every query of a batch by numpy operations.
 
-The graph decides which queries have links in a shard at all; a query with a hit (other than itself) in its beam is compared with the whole shard, whatever
-the shard's size, so that its links there are complete. For each batch an audit compares the links of queries chosen by a hash of their ids
-(a sixteenth, at least 256; self matches left out) with brute force over the shard: where the mean recall of the queries with up to
-16 links, or of those with more, is under the wanted one, the batch's beam doubles and the batch is searched again; past WIDEST
-all its queries are compared with the whole shard. Cosines of found links are recomputed in double precision. Links are counted and united
-block by block and then dropped: a task never holds more than a block's pairs.
+Links come from the graph, by one rule at every size: a beam search finds a query's nearest members, and those it links with lead to their
+clumps (members that their own beam searches linked, directly or in a chain), whose members are all compared with the query. So a beam need not be as wide as a group
+is large. Cosines are computed in double precision; links are counted and united block by block and dropped.
+
+A shard's beam is settled by an audit before it answers: AUDITED queries, those with the smallest hashes (all, if there are fewer), are compared with the whole shard. Where the mean
+recall of the queries with up to FEW links, or of those with more, is under RECALL, the beam doubles; past WIDEST the shard is compared with all queries whole, the exact end. audits() gives
+each shard's figures. Shards of up to TOP members have no layers and are compared whole.
 
 A task emits, per query, its count of links, and the edges of a forest over queries and shard members (never all
 pairs of a group); components() unites the shards' forests.
 
-Defined results: vectors that are null, empty, zero, of another dimension than most, or hold null or non-finite components link with nothing and
-are their own component; rows repeating a vec_id give one row each and count as other vectors; rows with a null id have null component and link with
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and
+are their own component; vectors of different dimensions don't link; magnitudes don't matter, however large or small; a cosine equal to the threshold links;
+rows repeating a vec_id give one row each and count as other vectors; rows with a null id have null component and link with
 nothing; an empty table gives no rows; other columns are not read.
 """
 
@@ -26,18 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-#: Neighbours kept in upper layers (twice as many in the lowest), beams for building and searching, share of audited queries, least number of them in a batch, wanted recall.
-M, BUILD_BEAM, BEAM, AUDITED, AT_LEAST, RECALL = 8, 24, 16, 16, 256, 0.99
+#: Neighbours kept in upper layers (twice as many in the lowest), beams for building and searching, audited queries of a shard, wanted recall.
+M, BUILD_BEAM, BEAM, AUDITED, RECALL = 8, 24, 16, 4096, 0.99
 #: Up to so many links a query counts as one with few, whose recall is judged apart.
 FEW = 16
-#: The widest beam; a batch whose audit fails even so is compared with the whole shard.
+#: The widest beam; a shard whose audit fails even so is compared whole.
 WIDEST = 256
 #: Places in each list for links to members that nothing else leads to.
 REPAIRS = 4
-#: Rows of a layer that are compared directly instead of by a graph; queries searched at once.
-TOP, LANES = 256, 4096
-#: Queries and members of a block that is compared at once; pairs whose cosines are recomputed at once.
-ROWS, COLUMNS, PAIRS = 256, 4096, 1 << 16
+#: Members of a shard that has no graph; rows of a layer that are compared directly instead of by a graph; places of a query that a step goes on from; numbers gathered by a step (sets how many queries go at once).
+TOP, DIRECT, WAVE, GATHERED = 256, 2048, 4, 1 << 24
+#: Queries and members of a block that is compared at once; pairs whose cosines are computed at once; members of a clump that is compared pair by pair.
+ROWS, COLUMNS, PAIRS, SMALL = 256, 4096, 1 << 16, 32
+
+
+def lanes(d: int) -> int:
+    """Vectors of d components that are searched at once."""
+    return max(64, min(4096, GATHERED // (2 * M * WAVE * d)))
 
 
 def _sims(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -55,10 +62,12 @@ class Graph:
         size = [int((level >= k).sum()) for k in range(level.max(initial=0) + 1)]
         self.order = order
         self.u = v[order]
-        top = next((k for k, s in enumerate(size) if s <= TOP), len(size) - 1)
+        top = next((k for k, s in enumerate(size) if s <= DIRECT), len(size) - 1)
         self.top = size[top] if size else 0
         self.layers: list[np.ndarray] = []
-        while self.top > 4 * TOP:  # no layer is small: the first rows serve as one
+        if self.top == n:  # the lowest layer always has links
+            self.top = max(1, n // M)
+        while self.top > 4 * DIRECT:  # no layer is small: the first rows serve as one
             self.top //= 2
         at = self.top
         for k in range(top, -1, -1):
@@ -71,10 +80,9 @@ class Graph:
         return np.argpartition(-s, min(keep, self.top) - 1, axis=1)[:, :keep].astype("i4")
 
     def _search(self, q: np.ndarray, links: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first search in lockstep -> places and similarities, best first; -1 where none."""
+        """Best-first search in lockstep, WAVE places of each query at a step -> places and similarities, best first; -1 where none."""
         n = len(q)
-        ids = np.full((n, beam), -1, "i4")
-        sims = np.full((n, beam), -np.inf, "f4")
+        ids, sims = np.full((n, beam), -1, "i4"), np.full((n, beam), -np.inf, "f4")
         w = min(entry.shape[1], beam)
         ids[:, :w] = entry[:, :w]
         sims[:, :w] = np.where(ids[:, :w] >= 0, _sims(self.u[ids[:, :w]], q), -np.inf)
@@ -82,32 +90,32 @@ class Graph:
         live = np.arange(n)
         while len(live):
             i, s, d = ids[live], sims[live], done[live]
-            best = np.argmax(np.where(d, -np.inf, s), axis=1)
-            row = np.arange(len(live))
-            going = ~d[row, best]
+            open_ = np.where(d, -np.inf, s)
+            best = np.argpartition(-open_, min(WAVE, beam) - 1, axis=1)[:, :WAVE]
+            going = (np.take_along_axis(open_, best, 1) > -np.inf).any(1)
             if not going.all():
                 live, i, s, d, best = live[going], i[going], s[going], d[going], best[going]
-                row = np.arange(len(live))
                 if not len(live):
                     break
-            d[row, best] = True
-            new = links[i[row, best]]
+            at = np.where(np.take_along_axis(d, best, 1), -1, np.take_along_axis(i, best, 1))
+            np.put_along_axis(d, best, True, 1)
+            new = np.where(at[:, :, None] >= 0, links[at], -1).reshape(len(live), -1)
+            new = np.where(_repeated(new), -1, new)
             t = np.where(new >= 0, _sims(self.u[new], q[live]), -np.inf)
-            # what a beam can't take, or holds already, is out
-            t[(t <= s.min(1)[:, None])] = -np.inf
-            some = np.flatnonzero((t > -np.inf).any(1))
+            t[t <= s.min(1)[:, None]] = -np.inf  # what a beam can't take is out
+            m = min(beam, new.shape[1], int((t > -np.inf).sum(1).max()))
             done[live] = d
-            if len(some):
-                m = min(new.shape[1], int((t[some] > -np.inf).sum(1).max()))
-                take = np.argpartition(-t[some], m - 1, axis=1)[:, :m]
-                new, t = np.take_along_axis(new[some], take, 1), np.take_along_axis(t[some], take, 1)
-                t[(new[:, :, None] == i[some][:, None, :]).any(2)] = -np.inf
-                ci, cs = np.concatenate([i[some], new], 1), np.concatenate([s[some], t], 1)
-                cd = np.concatenate([d[some], ~(t > -np.inf)], 1)
-                ci[~(cs > -np.inf)] = -1
-                take = np.argpartition(-cs, beam - 1, axis=1)[:, :beam]
-                at = live[some]
-                ids[at], sims[at], done[at] = (np.take_along_axis(x, take, 1) for x in (ci, cs, cd))
+            if not m:
+                continue
+            if m < new.shape[1]:
+                take = np.argpartition(-t, m - 1, axis=1)[:, :m]
+                new, t = np.take_along_axis(new, take, 1), np.take_along_axis(t, take, 1)
+            t[(new[:, :, None] == i[:, None, :]).any(2)] = -np.inf  # and what it holds already
+            ci, cs = np.concatenate([i, new], 1), np.concatenate([s, t], 1)
+            cd = np.concatenate([d, ~(t > -np.inf)], 1)
+            ci[~(cs > -np.inf)] = -1
+            take = np.argpartition(-cs, beam - 1, axis=1)[:, :beam]
+            ids[live], sims[live], done[live] = (np.take_along_axis(x, take, 1) for x in (ci, cs, cd))
         o = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1)
 
@@ -130,7 +138,7 @@ class Graph:
         links = np.full((size, width), -1, "i4")
         at = 0
         while at < size:
-            stop = min(size, max(at * 2, TOP), at + 1024)
+            stop = min(size, max(at * 2, TOP), at + lanes(self.u.shape[1]))
             q = self.u[at:stop]
             k = min(BUILD_BEAM, stop)
             own = q @ q.T
@@ -188,7 +196,7 @@ class Graph:
         return links
 
     def _descend(self, q: np.ndarray, beam: int) -> np.ndarray:
-        entry = self._entry(q, 4)
+        entry = self._entry(q, beam)
         for links in self.layers:
             if links.shape[1] > M:  # the lowest
                 break
@@ -197,10 +205,19 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         beam = min(beam, len(self.u))
-        ids, sims = self._search(q, self.layers[-1], _first_only(self._descend(q, 8)), beam)
+        ids, sims = self._search(q, self.layers[-1], _first_only(self._descend(q, beam)), beam)
         return np.where(ids >= 0, self.order[ids], -1), sims
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Which places of a row hold what an earlier one holds."""
+    o = np.argsort(x, axis=1, kind="stable")
+    s = np.take_along_axis(x, o, 1)
+    out = np.zeros(x.shape, bool)
+    np.put_along_axis(out, o[:, 1:], s[:, 1:] == s[:, :-1], 1)
+    return out
+
+
 def _first_only(entry: np.ndarray) -> np.ndarray:
     """Entries without repeats in a row."""
     s = np.sort(entry, axis=1)
@@ -208,14 +225,6 @@ def _first_only(entry: np.ndarray) -> np.ndarray:
     return s
 
 
-def _audited(ids: np.ndarray) -> np.ndarray:
-    """Places of a batch's audited queries: those with the smallest hashes of their ids."""
-    x = ids.astype("u8")
-    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):  # the finaliser of splitmix64
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
-    return np.sort(np.argsort(x ^ (x >> np.uint64(31)), kind="stable")[: max(AT_LEAST, len(ids) // AUDITED)])
-
-
 def _passes(true: np.ndarray, found: np.ndarray) -> bool:
     """Whether the mean recall of the queries with few links, and that of those with more, are as wanted."""
     few = (true > 0) & (true <= FEW)
@@ -223,59 +232,100 @@ def _passes(true: np.ndarray, found: np.ndarray) -> bool:
 
 
 class Shard:
-    """A shard's vectors with its graph, and the forest of the links found so far."""
+    """A shard's vectors (unit rows, double precision) with its graph, and the forest of the links found so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, threshold: float):
         self.ids, self.exact, self.copies, self.threshold = ids, vectors, copies, threshold
+        self.near = np.float32(threshold - 1e-5)  # what single precision may take for a link
         self.flat = vectors.astype("f4")
         self.graph = Graph(self.flat) if len(ids) > TOP else None
         self.up = np.arange(len(ids))
-        self.beams: dict[int, int] = {}
-
-    def _hits(self, ids: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
-        """Whether each query has a hit in its beam besides itself, in single precision; of beams past WIDEST, true."""
-        if self.graph is None or beam > WIDEST or beam >= len(self.ids):
-            return np.ones(len(q), bool)
-        near, sims = self.graph.search(q.astype("f4"), beam)
-        return ((sims >= np.float32(self.threshold - 1e-5)) & (self.ids[near] != ids[:, None])).any(1)
-
-    def _links(self, ids: np.ndarray, q: np.ndarray):
-        """(query, member) places of all links, a block of queries and members at a time: a block holds ROWS x COLUMNS pairs at most."""
-        for x in range(0, len(q), ROWS):
-            flat = q[x : x + ROWS].astype("f4")
-            for y in range(0, len(self.ids), COLUMNS):
-                a, b = np.nonzero(flat @ self.flat[y : y + COLUMNS].T >= np.float32(self.threshold - 1e-5))
-                a, b = a + x, b + y
-                ok = ids[a] != self.ids[b]
-                for z in range(0, len(a), PAIRS):
-                    k = slice(z, z + PAIRS)
-                    ok[k] &= np.einsum("ij,ij->i", q[a[k]], self.exact[b[k]]) >= self.threshold
-                if ok.any():
-                    yield a[ok], b[ok]
-
-    def query(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """-> links of each query, the queries that have an edge and the member each is joined to, the beam used."""
-        beam, audited = BEAM, _audited(ids)
-        true = np.zeros(len(audited), "i8")
-        for a, _ in self._links(ids[audited], q[audited]):
-            true += np.bincount(a, minlength=len(true))
-        while True:
-            hits = self._hits(ids, q, beam)
-            # links of a query with a hit are complete
-            if beam > WIDEST or _passes(true, true * hits[audited]):
-                break
-            beam *= 2
-        self.beams[beam] = self.beams.get(beam, 0) + 1
-        some = np.flatnonzero(hits)
+        self.beam, self.audit = 0, (0, 0, 0, 1.0)
+
+    def settle(self, ids: np.ndarray, q: np.ndarray) -> None:
+        """Choose the beam by an audit with these queries."""
+        true = sum((np.bincount(a, minlength=len(ids)) for a, _ in self._scanned(ids, q)), np.zeros(len(ids), "i8"))
+        self.beam, found = 0, true
+        if self.graph is not None:
+            self.beam = BEAM
+            while self.beam <= WIDEST:
+                self._clumps()
+                found = sum((np.bincount(a, minlength=len(ids)) for a, _ in self._searched(ids, q)), np.zeros(len(ids), "i8"))
+                if _passes(true, found):
+                    break
+                self.beam *= 2
+            else:
+                self.beam, found = 0, true
+        some = true > 0
+        self.audit = len(ids), int(true.sum()), int(found.sum()), float((found[some] / true[some]).mean()) if some.any() else 1.0
+
+    def _hits(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) places that beam searches take for links."""
+        near, sims = self.graph.search(q.astype("f4"), self.beam)
+        a, k = np.nonzero((sims >= self.near) & (near >= 0) & (self.ids[near] != ids[:, None]))
+        return a, near[a, k]
+
+    def _clumps(self) -> None:
+        """Unite the members that their own searches link, and number the clumps."""
+        for x in range(0, len(self.ids), lanes(self.flat.shape[1])):
+            rows = slice(x, x + lanes(self.flat.shape[1]))
+            for a, b in self._verified(*self._hits(self.ids[rows], self.exact[rows]), self.ids[rows], self.exact[rows]):
+                self._unite(a + x, b)
+        root = self._root(np.arange(len(self.ids)))
+        self.sorted = np.argsort(root, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(root[self.sorted]) > 0])
+        self.start, self.size = first, np.diff(np.r_[first, len(root)])
+        self.clump = np.empty(len(root), "i8")
+        self.clump[self.sorted] = np.repeat(np.arange(len(first)), self.size)
+
+    def _verified(self, a, b, ids, q):
+        """Of the pairs (a of q, b of members) those with a cosine of at least the threshold."""
+        for z in range(0, len(a), PAIRS):
+            x, y = a[z : z + PAIRS], b[z : z + PAIRS]
+            ok = (ids[x] != self.ids[y]) & (np.einsum("ij,ij->i", q[x], self.exact[y]) >= self.threshold)
+            if ok.any():
+                yield x[ok], y[ok]
+
+    def _searched(self, ids: np.ndarray, q: np.ndarray):
+        """(query, member) places of links, by the graph: each query against the clumps its beam leads to."""
+        a, b = self._hits(ids, q)
+        pair = np.unique(a * len(self.start) + self.clump[b])
+        a, c = pair // len(self.start), pair % len(self.start)
+        small = self.size[c] <= SMALL
+        x, k = a[small], c[small]
+        for z in range(0, len(x), PAIRS // SMALL):
+            own, n = k[z : z + PAIRS // SMALL], self.size[k[z : z + PAIRS // SMALL]]
+            place = np.repeat(self.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield from self._verified(np.repeat(x[z : z + PAIRS // SMALL], n), self.sorted[place], ids, q)
+        x, k = a[~small], c[~small]
+        for own in np.unique(k):
+            members = self.sorted[self.start[own] : self.start[own] + self.size[own]]
+            yield from self._blocks(x[k == own], members, ids, q)
+
+    def _scanned(self, ids: np.ndarray, q: np.ndarray):
+        """(query, member) places of all links."""
+        yield from self._blocks(np.arange(len(q)), np.arange(len(self.ids)), ids, q)
+
+    def _blocks(self, rows, members, ids, q):
+        """Links of these queries with these members, ROWS x COLUMNS pairs at a time."""
+        for x in range(0, len(rows), ROWS):
+            r = rows[x : x + ROWS]
+            flat = q[r].astype("f4")
+            for y in range(0, len(members), COLUMNS):
+                m = members[y : y + COLUMNS]
+                a, b = np.nonzero(flat @ self.flat[m].T >= self.near)
+                yield from self._verified(r[a], m[b], ids, q)
+
+    def query(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """-> links of each query, the queries that have an edge and the member each is joined to."""
         n, first = np.zeros(len(ids), "i8"), np.full(len(ids), -1)
-        for a, b in self._links(ids[some], q[some]):
-            a = some[a]
+        for a, b in self._searched(ids, q) if self.beam else self._scanned(ids, q):
             n += np.bincount(a, weights=self.copies[b], minlength=len(ids)).astype("i8")
             row, at = np.unique(a, return_index=True)
             first[row] = np.where(first[row] < 0, b[at], first[row])
             self._unite(b, first[a])
         rows = np.flatnonzero(first >= 0)
-        return n, rows, first[rows], beam
+        return n, rows, first[rows]
 
     def _unite(self, x: np.ndarray, y: np.ndarray) -> None:
         """Join members x and y: all labels of a pair sink to the smaller one until none differ."""
@@ -294,81 +344,128 @@ class Shard:
 
 
 def _matrix(column) -> np.ndarray:
-    """A list column of equal lengths as unit rows in double precision."""
+    """A list column of equal lengths as unit rows in double precision; each row is scaled by its largest component first."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
     v = flat.reshape(len(column), -1)
+    v = v / np.abs(v).max(1)[:, None]
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _shards(threshold: float, lanes: int):
+#: What a shard task's rows are: members, audited queries, other queries; and what it emits: counts, edges, the audit.
+MEMBER, ASKED_FIRST, ASKED = range(3)
+COUNT, EDGE, AUDIT = range(3)
+_FOUND = "kind int, a long, b long, n long, recall double"
+
+
+def _shards(threshold: float):
+    """Rows (d, shard, role, key, copies, embedding), sorted by the first three -> counts, edges and audits."""
+
+    def out(kind, a, b, n, recall=None):
+        cols = pa.array(np.full(len(a), kind, "i4")), pa.array(a, "int64"), pa.array(b, "int64"), pa.array(n, "int64"), pa.array(recall or [None] * len(a), "float64")
+        return pa.RecordBatch.from_arrays(list(cols), names=[c.split()[0] for c in _FOUND.split(", ")])
+
     def run(batches):
-        shard, now, members, waiting = None, None, [], []
-
-        def out(kind, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, "i4")), pa.array(a, "int64"), pa.array(b, "int64"), pa.array(n, "int64")], names=["kind", "a", "b", "n"])
-
-        def asked():
-            ids, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            n, rows, to, beam = shard.query(ids, v)
-            some = np.flatnonzero(n)
-            yield out(0, ids[some], ids[some], n[some])
-            yield out(1, ids[rows], shard.ids[to], np.full(len(rows), beam))
-
-        def left():
-            nonlocal waiting
-            if waiting:
-                yield from asked()
-                waiting = []
+        shard, now, rows = None, None, {MEMBER: [], ASKED_FIRST: [], ASKED: []}
+
+        def taken(role):
+            got = [np.concatenate(x) for x in zip(*rows[role], strict=True)]
+            rows[role] = []
+            return got
+
+        def opened():
+            """The shard, built and audited once its first rows are all there."""
+            nonlocal shard
+            if shard is None and rows[MEMBER]:
+                ids, v, copies = taken(MEMBER)
+                shard = Shard(ids, v, copies, threshold)
+                if rows[ASKED_FIRST]:
+                    first = taken(ASKED_FIRST)
+                    shard.settle(*first[:2])
+                    rows[ASKED].append(first)
+                queries, links, found, recall = shard.audit
+                yield out(AUDIT, [len(ids)], [shard.beam], [queries], [recall])
+
+        def answered():
+            if rows[ASKED]:
+                ids, v, _ = taken(ASKED)
+                n, who, to = shard.query(ids, v)
+                some = np.flatnonzero(n)
+                yield out(COUNT, ids[some], ids[some], n[some])
+                yield out(EDGE, ids[who], shard.ids[to], np.zeros(len(who), "i8"))
+
+        def closed():
+            nonlocal shard
+            yield from opened()
             if shard is not None:
+                yield from answered()
                 root = shard._root(np.arange(len(shard.ids)))
                 joined = np.flatnonzero(root != np.arange(len(root)))
-                yield out(1, shard.ids[joined], shard.ids[root[joined]], np.zeros(len(joined), "i8"))
+                yield out(EDGE, shard.ids[joined], shard.ids[root[joined]], np.zeros(len(joined), "i8"))
+            shard = None
+            for x in rows.values():  # a shard without members answers nothing
+                x.clear()
 
         for batch in batches:
-            keys, kinds = (batch.column(k).to_numpy() for k in (0, 1))
-            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1]), True])
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                ids, copies, v = batch.column(2).to_numpy()[x:y], batch.column(3).to_numpy()[x:y], _matrix(batch.column(4).slice(x, y - x))
-                if keys[x] != now:
-                    yield from left()
-                    now, shard, members = keys[x], None, []
-                if kinds[x] == 0:
-                    members.append((ids, v, copies))
+            d, s, roles, keys, copies = (batch.column(k).to_numpy() for k in range(5))
+            cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (roles[1:] != roles[:-1]), True])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y == x:
                     continue
-                if shard is None:
-                    shard = Shard(*(np.concatenate(m) for m in zip(*members, strict=True)), threshold)
-                    members = []
-                waiting.append((ids, v))
-                if sum(len(w[0]) for w in waiting) >= lanes:
-                    yield from asked()
-                    waiting = []
-        yield from left()
+                if (d[x], s[x]) != now:
+                    yield from closed()
+                    now = d[x], s[x]
+                role = int(roles[x])
+                if role == ASKED:
+                    yield from opened()
+                    if shard is None:
+                        continue
+                rows[role].append((keys[x:y], _matrix(batch.column(5).slice(x, y - x)), copies[x:y]))
+                if role == ASKED and sum(len(r[0]) for r in rows[ASKED]) >= lanes(d[x]):
+                    yield from answered()
+        yield from closed()
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6, shard_rows: int = 500_000) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept. At least `shards` shards; more where one would pass shard_rows."""
+def _search(vectors: DataFrame, threshold: float, shards: int, shard_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """-> all rows with their key's parts, the distinct vectors (written, with a key), what the shards found (written)."""
     v = F.col("embedding")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    valid = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & fine & (norm > 0), F.lit(False))
-    # Adding 0.0 makes -0.0 and 0.0 one, so that equal vectors are equal keys.
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    # adding 0.0 makes -0.0 and 0.0 one, so that equal vectors are equal keys
     zero = F.lit(0.0).cast(vectors.schema["embedding"].dataType.elementType)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + zero).alias("embedding"), valid.alias("valid"))
-    size = rows.where("valid").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    one = rows.where("valid").where(F.size("embedding") == (size[0] if size else 0))
-    reps = written(one.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    n = max(shards, -(-reps.count() // shard_rows))
-    own = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
-    members = reps.select(own.alias("shard"), F.lit(0).alias("kind"), "rep", "copies", "embedding")
-    queries = reps.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), "rep", "copies", "embedding")
-    found = written(members.unionAll(queries).repartition(n, "shard").sortWithinPartitions("shard", "kind", "rep").mapInArrow(_shards(threshold, LANES), "kind int, a long, b long, n long"))
-    links = found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n"))
-    groups = components(found.where("kind = 1").select("a", "b"))
-    of = reps.join(links, reps.rep == links.a, "left").join(groups, reps.rep == groups.node, "left").select(
-        F.col("embedding").alias("e"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), "rep")
-    ids = one.select("vec_id", "embedding")
-    linked = ids.join(of, ids.embedding == of.e).select("vec_id", "n_links", "component_id")
-    rest = rows.where(~F.col("valid") | (F.size("embedding") != (size[0] if size else 0))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + zero).alias("embedding"),
+                          F.coalesce(F.col("vec_id").isNotNull() & fine, F.lit(False)).alias("valid"))
+    reps = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = written(reps.select("embedding", "rep", "copies", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("key")))
+    # shards of each dimension: as many as asked, fewer for few vectors, more where one would pass shard_bytes
+    n = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("n") / TOP)), F.ceil(F.col("n") * F.col("d") * 4 / shard_bytes)).cast("int")
+    sizes = written(reps.groupBy("d").agg(F.count("*").alias("n")).select("d", "n", n.alias("shards")))
+    # half of a key's hash deals it to a shard, the other half chooses it for the audits
+    h = F.xxhash64("key")
+    dealt = reps.join(sizes, "d").select("*", F.pmod(F.shiftright(h, 32), F.col("shards")).cast("int").alias("own"), F.pmod(h, F.lit(1 << 32)).alias("u"))
+    role = F.when(F.col("u") < F.lit(AUDITED * 2.0**32) / F.col("n"), ASKED_FIRST).otherwise(ASKED)
+    members = dealt.select("d", F.col("own").alias("shard"), F.lit(MEMBER).alias("role"), "key", "copies", "embedding")
+    asked = dealt.select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), role.alias("role"), "key", "copies", "embedding")
+    tasks = max(shards, sizes.agg(F.max("shards")).first()[0] or 0)
+    found = members.unionAll(asked).repartitionById(tasks, F.pmod(F.col("d") + F.col("shard"), F.lit(tasks)).cast("int")).sortWithinPartitions("d", "shard", "role")
+    return rows, reps, written(found.mapInArrow(_shards(threshold), _FOUND))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6, shard_bytes: int = 32 << 20) -> DataFrame:
+    """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept. At least `shards` shards; more where one would pass shard_bytes of single-precision components."""
+    return with_audits(vectors, threshold, shards=shards, shard_bytes=shard_bytes)[0]
+
+
+def with_audits(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6, shard_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """near_duplicates' rows, and a row per shard: members, beam (0: compared whole), audited queries, their mean recall."""
+    rows, reps, found = _search(vectors, threshold, shards, shard_bytes)
+    links = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    groups = components(found.where(F.col("kind") == EDGE).select("a", "b")).withColumnRenamed("node", "key")
+    of = reps.join(links, "key", "left").join(groups, "key", "left").select(
+        "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "key").alias("group"), "rep")
+    of = of.join(of.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select(F.col("embedding").alias("e"), "n_links", "component_id")
+    linked = rows.where("valid").join(of, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
+    rest = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    all_rows = linked.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    audits = found.where(F.col("kind") == AUDIT).select(F.col("a").alias("members"), F.col("b").alias("beam"), F.col("n").alias("audited"), "recall")
+    return all_rows, audits

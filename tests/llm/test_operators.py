@@ -344,20 +344,28 @@ def shard_of_groups(n, seed=3):
     return np.arange(n) * 2 + 1, v, np.concatenate([(v[i : i + 1000] @ v.T >= 0.9).sum(1) - 1 for i in range(0, n, 1000)])
 
 
-def test_links_in_a_shard_over_16384_members():
-    ids, v, true = shard_of_groups(17000)
+def in_batches(shard, ids, v, step=2048):
+    return np.concatenate([shard.query(ids[i : i + step], v[i : i + step])[0] for i in range(0, len(ids), step)])
+
+
+def test_links_come_from_the_graph_at_20000_vectors_a_shard(monkeypatch):
+    ids, v, true = shard_of_groups(20000)
     shard = hnsw.Shard(ids, v, np.ones(len(ids), "i8"), 0.9)
-    got = np.concatenate([shard.query(ids[i : i + 4096], v[i : i + 4096])[0] for i in range(0, len(ids), 4096)])
-    assert (got <= true).all() and got.sum() >= 0.99 * true.sum() and true.sum() > 5000
-    # a graph that leads to one link of each: its word that there are any is enough, at every size
-    def one(q, beam):
-        near = q @ v.T
-        near[near > 0.99999] = -1
-        best = near.argmax(1)
-        return np.stack([best, np.full(len(q), -1)], 1), np.stack([near[np.arange(len(q)), best], np.full(len(q), -np.inf)], 1)
+    shard.settle(ids[:4096], v[:4096])
+    monkeypatch.setattr(shard, "_scanned", None)  # no query is compared with the shard
+    got = in_batches(shard, ids, v)
+    assert shard.beam and (got <= true).all() and got.sum() >= 0.99 * true.sum() and true.sum() > 5000
+    queries, links, found, recall = shard.audit
+    assert queries == 4096 and links == true[:4096].sum() and found == got[:4096].sum() and recall >= hnsw.RECALL
 
-    shard.graph.search = one
-    assert (shard.query(ids[:512], v[:512])[0] == true[:512]).all() and true[:512].max() > 1
+
+def test_a_clump_is_found_by_one_of_its_members():
+    ids, v, true = shard_of_groups(3000)
+    shard = hnsw.Shard(ids, v, np.ones(len(ids), "i8"), 0.9)
+    shard.settle(ids, v)
+    right = shard.graph.search
+    shard.graph.search = lambda q, beam: tuple(x[:, :2] for x in right(q, beam))  # itself and one more
+    assert (in_batches(shard, ids, v) == true)[true > 0].mean() > 0.95 and true.max() > 2
 
 
 def test_audit_sees_lost_links_of_small_groups_beside_a_hot_one():
@@ -366,19 +374,19 @@ def test_audit_sees_lost_links_of_small_groups_beside_a_hot_one():
     pairs = np.repeat(rng.normal(size=(300, 64)), 2, axis=0) + 0.1 * rng.normal(size=(600, 64))
     v = np.concatenate([hot, pairs])
     v = (v / np.linalg.norm(v, axis=1)[:, None])[rng.permutation(len(v))]
-    for step, add in ((1, 0), (2, 1), (16, 3)):  # also where no id is divisible by 16
-        ids = np.arange(len(v)) * step + add
+    true = (v @ v.T >= 0.9).sum(1) - 1
+    for worst, beams in ((64, (64, 128, 256)), (1024, (0,))):  # beams up to that miss the pairs; where all do, the shard is compared whole
+        ids = np.arange(len(v)) * 16 + 3
         shard = hnsw.Shard(ids, v, np.ones(len(v), "i8"), 0.9)
-        true = (v @ v.T >= 0.9).sum(1) - 1
         right = shard.graph.search
 
-        def blind(q, beam):  # narrow beams miss the pairs
+        def blind(q, beam):
             near, sims = right(q, beam)
-            return near, np.where(((sims >= 0.9).sum(1) < 3)[:, None] & (beam < 64), -np.inf, sims)
+            return near, np.where(((sims >= 0.9).sum(1) < 3)[:, None] & (beam < worst), -np.inf, sims)
 
         shard.graph.search = blind
-        n, _, _, beam = shard.query(ids, v)
-        assert beam >= 64 and (n == true).all()
+        shard.settle(ids, v)
+        assert shard.beam in beams and (in_batches(shard, ids, v) == true).all()
 
 
 def test_a_hot_group_never_has_all_its_links_in_memory():
@@ -389,15 +397,47 @@ def test_a_hot_group_never_has_all_its_links_in_memory():
     ids = np.arange(len(v))
     shard = hnsw.Shard(ids, v, np.ones(len(v), "i8"), 0.9)
     tracemalloc.start()
-    n, rows, to, _ = shard.query(ids[:4000], v[:4000])
+    shard.settle(ids[:512], v[:512])
+    n, rows, to = shard.query(ids[:4000], v[:4000])
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     true = (v[:4000] @ v.T >= 0.9).sum(1) - 1
-    assert (n == true).all() and true.sum() > 4_000_000 and (rows == np.flatnonzero(true)).all()
+    assert shard.beam and (n == true).all() and true.sum() > 4_000_000 and (rows == np.flatnonzero(true)).all()
     assert len(np.unique(shard._root(np.flatnonzero((v @ v[rows[true[rows] > 1000][0]]) >= 0.95)))) == 1 and (np.einsum("ij,ij->i", v[rows], v[to]) >= 0.9).all()
     assert peak < 300e6, peak
 
 
+def brute_links(rows, threshold=0.9):
+    """n_links and component of (vec_id, vector) rows, vectors of one dimension with one another only."""
+    unit = [np.asarray(v, "f8") / np.abs(v).max() for _, v in rows]
+    unit = [v / np.sqrt(v @ v) for v in unit]
+    link = np.asarray([[i != k and len(a) == len(b) and a @ b >= threshold for k, b in enumerate(unit)] for i, a in enumerate(unit)])
+    want = classes(range(len(rows)), lambda a, b: link[a, b])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[want[k]] = min(least.get(want[k], i), i)
+    return sorted((i, int(link[k].sum()), least[want[k]]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20])
+def test_small_tables_of_vectors(spark, n):
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(3, 4))
+    rows = [(100 - i, (base[i % 3] + 0.05 * rng.normal(size=4)).tolist()) for i in range(n)]
+    df = common.prepare(spark) and spark.createDataFrame([(i, v, 1, 2, "k", 3) for i, v in rows], "vec_id long, embedding array<double>, rep int, copies int, shard string, kind int")
+    got = hnsw.near_duplicates(df).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_vectors_of_any_dimension_and_magnitude(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, [1e200, 0.0]), (4, [1e200, 1.0]), (5, [1e-200, 0.0]), (6, [2e-200, 0.0]), (7, [5e-324, 0.0]), (8, [-1.0, 0.0]), (9, [0.9, 0.4358898943540674]),
+            (20, [1.0, 0.0, 0.0]), (21, [1.0, 0.0, 0.1]), (22, [0.0, 1.0, 0.0]), (23, [0.0, 1.0, 0.0]), (20, [0.0, 0.0, 3.0]), (31, [2.0]), (30, [7.0]), (32, [-7.0]), (40, [1.0] * 9)]
+    df = common.prepare(spark) and spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, audits = hnsw.with_audits(df)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == brute_links(rows)
+    assert sorted(r["members"] for r in audits.collect()) == [1, 3, 4, 9] and audits.where("recall < 0.99").count() == 0  # equal vectors are one member
+
+
 def test_graph_search_recall_over_several_layers():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(60, 24))
