@@ -150,14 +150,42 @@ def test_literal_word_marks_count_as_the_library_has_them(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len(t.encode()), n > 10)
 
 
-def test_overlaps_widen_until_chunks_align():
+def test_overlaps_widen_until_chunks_align(monkeypatch):
     c = token_counts.PieceCounter(PIECES)
+    assert c.plain and c.stable
     rng = np.random.default_rng(0)
     for _ in range(40):
-        t = "".join(rng.choice(list("ab c  \n.é"), 300, p=[0.3, 0.25, 0.1, 0.05, 0.05, 0.05, 0.1, 0.05, 0.05]))
-        assert token_counts.count_by_chunks(c, t, 20, 2) == c.count(t) == len(c.model.encode(t))
-    t = "x" * 700 + " " + "y" * 900  # no boundary for long stretches
-    assert token_counts.count_by_chunks(c, t, 50, 4) == len(c.model.encode(t))
+        t = "".join(rng.choice(list("ab c  \n.é▁龘"), 300, p=[0.25, 0.25, 0.1, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05]))
+        for chunk, overlap in ((20, 2), (7, 1), (299, 1), (100, 30)):
+            assert token_counts.count_by_chunks(c, t, chunk, overlap) == c.count(t) == len(c.model.encode(t))
+    asked = []
+    right = c.starts
+    monkeypatch.setattr(c, "starts", lambda t: asked.append(len(t)) or right(t))
+    t = "word " * 20 + "e" * 300 + " word" * 20  # one overlap falls into a stretch without boundaries
+    assert token_counts.count_by_chunks(c, t, 200, 8) == len(c.model.encode(t))
+    assert max(asked) > 208  # it was widened
+    asked.clear()
+    t = "word and more " * 500
+    assert token_counts.count_by_chunks(c, t, 200, 20) == len(c.model.encode(t)) and max(asked) == 220  # it never was
+
+
+def test_stable_boundaries_hold_without_blanks():
+    """Texts in which no blank helps: boundaries are proven by the vocabulary alone."""
+    c = token_counts.PieceCounter(PIECES)
+    rng = np.random.default_rng(3)
+    for signs in ("的一是不了人我在有他这为之大来", "あいうえお。、漢字かな", "xyzqjk0123", "=+/AbC9"):
+        t = "".join(rng.choice(list(signs), 3000))
+        assert token_counts.count_by_chunks(c, t, 100, 4) == len(c.model.encode(t))
+        ends = set(c.starts(t).tolist())
+        assert all(p in ends for p in range(1, len(t)) if c.cuts(t, p))
+
+
+def test_word_counts_remember_few_bytes():
+    rng, c = np.random.default_rng(0), token_counts.PieceCounter(PIECES)
+    c.count(" ".join(["".join(map(chr, rng.integers(0x4E00, 0x9000, 5000))) for _ in range(40)]))
+    assert not c.words and not c.words.old
+    c.count("short words are kept")
+    assert len(c.words) == 4 and c.words.size < 1000
 
 
 def packed_right(rows, texts, capacity):
