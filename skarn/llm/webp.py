@@ -6,10 +6,14 @@ colour cache, meta codes, and the predictor, cross-colour, subtract-green and pa
 together: a step reads one symbol of each, by numpy operations over the images still open, so the cost follows the longest image
 of the batch and not the number of symbols.
 
-The writer uses a fixed prefix code made for text, the colour cache for repeated pixels and back-references for repeated runs.
-
-Defined results: a null text counts as empty (one row of zeros); repeated rows and null ids are stored each; equal texts give equal
-values; an empty table gives no rows; other columns are not read.
+The writer chooses by image. An image of few colours, where that is shorter, gets a palette with packed indices. One image in SPREAD, by its checksum, is written as
+pictures are, whatever its size, so that stored tables exercise the format's other transforms: green subtracted (if residuals shrink), a
+predictor for each tile (the one of fourteen with the smallest residuals), cross-colour multipliers for each tile (by least squares). The rest are text: literal pixels, the
+colour cache, and back-references for repeated runs; images of LONG rows or more have two groups of prefix codes and meta codes that choose between them by tile. Codes are fixed for
+each kind, made from expected frequencies.
+
+Defined results: a null text counts as empty (one row of zeros); a very long text is several images; repeated rows and null ids are stored each; equal texts give equal
+values; an empty table gives no rows; other columns are not read. There are no ties.
 """
 
 import hashlib
@@ -22,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WIDTH, ROWS, CACHE_BITS, RUN = 16, 128, 8, 4
+#: One image in SPREAD goes through the transforms for pictures; rows from which an image has meta codes; bits of a tile's side.
+SPREAD, LONG, TILE = 8, 64, 4
 HASH = 0x1E35A7BD
 #: Fixed values of the format: order of the code length codes, and the near distances as (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -84,6 +92,10 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
+    def peek(self, n: int) -> int:
+        a = self.at >> 3
+        return int.from_bytes(self.data[a : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         a = self.at >> 3
         v = int.from_bytes(self.data[a : a + 5], "little") >> (self.at & 7)
@@ -259,35 +271,51 @@ def _extra(prefix: int, w: int, n: int) -> tuple[int, int]:
     return ((2 + (prefix & 1)) << k) + ((w >> n) & ((1 << k) - 1)) + 1, n + k
 
 
+#: Headers of code groups that were read before, by their number, cache bits and length in bits: writers with fixed codes repeat them in each image.
 _SEEN: dict = {}
 
 
 def _codes(b: Bits, n: int, cache_bits: int) -> list[Group]:
     """n code groups."""
-    sizes = 280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40
-    return [Group([_read_code(b, s) for s in sizes]) for _ in range(n)]
-
-
-def _seen(b: Bits) -> tuple[int, list[Group]] | None:
-    """What follows the size, if it is bit by bit a header read before: writers with fixed codes repeat it in each image."""
-    for head, bits, cache_bits, groups in _SEEN.get(b.data[5:17], ()):
-        k, last = bits >> 3, (1 << (bits & 7)) - 1
-        if b.data[5 : 5 + k] == head[:k] and (not last or len(b.data) > 5 + k and b.data[5 + k] & last == head[k] & last):
-            b.at = 40 + bits
-            return cache_bits, groups
-    return None
-
-
-def _remember(b: Bits, cache_bits: int, groups: list[Group]) -> None:
-    if len(_SEEN) > 64:
-        _SEEN.clear()
-    _SEEN.setdefault(b.data[5:17], []).append((b.data[5 : (b.at + 7) >> 3], b.at - 40, cache_bits, groups))
+    seen = _SEEN.setdefault((n, cache_bits), {})
+    for bits, known in seen.items():
+        if (groups := known.get(b.peek(bits))) is not None:
+            b.at += bits
+            return groups
+    sizes, at = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40), b.at
+    groups = [Group([_read_code(b, s) for s in sizes]) for _ in range(n)]
+    bits, b.at = b.at - at, at
+    if sum(map(len, seen.values())) > 64:
+        seen.clear()
+    seen.setdefault(bits, {})[b.peek(bits)] = groups
+    b.at = at + bits
+    return groups
 
 
 def _small(b: Bits, width: int, height: int) -> np.ndarray:
     """The image of a transform or of meta codes."""
     cache_bits = b.read(4) if b.read(1) else 0
-    job = _Job(b.data, 0, width, height, cache_bits, _codes(b, 1, cache_bits))
+    groups = _codes(b, 1, cache_bits)
+    if not cache_bits and width * height <= 256:  # a few symbols, read one by one unless they are references
+        at, out = b.at, []
+        tables = [(t.tolist(), len(t).bit_length() - 1) for t in groups[0].tables]
+        while len(out) < width * height:
+            pixel = []
+            for by, n in tables[:4]:
+                a = b.at
+                e = by[b.read(n)] if n else by[0]
+                b.at = a + (e & 15)
+                pixel.append(e >> 4)
+                if pixel[0] > 255:
+                    break
+            if pixel[0] > 255:
+                break
+            green, red, blue, alpha = pixel
+            out.append(blue | green << 8 | red << 16 | alpha << 24)
+        else:
+            return np.asarray(out, "u4").reshape(height, width)
+        b.at = at
+    job = _Job(b.data, 0, width, height, cache_bits, groups)
     job.at = b.at
     out = _decode([job])[0]
     b.at = job.at
@@ -304,10 +332,6 @@ def _open(data: bytes) -> tuple[_Job, int, int, list]:
     if b.read(3):
         raise ValueError("an unknown version")
     now, transforms = width, []
-    if known := _seen(b):
-        job = _Job(data, 0, width, height, known[0], known[1])
-        job.at = b.at
-        return job, width, height, []
     while b.read(1):
         kind = b.read(2)
         if kind in (0, 1):
@@ -330,8 +354,6 @@ def _open(data: bytes) -> tuple[_Job, int, int, list]:
         meta = (small >> np.uint32(8) & np.uint32(0xFFFF)).astype("i8").ravel()
         n = int(meta.max()) + 1
     groups = _codes(b, n, cache_bits)
-    if not transforms and meta is None:
-        _remember(b, cache_bits, groups)
     job = _Job(data, 0, now, height, cache_bits, groups, meta, meta_bits)
     job.at = b.at
     return job, width, height, transforms
@@ -341,22 +363,14 @@ def _undo(pixels: np.ndarray, transform) -> np.ndarray:
     """One transform inverted on rows of ARGB pixels."""
     kind, width, k, data = transform
     if kind == 3:
-        x = np.arange(width)
-        green = pixels >> np.uint32(8) & np.uint32(0xFF)
-        each = 8 >> k
-        index = green[:, x >> k] >> ((x & ((1 << k) - 1)) * each).astype("u4") & np.uint32((1 << each) - 1)
+        index = _indices(pixels, width, k)
         return np.where(index < len(data), data[np.minimum(index, len(data) - 1)], 0).astype("u4")
+    if kind == 1:
+        return _uncross(pixels, data[np.arange(len(pixels)) >> k], k)
     p = pixels.view("u1").reshape(*pixels.shape, 4).copy()  # blue, green, red, alpha
     if kind == 2:
         p[..., 0] += p[..., 1]
         p[..., 2] += p[..., 1]
-    elif kind == 1:
-        y, x = np.arange(p.shape[0]) >> k, np.arange(p.shape[1]) >> k
-        t = data.view("i1").reshape(*data.shape, 4)[y[:, None], x[None, :]].astype("i4")  # green to red, green to blue, red to blue
-        green = p[..., 1].view("i1").astype("i4")
-        red = (p[..., 2] + (t[..., 0] * green >> 5)).astype("u1")
-        blue = p[..., 0] + (t[..., 1] * green >> 5) + (t[..., 2] * red.view("i1").astype("i4") >> 5)
-        p[..., 2], p[..., 0] = red, blue.astype("u1")
     else:
         _unpredict(p, data >> np.uint32(8) & np.uint32(15), k)
     return p.view("u4").reshape(pixels.shape)
@@ -407,6 +421,94 @@ def _unpredict(p: np.ndarray, modes: np.ndarray, k: int) -> None:
                     row[a + x] += guess
 
 
+def _undo_together(images: list[np.ndarray], transforms: list[tuple]) -> list[np.ndarray]:
+    """One transform of each image (the same kind, width and tile size) inverted, all images at once."""
+    kind, width, k, _ = transforms[0]
+    if kind == 0:
+        return _unpredict_together(images, [t[3] >> np.uint32(8) & np.uint32(15) for t in transforms], k)
+    height = np.asarray([len(x) for x in images])
+    rows = np.concatenate(images)
+    if kind == 2:
+        rows = _undo(rows, (2, width, 0, None))
+    elif kind == 1:
+        data = np.concatenate([t[3] for t in transforms])
+        tiles = np.asarray([len(t[3]) for t in transforms])
+        y = np.arange(len(rows)) - np.repeat(np.cumsum(height) - height, height)
+        rows = _uncross(rows, data[np.repeat(np.cumsum(tiles) - tiles, height) + (y >> k)], k)
+    else:
+        colours = [t[3] for t in transforms]
+        n = np.asarray([len(c) for c in colours])
+        index = _indices(rows, width, k).astype("i8")
+        most = np.repeat(n, height)[:, None]
+        rows = np.where(index < most, np.concatenate(colours)[np.repeat(np.cumsum(n) - n, height)[:, None] + np.minimum(index, most - 1)], 0).astype("u4")
+    return np.split(rows, np.cumsum(height)[:-1])
+
+
+def _indices(pixels: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Palette indices of packed pixels."""
+    x, each = np.arange(width), 8 >> k
+    green = pixels >> np.uint32(8) & np.uint32(0xFF)
+    return green[:, x >> k] >> ((x & ((1 << k) - 1)) * each).astype("u4") & np.uint32((1 << each) - 1)
+
+
+def _uncross(pixels: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
+    """Cross-colour inverted; data has the multipliers of each row."""
+    p = pixels.view("u1").reshape(*pixels.shape, 4).copy()
+    t = data.view("i1").reshape(*data.shape, 4)[:, np.arange(p.shape[1]) >> k].astype("i4")  # green to red, green to blue, red to blue
+    green = p[..., 1].view("i1").astype("i4")
+    red = (p[..., 2] + (t[..., 0] * green >> 5)).astype("u1")
+    p[..., 0] = (p[..., 0] + (t[..., 1] * green >> 5) + (t[..., 2] * red.view("i1").astype("i4") >> 5)).astype("u1")
+    p[..., 2] = red
+    return p.view("u4").reshape(pixels.shape)
+
+
+def _guesses(mode: int, left, t, tl, tr) -> np.ndarray:
+    """What predictor `mode` says, from the neighbours' samples (last axis: the four channels; 16-bit)."""
+    half = lambda a, b: (a + b) >> 1
+    if mode == 5:
+        return half(half(left, tr), t)
+    if mode == 10:
+        return half(half(left, tl), half(t, tr))
+    if mode == 11:
+        return np.where((np.abs(t - tl).sum(-1) < np.abs(left - tl).sum(-1))[..., None], left, t)
+    if mode == 12:
+        return np.clip(left + t - tl, 0, 255)
+    if mode == 13:
+        m = half(left, t)
+        d = m - tl
+        return np.clip(m + np.where(d < 0, -(-d // 2), d // 2), 0, 255)
+    pairs = {1: (left, left), 2: (t, t), 3: (tr, tr), 4: (tl, tl), 6: (left, tl), 7: (left, t), 8: (tl, t), 9: (t, tr)}
+    return half(*pairs[mode]) if mode in pairs else np.broadcast_to(np.asarray([0, 0, 0, 255], "i2"), t.shape)
+
+
+def _unpredict_together(images: list[np.ndarray], modes: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Predictors undone pixel by pixel, each over all images that still have the row."""
+    order = sorted(range(len(images)), key=lambda i: -len(images[i]))
+    height, width = np.asarray([len(images[i]) for i in order]), images[0].shape[1]
+    p = np.zeros((height[0], width, len(images), 4), "u1")
+    m = np.zeros((modes[order[0]].shape[0], modes[0].shape[1], len(images)), "u1")
+    for at, i in enumerate(order):
+        p[: len(images[i]), :, at] = images[i].view("u1").reshape(len(images[i]), width, 4)
+        m[: len(modes[i]), :, at] = modes[i]
+    p[0, 0, :, 3] += 255
+    p[0] = np.cumsum(p[0], axis=0, dtype="u1")
+    for y in range(1, height[0]):
+        n = int(np.searchsorted(-height, -y, "left"))  # images that have this row
+        row, up = p[y, :, :n], p[y - 1, :, :n].astype("i2")
+        row[0] += up[0].astype("u1")
+        for tile in range(-(-width >> k) if k else width):
+            own = m[y >> k, tile, :n]
+            groups = [(mode, np.flatnonzero(own == mode)) for mode in np.unique(own).tolist()]
+            for x in range(max(1, tile << k), min(width, (tile + 1) << k)):
+                for mode, g in groups:
+                    right = up[x + 1, g] if x + 1 < width else row[0, g].astype("i2")
+                    row[x, g] += _guesses(mode, row[x - 1, g].astype("i2"), up[x, g], up[x - 1, g], right).astype("u1")
+    out: list = [None] * len(images)
+    for at, i in enumerate(order):
+        out[i] = np.ascontiguousarray(p[: height[at], :, at]).view("u4").reshape(height[at], width)
+    return out
+
+
 def chunks(media: bytes) -> list[bytes]:
     """The lossless streams of images that stand one after the other."""
     out, at = [], 0
@@ -426,12 +528,18 @@ def chunks(media: bytes) -> list[bytes]:
 def read_images(streams: list[bytes]) -> list[np.ndarray]:
     """Pixels (rows of ARGB as unsigned 32-bit) of lossless streams."""
     opened = [_open(s) for s in streams]
-    out = []
-    for pixels, (job, _, height, transforms) in zip(_decode([o[0] for o in opened]), opened, strict=True):
-        rows = pixels.reshape(height, job.width)
-        for t in reversed(transforms):
-            rows = _undo(rows, t)
-        out.append(rows)
+    out = [p.reshape(height, job.width) for p, (job, _, height, _) in zip(_decode([o[0] for o in opened]), opened, strict=True)]
+    todo = [list(o[3]) for o in opened]
+    while any(todo):
+        groups: dict[tuple, list[int]] = {}
+        for i, t in enumerate(todo):
+            if t:
+                groups.setdefault(t[-1][:3], []).append(i)
+        for own in groups.values():
+            last = [todo[i].pop() for i in own]
+            done = _undo_together([out[i] for i in own], last) if len(own) > 4 else [_undo(out[i], t) for i, t in zip(own, last, strict=True)]
+            for i, rows in zip(own, done, strict=True):
+                out[i] = rows
     return out
 
 
@@ -453,53 +561,111 @@ def _text_weights() -> list[float]:
     return w
 
 
-class _Fixed:
-    """The writer's fixed codes and the bits of their header."""
+def _other_weights() -> list[float]:
+    """Bytes of stretches that are no running text: digits, capitals, signs, UTF-8."""
+    return [1.0 if 97 <= c < 123 else 3.0 if 32 <= c < 127 else 2.0 if c >= 128 else 0.1 for c in range(256)]
+
+
+def _residual_weights() -> list[float]:
+    """Differences: small ones are likelier."""
+    return [np.exp(-min(c, 256 - c) / 12) + 0.02 for c in range(256)]
+
+
+def _header(lengths) -> list[tuple[int, int]]:
+    """The bits (value, number) of a code's lengths: single ones, repeats of the last, runs of zeros."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) == 1:
+        return [(0b101 | used[0] << 3, 11)]
+    items, i, last = [], 0, 8
+    while i < len(lengths):
+        n = 1
+        while i + n < len(lengths) and lengths[i + n] == lengths[i]:
+            n += 1
+        if not lengths[i] and n >= 3:
+            n = min(n, 138)
+            items.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+        elif lengths[i] and lengths[i] == last and n >= 3:
+            n = min(n, 6)
+            items.append((16, n - 3, 2))
+        else:
+            items.append((lengths[i], 0, 0))
+            n, last = 1, lengths[i] or last
+        i += n
+    count = [sum(s == k for s, _, _ in items) for k in range(19)]
+    own = code_lengths([n if k > 16 else 1 + n for k, n in enumerate(count)])
+    while max(own) > 7:
+        own = code_lengths([n and 40 + n if k > 16 else 40 + n for k, n in enumerate(count)])
+    c = codes(own)
+    out = [(0, 1), (15, 4), *((own[k], 3) for k in LENGTH_ORDER), (0, 1)]
+    for s, more, m in items:
+        out += [(int(c[s]), own[s]), (more, m)]
+    return out
+
+
+class _Set:
+    """Fixed codes of a group (green with lengths and cache, red, blue, alpha, distances) from weights; a number is a lone symbol."""
+
+    def __init__(self, *weights):
+        lengths = [[int(s == w) for s in range(256)] if isinstance(w, int) else code_lengths(w) for w in weights]
+        self.header = [b for x in lengths for b in _header(x)]
+        # a lone symbol takes no bits
+        self.lengths = [np.asarray(x, "u8") * (sum(map(bool, x)) > 1) for x in lengths]
+        self.codes = [codes(x) * (sum(map(bool, x)) > 1) for x in lengths]
+
+    def pixels(self, green, red, blue, alpha) -> tuple[np.ndarray, np.ndarray]:
+        """Values and bits of literal pixels."""
+        value, n = self.codes[0][green], self.lengths[0][green]
+        for k, v in ((1, red), (2, blue), (3, alpha)):
+            value = value | self.codes[k][v] << n
+            n = n + self.lengths[k][v]
+        return value, n
 
-    def __init__(self):
-        byte = _text_weights()
-        total = sum(byte)
-        green = byte + [total / 900] * 24 + [total / 1200] * (1 << CACHE_BITS)
-        lengths = [code_lengths(green), *[code_lengths(byte)] * 3, code_lengths([1.0] * 40)]
-        self.lengths = [np.asarray(x, "u8") for x in lengths]
-        self.codes = [codes(x) for x in lengths]
-        bits: list[tuple[int, int]] = [(0, 1), (1, 1), (CACHE_BITS, 4), (0, 1)]  # no transform; a cache; no meta codes
-        for x in lengths:
-            bits += self._header(x)
-        value = n = 0
-        for v, k in bits:
-            value |= v << n
-            n += k
-        self.head = [(value >> i & ((1 << min(48, n - i)) - 1), min(48, n - i)) for i in range(0, n, 48)]
-
-    @staticmethod
-    def _header(lengths) -> list[tuple[int, int]]:
-        """A code's lengths: single ones and repeats of the last by symbol 16."""
-        items, i, last = [], 0, 8
-        while i < len(lengths):
-            n = 1
-            while i + n < len(lengths) and lengths[i + n] == lengths[i]:
-                n += 1
-            if lengths[i] == last and n >= 3:
-                n = min(n, 6)
-                items.append((16, n - 3))
-            else:
-                items.append((lengths[i], None))
-                n, last = 1, lengths[i]
-            i += n
-        own = code_lengths([0 if k in (17, 18) else 1 + sum(s == k for s, _ in items) for k in range(19)])
-        while max(own) > 7:
-            own = code_lengths([0 if k in (17, 18) else 40 + sum(s == k for s, _ in items) for k in range(19)])
-        c = codes(own)
-        out = [(0, 1), (15, 4), *((own[k], 3) for k in LENGTH_ORDER), (0, 1)]
-        for s, more in items:
-            out.append((int(c[s]), own[s]))
-            if more is not None:
-                out.append((more, 2))
-        return out
 
+def _joined(bits) -> list[tuple[int, int]]:
+    """Bits as few pairs (value, number), of 48 at most."""
+    value = n = 0
+    for v, k in bits:
+        value |= v << n
+        n += k
+    return [(value >> i & ((1 << min(48, n - i)) - 1), min(48, n - i)) for i in range(0, n, 48)]
 
-_FIXED: list[_Fixed] = []
+
+class _Writer:
+    """The writer's fixed codes and the fixed parts of its headers."""
+
+    def __init__(self):
+        flat, far = [1.0] * 256, [1.0] * 40
+        sets = {}
+        for name, w in (("text", _text_weights()), ("other", _other_weights())):
+            total = sum(w)
+            sets[name] = _Set(w + [total / 900] * 24 + [total / 1200] * (1 << CACHE_BITS), w, w, w, far)
+        sets["colours"] = _Set(flat + [0] * 24, flat, flat, flat, 0)
+        sets["index"] = _Set([1.0] * 280, 0, 0, 255, far)
+        sets["modes"] = _Set([1.0] * 14 + [0] * 266, 0, 0, 255, 0)
+        sets["crosses"] = _Set(flat + [0] * 24, flat, flat, 255, 0)
+        w = _residual_weights()
+        sets["residual"] = _Set(w + [0.01] * 24, w, w, w, far)
+        self.__dict__ |= sets
+        h = {k: x.header for k, x in sets.items()}
+        cache, plain = [(1, 1), (CACHE_BITS, 4)], [(0, 1)]
+        choice = [(0b011, 3), (0, 1), (1, 8), *[(0b101, 11)] * 2, (0b101 | 255 << 3, 11), (0b101, 11)]  # two symbols, 0 and 1
+        tile = (TILE - 2, 3)
+        parts = {
+            "text_head": [(0, 1), *cache, (0, 1), *h["text"]],
+            "meta_head": [(0, 1), *cache, (1, 1), tile, *plain, *choice], "meta_rest": [*h["text"], *h["other"]],
+            "palette_head": [(1, 1), (3, 2)], "palette_colours": [*plain, *h["colours"]], "palette_rest": [(0, 1), *plain, (0, 1), *h["index"]],
+            "green_head": [(1, 1), (2, 2)], "mode_head": [(1, 1), (0, 2), tile, *plain, *h["modes"]], "cross_head": [(1, 1), (1, 2), tile, *plain, *h["crosses"]],
+            "residual_rest": [(0, 1), *plain, (0, 1), *h["residual"]],
+        }
+        self.parts = {k: tuple(np.asarray(x, "u8") for x in zip(*_joined(v), strict=True)) for k, v in parts.items()}
+
+    def part(self, name: str, images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A fixed part for each of the images."""
+        v, n = self.parts[name]
+        return np.repeat(images, len(v)), np.tile(v, len(images)), np.tile(n, len(images))
+
+
+_WRITER: list[_Writer] = []
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -540,69 +706,193 @@ def _runs(pixels: np.ndarray, strip: np.ndarray, stop: np.ndarray) -> list[tuple
     return out
 
 
+def _with_references(value, n, pixels, strip, stop, sets: list[_Set], group) -> np.ndarray:
+    """Puts references into value and n where they are shorter than the literal pixels; returns which places are written."""
+    use = np.ones(len(pixels), bool)
+    for i, length, dist in _runs(pixels, strip, stop):
+        s = sets[group[i] if len(sets) > 1 else 0]
+        v = bits = 0
+        for code, size, base, (p, extra, m) in ((s.codes[0], s.lengths[0], 256, _prefix(length)), (s.codes[4], s.lengths[4], 0, _prefix(dist + 120))):
+            k = int(size[base + p])
+            v |= (int(code[base + p]) | extra << k) << bits
+            bits += k + m
+        if bits < n[i : i + length].sum():
+            value[i], n[i] = v, bits
+            use[i + 1 : i + length] = False
+    return use
+
+
+def _samples(pixels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Green, red, blue, alpha."""
+    return tuple((pixels >> np.uint32(k) & np.uint32(255)).astype("i8") for k in (8, 16, 0, 24))
+
+
+def _rows_of(strip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted image numbers: the numbers, where each starts, how many it has."""
+    first = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
+    return strip[first], first, np.diff(np.r_[first, len(strip)])
+
+
+def _text_images(w: _Writer, pixels, strip, stop, tall) -> list:
+    """Blocks (image, value, bits) of images with the cache, references and, if tall, meta codes."""
+    at = (pixels * np.uint32(HASH)) >> np.uint32(32 - CACHE_BITS)
+    # a pixel is in the cache if the last one in its place was the same
+    o = np.argsort(strip << CACHE_BITS | at, kind="stable")
+    a, b = o[1:], o[:-1]
+    held = np.zeros(len(pixels), bool)
+    held[a] = (pixels[a] == pixels[b]) & (strip[a] == strip[b])
+    both = []
+    for s in (w.text, w.other):
+        v, n = s.pixels(*_samples(pixels))
+        both.append((np.where(held, s.codes[0][280 + at], v), np.where(held, s.lengths[0][280 + at], n)))
+    images, first, count = _rows_of(strip)
+    # tiles of tall images take the group with fewer bits
+    y = (np.arange(len(pixels)) - np.repeat(first, count)) // WIDTH >> TILE
+    tiles = (count // WIDTH + (1 << TILE) - 1) >> TILE
+    tile = np.repeat(np.cumsum(tiles) - tiles, count) + y
+    bits = [np.bincount(tile, weights=n, minlength=int(tiles.sum())) for _, n in both]
+    other = (bits[1] < bits[0]) & np.repeat(tall[images], tiles)
+    group = other[tile].astype("i8")
+    value, n = (np.where(group, both[1][k], both[0][k]) for k in (0, 1))
+    use = _with_references(value, n, pixels, strip, stop, [w.text, w.other], group)
+    owner = np.repeat(images, tiles)
+    high = np.bincount(owner, weights=other, minlength=int(images[-1]) + 1)[images] > 0  # the others need one group only
+    meta = np.repeat(high, tiles)
+    one = np.ones(int(meta.sum()), "u8")
+    return [w.part("text_head", images[~high]), w.part("meta_head", images[high]), (owner[meta], other[meta].astype("u8"), one), w.part("meta_rest", images[high]), (strip[use], value[use], n[use])]
+
+
+def _palette_images(w: _Writer, pixels, strip) -> list:
+    """Blocks of images with a palette."""
+    images, first, count = _rows_of(strip)
+    key, place = np.unique(strip.astype("u8") << np.uint64(32) | pixels, return_inverse=True)
+    owner, colour = (key >> np.uint64(32)).astype("i8"), key.astype("u4")
+    _, start, n = _rows_of(owner)
+    index = place - np.repeat(start, count)
+    k = np.where(n <= 2, 3, np.where(n <= 4, 2, np.where(n <= 16, 1, 0)))
+    # colours as steps from the one before
+    c = colour.view("u1").reshape(-1, 4)
+    step = c - np.concatenate([np.zeros((1, 4), "u1"), c[:-1]])
+    step[start] = c[start]
+    cv, cn = w.colours.pixels(*_samples(np.ascontiguousarray(step).view("u4").ravel()))
+    # 1 << k indices to a pixel; rows start anew
+    packs = np.repeat(k, count)
+    x = (np.arange(len(pixels)) - np.repeat(first, count)) % WIDTH
+    inside = x & ((1 << packs) - 1)
+    head = np.flatnonzero(inside == 0)
+    packed = np.add.reduceat(index << inside * (8 >> packs), head).astype("u4") << np.uint32(8) | np.uint32(255 << 24)
+    own = strip[head]
+    _, f, m = _rows_of(own)
+    v, bits = w.index.pixels(*_samples(packed))
+    use = _with_references(v, bits, packed, own, np.repeat(f + m, m), [w.index], None)
+    size = (images, (n - 1).astype("u8"), np.full(len(n), 8, "u8"))
+    return [w.part("palette_head", images), size, w.part("palette_colours", images), (owner, cv, cn), w.part("palette_rest", images), (own[use], v[use], bits[use])]
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype("u1").view("i1").astype("i4")
+
+
+def _picture_images(w: _Writer, pixels, strip) -> list:
+    """Blocks of images with green subtracted, predictors and cross-colour by tile."""
+    images, first, count = _rows_of(strip)
+    height = count // WIDTH
+    p = pixels.view("u1").reshape(-1, WIDTH, 4).astype("i2")  # blue, green, red, alpha
+    row = np.repeat(np.arange(len(images)), height)
+    top = np.zeros(len(p), bool)
+    top[np.cumsum(height) - height] = True
+    less = np.stack([np.bincount(row, weights=np.abs(_signed(p[..., c] - g)).sum(1)) for c in (0, 2) for g in (0, p[..., 1])])
+    green = less[1] + less[3] < less[0] + less[2]
+    for c in (0, 2):
+        p[..., c] = np.where(green[row][:, None], p[..., c] - p[..., 1], p[..., c]) & 255
+    # predictors: for each tile that with the smallest residuals
+    tiles = (height + (1 << TILE) - 1) >> TILE
+    tile = np.repeat(np.cumsum(tiles) - tiles, height) + (np.arange(len(p)) - np.repeat(np.cumsum(height) - height, height) >> TILE)
+    up = np.concatenate([np.zeros((1, WIDTH, 4), "i2"), p[:-1]])
+    left = np.concatenate([np.zeros((len(p), 1, 4), "i2"), p[:, :-1]], axis=1)
+    tl = np.concatenate([np.zeros((len(p), 1, 4), "i2"), up[:, :-1]], axis=1)
+    tr = np.concatenate([up[:, 1:], p[:, :1]], axis=1)
+    best, mode, res = np.full(int(tiles.sum()), np.inf), np.zeros(int(tiles.sum()), "i8"), np.zeros(p.shape, "u1")
+    for m in range(14):
+        r = (p - _guesses(m, left, up, tl, tr)).astype("u1")
+        cost = np.bincount(tile, weights=np.abs(r.view("i1").astype("i2")).sum((1, 2)), minlength=len(best))
+        better = cost < best
+        best[better], mode[better] = cost[better], m
+        rows = better[tile]
+        res[rows] = r[rows]
+    res[top] = (p - left)[top].astype("u1")
+    res[:, 0] = (p - up)[:, 0].astype("u1")
+    res[top, 0] = (p[top, 0] - np.asarray([0, 0, 0, 255])).astype("u1")
+    # cross-colour: least squares by tile
+    b, g, r = (_signed(res[..., c]) for c in range(3))
+    total = lambda x: np.bincount(tile, weights=x.sum(1), minlength=len(best))
+    by = lambda x, y: np.clip(np.rint(32 * total(x * y) / np.maximum(1, total(y * y))), -128, 127).astype("i4")
+    gr = by(r, g)
+    gb = by(b, g)
+    rest = _signed(b - (gb[tile][:, None] * g >> 5))
+    rb = by(rest, r)
+    res[..., 2] = (r - (gr[tile][:, None] * g >> 5)).astype("u1")
+    res[..., 0] = (b - (gb[tile][:, None] * g >> 5) - (rb[tile][:, None] * r >> 5)).astype("u1")
+    owner = np.repeat(images, tiles)
+    modes = w.modes.pixels(mode, *(np.zeros(len(mode), "i8"),) * 3)
+    crosses = w.crosses.pixels(gb & 255, rb & 255, gr & 255, np.zeros(len(gb), "i8"))
+    flat = res.view("u4").ravel()
+    v, bits = w.residual.pixels(*_samples(flat))
+    use = _with_references(v, bits, flat, strip, np.repeat(first + count, count), [w.residual], None)
+    return [w.part("green_head", images[green]), w.part("mode_head", images), (owner, *modes), w.part("cross_head", images), (owner, *crosses), w.part("residual_rest", images), (strip[use], v[use], bits[use])]
+
+
 def write_media(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a multiple of 64 bytes) as one or several images."""
     if not payloads:
         return []
-    if not _FIXED:
-        _FIXED.append(_Fixed())
-    fixed = _FIXED[0]
+    if not _WRITER:
+        _WRITER.append(_Writer())
+    w = _WRITER[0]
     size = WIDTH * 4 * ROWS
-    rows, owner = [], []
+    rows, owner, picture = [], [], []
     for i, p in enumerate(payloads):
         for a in range(0, len(p), size):
-            rows.append(min(ROWS, (len(p) - a) // (4 * WIDTH)))
+            part = p[a : a + size]
+            rows.append(len(part) // (4 * WIDTH))
             owner.append(i)
+            picture.append(zlib.crc32(part) % SPREAD == 0)
     rgba = np.frombuffer(b"".join(payloads), "u1").reshape(-1, 4)
-    red, green, blue, alpha = rgba.T
-    pixels = blue.astype("u4") | green.astype("u4") << np.uint32(8) | red.astype("u4") << np.uint32(16) | alpha.astype("u4") << np.uint32(24)
-    count = np.asarray(rows, "i8") * WIDTH
+    pixels = np.ascontiguousarray(rgba[:, [2, 1, 0, 3]]).view("u4").ravel()
+    rows, picture = np.asarray(rows, "i8"), np.asarray(picture)
+    count = rows * WIDTH
     strip = np.repeat(np.arange(len(rows)), count)
     stop = np.repeat(np.cumsum(count), count)
-    # a pixel is in the cache if the last one in its place was the same
-    at = (pixels * np.uint32(HASH)) >> np.uint32(32 - CACHE_BITS)
-    o = np.argsort(strip << CACHE_BITS | at, kind="stable")
-    a, b = o[1:], o[:-1]
-    held = np.zeros(len(pixels), bool)
-    held[a] = (pixels[a] == pixels[b]) & (strip[a] == strip[b])
-    # events: one symbol with all its bits
-    (cg, cr, cb, ca, cd), (lg, lr, lb, la, ld) = fixed.codes, fixed.lengths
-    value, n = cg[green], lg[green]
-    for c, k, v in ((cr, lr, red), (cb, lb, blue), (ca, la, alpha)):
-        value = value | c[v] << n
-        n = n + k[v]
-    value = np.where(held, cg[280 + at], value)
-    n = np.where(held, lg[280 + at], n)
-    use = np.ones(len(pixels), bool)
-    for i, length, dist in _runs(pixels, strip, stop):
-        bits = 0
-        for c, k, (p, extra, m) in ((cg, lg, _prefix(length)), (cd, ld, _prefix(dist + 120))):
-            s = p + 256 * (c is cg)
-            v = int(c[s]) | extra << int(k[s]) if c is cg else v | (int(c[s]) | extra << int(k[s])) << bits
-            bits += int(k[s]) + m
-        if bits < n[i : i + length].sum():
-            value[i], n[i] = v, bits
-            use[i + 1 : i + length] = False
-    value, n, strip = value[use], n[use], strip[use]
-    # each image starts at a 64-bit word with the fixed header
-    head_v, head_n = (np.asarray(x, "u8") for x in zip(*fixed.head, strict=True))
-    head = int(head_n.sum())
-    bits = np.bincount(strip, weights=n, minlength=len(rows)).astype("i8") + head
+    text = _text_images(w, pixels, strip, stop, rows >= LONG)
+    long = np.bincount(np.concatenate([b[0] for b in text]), weights=np.concatenate([b[2] for b in text]), minlength=len(rows))
+    key = np.sort(strip.astype("u8") << np.uint64(32) | pixels)
+    colours = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(32)).astype("i8"), minlength=len(rows))
+    head = sum(int(n.sum()) for k, (_, n) in w.parts.items() if k.startswith("palette"))
+    indices = np.where(colours <= 2, 2, np.where(colours <= 4, 4, np.where(colours <= 16, 8, 16)))
+    palette = ~picture & (colours <= 256) & (head + 32 * colours + 8 * rows * indices < long)
+    keep = ~(picture | palette)
+    blocks = [tuple(x[keep[b[0]]] for x in b) for b in text]
+    for some, make in ((palette, _palette_images), (picture, _picture_images)):
+        if some.any():
+            mine = some[strip]
+            blocks += make(w, pixels[mine], strip[mine])
+    image, value, n = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+    o = np.argsort(image, kind="stable")
+    image, value, n = image[o], value[o], n[o]
+    # each image starts at a 64-bit word
+    bits = np.bincount(image, weights=n, minlength=len(rows)).astype("i8")
     words = (bits + 63) // 64 + 1
     base = np.cumsum(words) - words
     inside = np.cumsum(n).astype("i8") - n.astype("i8")
-    first = np.searchsorted(strip, np.arange(len(rows)))
-    place = base[strip] * 64 + head + inside - inside[first][strip]
-    hp = (base[:, None] * 64 + np.r_[0, np.cumsum(head_n)[:-1]].astype("i8")).ravel()
-    value, place = np.concatenate([np.tile(head_v, len(rows)), value]), np.concatenate([hp, place])
+    place = base[image] * 64 + inside - inside[np.searchsorted(image, np.arange(len(rows)))][image]
     packed = np.zeros(int(words.sum()) + 1, "u8")
     shift = place.astype("u8") & np.uint64(63)
     np.bitwise_or.at(packed, place >> 6, value << shift)
     np.bitwise_or.at(packed, (place >> 6) + 1, np.where(shift > 0, value >> (np.uint64(63) - shift) >> np.uint64(1), 0))
     raw = packed.tobytes()
     out: list[list[bytes]] = [[] for _ in payloads]
-    for i, h, b, w in zip(owner, rows, bits.tolist(), base.tolist(), strict=True):
-        data = b"\x2f" + (WIDTH - 1 | (h - 1) << 14 | 1 << 28).to_bytes(4, "little") + raw[8 * w : 8 * w + (b + 7) // 8]
+    for i, h, b, at in zip(owner, rows.tolist(), bits.tolist(), base.tolist(), strict=True):
+        data = b"\x2f" + (WIDTH - 1 | (h - 1) << 14 | 1 << 28).to_bytes(4, "little") + raw[8 * at : 8 * at + (b + 7) // 8]
         pad = b"\0" * (len(data) & 1)
         out[i].append(b"RIFF" + struct.pack("<I", 12 + len(data) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + pad)
     return [b"".join(x) for x in out]
@@ -642,7 +932,7 @@ def _parts(values: list[bytes], most: int = 12 << 20):
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, media binary."""
+    """docs(doc_id, text) -> doc_id, n_bytes, media binary, as a written table."""
 
     def run(batches):
         for b in batches:
@@ -652,7 +942,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return written(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"))
 
 
 def feature(raw: bytes) -> str:

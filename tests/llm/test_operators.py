@@ -623,6 +623,55 @@ def test_palettes(n):
     assert np.array_equal(read(w.data()), colours[index])
 
 
+def kinds(media):
+    """Transforms of all images, and whether they have meta codes."""
+    return [(tuple(x[0] for x in o[3]), o[0].meta is not None) for m in media for o in map(webp._open, webp.chunks(m))]
+
+
+def test_the_writer_chooses_among_all_parts_of_the_format(docs):
+    media = [bytes(r["media"]) for r in webp.store(docs).collect()]
+    got = kinds(media)
+    assert {(), (2, 0, 1)} <= {t for t, _ in got}
+    texts = [webp.payload(t) for t in ["", "a", "ab" * 4000, "x" * 100_000, "A1;" * 50]]
+    media = webp.write_media(texts)
+    assert webp.read_media(media) == texts and (3,) in {t for t, _ in kinds(media)}
+    assert max(map(len, media)) < 6000  # palettes and references
+    rng = np.random.default_rng(2)
+    words = [w.encode() for w in "the quick brown fox jumps over lazy dogs and runs away from home".split()]
+    prose = b" ".join(words[i] for i in rng.integers(0, len(words), 5000))
+    mixed = b"".join((prose[k * 700 : k * 700 + 700], bytes(rng.integers(33, 64, 500, dtype="u1"))[:500])[k % 2] for k in range(40))
+    payloads = [mixed[: 64 * n] for n in range(64, 128)]
+    media = webp.write_media(payloads)
+    assert webp.read_media(media) == payloads and any(m for _, m in kinds(media))
+
+
+def test_every_predictor_and_multiplier_is_written_and_read():
+    """Pictures of different kinds: each image goes through predictors and cross-colour chosen for it."""
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:48, 0:16]
+    pictures = []
+    for k in range(300):
+        a = rng.normal(size=4)
+        base = a[0] * x + a[1] * y + 20 * np.sin(a[2] * x + a[3] * y) + rng.normal(size=(48, 16)).cumsum(k % 2) * (k % 5)
+        rgba = np.stack([base * s + rng.integers(0, 1 + k % 4, base.shape) for s in (1, 0.5, -0.7, 0.1)], axis=-1)
+        pictures.append(rgba.astype("i8").astype("u1").tobytes())
+    media = webp.write_media(pictures)
+    assert webp.read_media(media) == pictures and [webp.read_media([m])[0] for m in media[:40]] == pictures[:40]
+    opened = [o for m in media for o in map(webp._open, webp.chunks(m)) if o[3]]
+    modes = {int(v) >> 8 & 15 for o in opened for t in o[3] if t[0] == 0 for v in t[3].ravel()}
+    assert len(modes) >= 8 and any((t[3] & 0xFFFFFF).any() for o in opened for t in o[3] if t[0] == 1)
+
+
+def test_predictors_undone_together_are_those_undone_alone():
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 1 << 32, (h, 16), dtype="u8").astype("u4") for h in (1, 5, 16, 33, 40, 40)]
+    for k in (2, 4):
+        modes = [rng.integers(0, 16, (-(-len(p) >> k), 16 >> k)).astype("u4") for p in images]
+        alone = [webp._undo(p, (0, 16, k, m << np.uint32(8))) for p, m in zip(images, modes, strict=True)]
+        together = webp._undo_together(images, [(0, 16, k, m << np.uint32(8)) for m in modes])
+        assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+
+
 def test_back_references_and_cache_are_written_and_read():
     run = (b"abcdefghijklmnop" * 40 + b"0123" * 30 + bytes(range(256)) * 3)[: 64 * 20]
     m = webp.write_media([run, b"\0" * 6400])
