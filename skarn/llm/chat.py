@@ -1,18 +1,19 @@
 r"""5. Chat formatting: reply trees to conversations.
 
-Messages form trees (tree_id, node_id, parent_id). Root-to-leaf paths are enumerated by iterative self-joins that
-double their reach: after k rounds each leaf is paired with its ancestors up to 2^k replies away, so a conversation
-of n turns takes log n rounds and each path costs as many narrow rows as it has turns. Branches are ranked by the mean
-score of their messages, and each chosen path is formatted as one conversation.
+Messages form trees (tree_id, node_id, parent_id). Root-to-leaf paths come from iterative self-joins that double their reach. The first rounds carry
+each message's jump 2^k replies up and the sum of the scores it passes, a row per message whatever the tree's shape, until all have reached a start: that gives each leaf's mean
+score, by which branches are ranked. Then the chosen leaves alone are paired with their ancestors, by the same jumps, so a conversation
+of n turns takes log n rounds, and only paths that are formatted cost as many narrow rows as they have turns.
 
 The template: every turn is `<|turn:ROLE|>`, the text, `<|end|>`. Roles are percent-encoded. Control strings (the
 template's own and those of common chat formats) inside texts get a backslash after their first character, and one more
 where backslashes already stand there, so that reading takes exactly one away again. The loss mask is a list of
 [start, end) places, one span for each assistant text, marks excluded.
 
-Defined results: a null text or role counts as empty; a message whose parent is null or missing starts a path;
-messages on or under a cycle of parents reach no start and give no path; repeated messages (equal tree and node) are told
-apart by their text; rows with a null tree (unless null_tree is set, as for turns, where a null conversation is one like any other) or node give no path; an empty table gives no rows; other columns are not read.
+Defined results: a null text or role counts as empty; a null score is 0; a message whose parent is null or missing starts a path;
+messages on or under a cycle of parents reach no start and give no path; branches of equal score are ranked by leaf; messages repeated (equal tree and node) are all formatted, by text, under the
+smallest of their parents and with the largest of their scores; rows with a null tree (unless null_tree is set, as for turns, where a null conversation is one like any other) or node give no path;
+a very long text is one turn, a conversation one row; an empty table gives no rows; other columns are not read.
 """
 
 import re
@@ -55,27 +56,34 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unquote(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """messages(tree_id, node_id, parent_id) -> tree_id, leaf, node_id, up (replies from the leaf), for all whole paths."""
-    nodes = messages.select("tree_id", "node_id", "parent_id").distinct()
+def jumps(messages: DataFrame) -> list[DataFrame]:
+    """messages(tree_id, node_id, parent_id, score) -> tables (tree_id, node_id, anc, total, n), the kth with jumps of 2^k replies: where one ends (null: past the start), the sum and number of scores from the message up to there."""
+    nodes = messages.where("node_id is not null").groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id"), F.max("score").alias("total"))
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    jump = written(nodes.join(known, ["tree_id", "parent_id"], "left").select(
-        "tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("anc")))
-    parents = jump.where("anc is not null").select("tree_id", F.col("anc").alias("node_id")).distinct()
-    reach = written(jump.join(parents, ["tree_id", "node_id"], "left_anti").select(
-        "tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up")))
-    step, rounds = 1, 0
-    most = max(1, jump.count()).bit_length()
-    jump = jump.where("anc is not null")
-    while rounds <= most and not jump.isEmpty():
-        further = reach.join(jump, ["tree_id", "node_id"]).select("tree_id", "leaf", F.col("anc").alias("node_id"), (F.col("up") + step).alias("up"))
-        reach = written(reach.unionByName(further))
-        onward = jump.select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"))
-        jump = written(jump.join(onward, ["tree_id", "anc"]).select("tree_id", "node_id", F.col("anc2").alias("anc")))
-        step, rounds = 2 * step, rounds + 1
-    if rounds > most:  # cycles: what hangs on them never ends
-        looped = jump.select("tree_id", F.col("node_id").alias("leaf")).distinct()
-        reach = reach.join(looped, ["tree_id", "leaf"], "left_anti")
+    out = [written(nodes.join(known, ["tree_id", "parent_id"], "left").select(
+        "tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("anc"), "total", F.lit(1).cast("long").alias("n")))]
+    most = out[0].count().bit_length()  # more rounds than that are cycles
+    while len(out) <= most and not out[-1].where("anc is not null").isEmpty():
+        onward = out[-1].select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
+        out.append(written(out[-1].join(onward, ["tree_id", "anc"], "left").select(
+            "tree_id", "node_id", F.col("anc2").alias("anc"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))))
+    return out
+
+
+def best_leaves(tables: list[DataFrame], top_k: int) -> DataFrame:
+    """tree_id, leaf, rank of the top_k leaves of each tree by the mean score of their paths."""
+    parents = tables[0].where("anc is not null").select("tree_id", F.col("anc").alias("node_id")).distinct()
+    whole = tables[-1].where("anc is null").join(parents, ["tree_id", "node_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("n")), "node_id"))
+    return whole.select("tree_id", F.col("node_id").alias("leaf"), rank.alias("rank")).where(F.col("rank") <= top_k)  # limited before the shuffle as well as after it
+
+
+def paths(tables: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """tree_id, leaf, rank, node_id, up (replies from the leaf) for the whole paths of leaves(tree_id, leaf, rank)."""
+    reach = written(leaves.select("tree_id", "leaf", "rank", F.col("leaf").alias("node_id"), F.lit(0).cast("long").alias("up")))
+    for k, table in enumerate(tables[:-1]):
+        jump = table.where("anc is not null").select("tree_id", "node_id", "anc")
+        reach = reach.unionByName(written(reach.join(jump, ["tree_id", "node_id"]).select("tree_id", "leaf", "rank", F.col("anc").alias("node_id"), (F.col("up") + 2**k).alias("up"))))
     return reach
 
 
@@ -84,12 +92,9 @@ def format_trees(messages: DataFrame, *, top_k: int = 1, learn: str = "assistant
     messages = messages if null_tree else messages.where("tree_id is not null")
     # joins never match nulls: until the end a tree's key is a struct, which is never null
     tree = F.struct(F.col("tree_id").isNull().alias("none"), F.coalesce(F.col("tree_id").cast("long"), F.lit(0).cast("long")).alias("id")).alias("tree_id")
-    m = messages.select(tree, "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    reach = paths(m)
-    scores = m.groupBy("tree_id", "node_id").agg(F.max("score").alias("score"))
-    ranked = reach.join(scores, ["tree_id", "node_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("score")).select(
-        "tree_id", "leaf", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")).alias("rank")).where(F.col("rank") <= top_k)
-    turns = reach.join(ranked, ["tree_id", "leaf"]).join(m, ["tree_id", "node_id"])
+    m = messages.select(tree, F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    tables = jumps(m)
+    turns = paths(tables, best_leaves(tables, top_k)).join(m, ["tree_id", "node_id"])
     chosen = turns.groupBy("tree_id", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "node_id", "text", "role"))).alias("turns"))
 
     def run(batches):

@@ -318,6 +318,95 @@ def test_reply_trees(spark):
     assert chat.format_trees(m.where("false")).count() == 0
 
 
+def best_paths(messages, top_k):
+    """Node ids of each tree's best paths by plain walking; messages: (tree, node, parent, score)."""
+    out = {}
+    for tree in {m[0] for m in messages}:
+        parent, score = {}, {}
+        for t, node, up, s in messages:
+            if t == tree:
+                old = parent.get(node)
+                parent[node] = up if old is None else old if up is None else min(old, up)
+                score[node] = max(score.get(node, -1e9), s)
+        inner = {p for p in parent.values() if p in parent}
+        found = []
+        for leaf in parent:
+            path, seen = [], set()
+            node = leaf
+            while node in parent and node not in seen:
+                seen.add(node)
+                path.append(node)
+                node = parent[node]
+            if leaf not in inner and node not in seen:
+                found.append((-sum(score[x] for x in path) / len(path), leaf, path[::-1]))
+        for rank, (_, leaf, path) in enumerate(sorted(found)[:top_k], 1):
+            out[tree, rank] = leaf, path
+    return out
+
+
+def test_trees_against_plain_walks(spark):
+    """Broad, deep, cyclic and repeated trees with ties of score, and columns named like the operator's own."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for tree in range(12):
+        n = int(rng.integers(1, 60))
+        for node in range(n):
+            up = None if not node or rng.random() < 0.05 else int(rng.integers(max(0, node - 3) if tree % 2 else 0, node))
+            rows.append((tree, node, up, float(rng.integers(0, 4)) / 4))
+        if tree % 3 == 0:
+            rows += [(tree, 100, 101, 1.0), (tree, 101, 100, 1.0), (tree, 102, 101, 1.0), (tree, 0, None, 0.5), (tree, n - 1, 0, 0.25)]
+    rows += [(50, k, 0 if k else None, 0.5) for k in range(400)]  # as broad as can be
+    df = common.prepare(spark) and spark.createDataFrame([(a, b, c, "user", f"{b}", s, 1, 2, 3, "x", 0) for a, b, c, s in rows], "tree_id long, node_id int, parent_id int, role string, text string, score double, leaf int, rank int, anc int, total string, n int")
+    got = {(r["tree_id"], r["rank"]): (r["leaf"], [int(t) for _, t in chat.read_turns(r["formatted"])]) for r in chat.format_trees(df, top_k=3).collect()}
+    want = best_paths(rows, 3)
+    assert {k: (leaf, list(dict.fromkeys(path))) for k, (leaf, path) in got.items()} == want
+
+
+def test_only_chosen_paths_are_expanded(spark):
+    n = 64  # a chain with a leaf at each of its messages: 64 leaves, 64 * 65 / 2 path rows
+    rows = [(1, k, k - 1 if k else None, 1.0) for k in range(n)] + [(1, 1000 + k, k, 0.0) for k in range(n - 1)]
+    tables = chat.jumps(spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double"))
+    leaves = chat.best_leaves(tables, 1)
+    assert [tuple(r) for r in leaves.collect()] == [(1, n - 1, 1)]
+    reach = chat.paths(tables, leaves)
+    assert sorted((r["node_id"], r["up"]) for r in reach.collect()) == [(k, n - 1 - k) for k in range(n)] and len(tables) == 7
+
+
+def test_long_texts_and_clashing_columns_of_turns(spark):
+    text = LONG + "</s>" * 1000
+    c = common.prepare(spark) and spark.createDataFrame([(1, 0, "user", text, 7, 8, 9), (1, 1, "assistant", text, 7, 8, 9)], "conv_id long, turn long, role string, text string, tree_id int, node_id int, rank int")
+    r = chat.read_back(chat.format_trees(chat.turns_as_trees(c), null_tree=True)).first()
+    assert (r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (1, 2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_chat_query_against_its_sql(spark):
+    import duckdb
+
+    from skarn.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = db.sql(queries.oracle_sql()["op5_chat_format"])
+    names = [d[0] for d in want.description]
+    got = queries.op5_chat_format(spark, sf).select(names).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_vector_query_against_its_sql(spark):
+    import duckdb
+
+    from skarn.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = db.sql(queries.oracle_sql()["op6_embedding_dedup"])
+    names = [d[0] for d in want.description]
+    got = queries.op6_embedding_dedup(spark, sf).select(names).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want.fetchall(), key=key)
+
+
 def test_long_chain(spark):
     n = 300
     m = spark.createDataFrame([(1, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(n)], "tree_id long, node_id long, parent_id long, role string, text string, score double")
