@@ -1,7 +1,7 @@
 r"""5. Chat formatting: reply trees to conversations.
 
 Messages form trees (tree_id, node_id, parent_id). Root-to-leaf paths come from iterative self-joins that double their reach. The first rounds carry
-each message's jump 2^k replies up and the sum of the scores it passes, a row per message whatever the tree's shape, until all have reached a start: that gives each leaf's mean
+each message's jump 2^k replies up and the sum of the scores it passes, a row per message that is so far from its start, whatever the tree's shape: that gives each leaf's mean
 score, by which branches are ranked. Then the chosen leaves alone are paired with their ancestors, by the same jumps, so a conversation
 of n turns takes log n rounds, and only paths that are formatted cost as many narrow rows as they have turns.
 
@@ -16,6 +16,7 @@ smallest of their parents and with the largest of their scores; rows with a null
 a very long text is one turn, a conversation one row; an empty table gives no rows; other columns are not read.
 """
 
+import functools
 import re
 from urllib.parse import quote, unquote
 
@@ -57,23 +58,32 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def jumps(messages: DataFrame) -> list[DataFrame]:
-    """messages(tree_id, node_id, parent_id, score) -> tables (tree_id, node_id, anc, total, n), the kth with jumps of 2^k replies: where one ends (null: past the start), the sum and number of scores from the message up to there."""
+    """messages(tree_id, node_id, parent_id, score) -> tables (tree_id, node_id, anc, total, n). The kth has the messages with 2^(k-1) replies above them or more (the first: all): where a jump
+    of 2^k ends (null: past the start, and the message is in no later table), the sum and number of scores from the message up to there."""
     nodes = messages.where("node_id is not null").groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id"), F.max("score").alias("total"))
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     out = [written(nodes.join(known, ["tree_id", "parent_id"], "left").select(
         "tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("anc"), "total", F.lit(1).cast("long").alias("n")))]
     most = out[0].count().bit_length()  # more rounds than that are cycles
-    while len(out) <= most and not out[-1].where("anc is not null").isEmpty():
-        onward = out[-1].select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
-        out.append(written(out[-1].join(onward, ["tree_id", "anc"], "left").select(
-            "tree_id", "node_id", F.col("anc2").alias("anc"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))))
+    while len(out) <= most:
+        live = out[-1].where("anc is not null")
+        if live.isEmpty():
+            break
+        onward = whole_paths(out).unionByName(live).select("tree_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
+        out.append(written(live.join(onward, ["tree_id", "anc"]).select(
+            "tree_id", "node_id", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("n") + F.col("n2")).alias("n"))))
     return out
 
 
+def whole_paths(tables: list[DataFrame]) -> DataFrame:
+    """The messages that have reached a start, with the sum and number of all scores up to it."""
+    return functools.reduce(DataFrame.unionByName, (t.where("anc is null") for t in tables))
+
+
 def best_leaves(tables: list[DataFrame], top_k: int) -> DataFrame:
     """tree_id, leaf, rank of the top_k leaves of each tree by the mean score of their paths."""
     parents = tables[0].where("anc is not null").select("tree_id", F.col("anc").alias("node_id")).distinct()
-    whole = tables[-1].where("anc is null").join(parents, ["tree_id", "node_id"], "left_anti")
+    whole = whole_paths(tables).join(parents, ["tree_id", "node_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("n")), "node_id"))
     return whole.select("tree_id", F.col("node_id").alias("leaf"), rank.alias("rank")).where(F.col("rank") <= top_k)  # limited before the shuffle as well as after it
 
