@@ -17,6 +17,15 @@ def simhash(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def jaccard(a, b, words=5):
+    """Similarity of the sets of word shingles."""
+    sets = []
+    for t in (a, b):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
 def classes(ids, linked):
     """Smallest id reachable, by plain search."""
     out = {}

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import Writer, classes, predict, simhash
+from brute import Writer, classes, jaccard, predict, simhash
 from pyspark.sql import functions as F
 
 from skarn.llm import bpe, chat, common, hnsw, packing, quality, simhash as sh, token_counts, token_output, toxicity, webp, word_ids
@@ -603,11 +603,39 @@ def test_positions_cover_every_shared_set():
 
 
 def test_one_of_each_group_stays(odd):
-    kept = sh.keep_one(odd)
+    kept = sh.keep_one(odd, sh.near_duplicates(odd))
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 4, 7, 9] and kept.where("doc_id is null").count() == 1
 
 
+def test_similar_texts_are_one_group_and_others_are_not(spark, odd, empty, docs):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(4000)]
+    rows, of = [], []
+    for k in range(150):
+        base = [words[i] for i in rng.integers(0, 4000, 220)]
+        for edits in (0, 1, 2, 3, 60):
+            t = list(base)
+            for p in rng.choice(220, edits, replace=False):
+                t[p] = "edited"
+            rows.append((len(rows), " ".join(t)))
+            of.append((k, edits))
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [(i, j) for i, (a, x) in enumerate(of) for j, (b, y) in enumerate(of) if i < j and a == b and max(x, y) < 60]
+    close = [(i, j) for i, j in near if jaccard(rows[i][1], rows[j][1]) >= 0.85]
+    assert len(close) > 400 and np.mean([got[i] == got[j] for i, j in close]) >= 0.99
+    assert all(got[i] == i for i, (_, x) in enumerate(of) if x == 60) and len(set(got.values())) >= 300  # far ones stay apart
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["doc_id"]: r["component_id"] for r in sh.similar(docs).collect()}
+    ids = sorted(texts)
+    pairs = [(a, b, jaccard(texts[a], texts[b])) for k, a in enumerate(ids) for b in ids[k + 1 :]]
+    assert all(found[a] == found[b] for a, b, s in pairs if s >= 0.9)
+    linked = classes(ids, lambda a, b: jaccard(texts[a], texts[b]) >= 0.7)
+    assert all(linked[a] == linked[b] for a, b, _ in pairs if found[a] == found[b])  # nothing below 0.7 is joined
+    one = {(r["doc_id"], r["component_id"]) for r in sh.similar(odd).collect()}
+    assert one == {(1, 1), (2, 2), (3, 2), (4, 4), (5, 1), (None, None), (7, 7), (8, 2), (9, 9)} and sh.similar(empty).count() == 0
+
+
 def test_bpe_is_tiktokens(spark, odd, empty, docs):
     import tiktoken
 
