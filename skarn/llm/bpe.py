@@ -8,7 +8,7 @@ starts from the same state, so a batch is one scan. The pieces are slices of the
 per worker by the lowest rank first and remembered; token offsets (in bytes) stay with the ids, and decoding gathers the
 tokens' bytes.
 
-Defined results: a null text counts as empty (no ids); repeated rows and null ids are encoded each; an empty table
+Defined results: a null text counts as empty (no ids); very long texts and pieces are encoded whole; of equal ranks (a tie) the leftmost pair merges first; repeated rows and null ids are encoded each; an empty table
 gives no rows; other columns are not read.
 """
 

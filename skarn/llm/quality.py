@@ -9,7 +9,9 @@ was not trained on calibrates it.
 
 The fit reads at most sample_rows labelled rows, the first by a hash of doc_id, in one bounded task; scoring covers all rows.
 
-Defined results: a null or empty text pools to zeros and is scored from them; labels that are null are left out; without labelled
+A word's shape is its first 16 signs; terms share BUCKETS hash places.
+
+Defined results: a null or empty text pools to zeros and is scored from them; a very long text is pooled whole, in stretches of CHUNK words; a score of exactly 0.7 (a tie) is accepted; labels that are null are left out; without labelled
 rows of both classes every score is 0.5; repeated rows and null ids are scored each; an empty table gives no rows;
 other columns are not read.
 """

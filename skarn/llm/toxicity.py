@@ -8,7 +8,9 @@ The labels hold toxic 0 or 1 only. Grade 0 is label 0; toxic rows are graded 1 t
 number of tell-tale words (features seen at least 20 times as often in toxic rows). A caller with real grades passes grade_col instead.
 The fit reads at most sample_rows labelled rows of each class, the first by a hash of doc_id, in one bounded task; scoring covers all rows.
 
-Defined results: a null or empty text has no features and scores as such; labels that are null are left out; without
+At most KEPT features are kept (the best-separating; equal ones by their number), words and beginnings share WIDTH hash places.
+
+Defined results: a null or empty text has no features and scores as such; a very long text is counted whole; at exactly TOXIC (a tie) a text is toxic, of equal grades the lower is given; labels that are null are left out; without
 labelled rows of both classes every severity is 0; repeated rows and null ids are scored each; an empty table gives no
 rows; other columns are not read.
 """
@@ -27,7 +29,7 @@ from .common import worker_memory, written
 
 #: Features are seen in at least the share LEAST of toxic rows (and 3), and RATIO times as often as in clean ones.
 #: A document counts as toxic from the chance TOXIC on, which one plain insult reaches.
-GRADES, WIDTH, RATIO, LEAST, TOXIC = 4, 1 << 20, 10, 0.015, 0.15
+GRADES, WIDTH, RATIO, LEAST, TOXIC, KEPT = 4, 1 << 20, 10, 0.015, 0.15, 2000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,7 +58,7 @@ def features(text: str | None, of) -> dict[int, int]:
     return counts
 
 
-def fit(rows: list[tuple[dict[int, int], int | None, int]], share: float | None = None, kept: int = 2000, steps: int = 500) -> dict:
+def fit(rows: list[tuple[dict[int, int], int | None, int]], share: float | None = None, kept: int = KEPT, steps: int = 500) -> dict:
     """rows: (features, grade or None, toxic) -> columns, weights, thresholds. share: of toxic rows among all labels, if the sample has another."""
     toxic = np.asarray([t for _, _, t in rows], bool)
     n1, n0 = toxic.sum(), (~toxic).sum()

@@ -258,6 +258,67 @@ def test_severity_on_held_out_rows(spark, docs, sf_dir, odd, empty):
     assert toxicity.harmless(odd, model).columns == odd.columns
 
 
+def plain_severity(text, model):
+    """Severity and chances by the formulas alone: 1 + log(count) of each known feature, a logistic link per threshold."""
+    import re
+
+    counts = {}
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for f in [f"w {word}"] + [f"{n} {word[:n]}" for n in (4, 5, 6) if len(word) > n]:
+            j = model["columns"].get(zlib.crc32(f.encode()) % toxicity.WIDTH)
+            if j is not None:
+                counts[j] = counts.get(j, 0) + 1
+    z = sum(model["w"][j] * (1 + np.log(n)) for j, n in counts.items())
+    over = [1 / (1 + np.exp(-(z - t))) for t in model["t"]]
+    each = [a - b for a, b in zip([1, *over], [*over, 0], strict=True)]
+    return sum(over), int(np.argmax(each)), over[0], int(over[0] >= toxicity.TOXIC)
+
+
+def test_severity_against_a_plain_scorer_and_held_out_recall(spark, odd):
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.table(common.prepare(spark), d, "documents"), common.table(spark, d, "labels")
+    model = toxicity.train(docs, labels.where("doc_id % 2 = 1"))
+    for df in (docs, odd):
+        got = sorted((tuple(r) for r in toxicity.severity(df, model).collect()), key=key)
+        want = sorted(((r["doc_id"], *plain_severity(r["text"], model)) for r in df.select("doc_id", "text").collect()), key=key)
+        assert all(a[0] == b[0] and np.allclose(a[1:], b[1:], atol=1e-9) for a, b in zip(got, want, strict=True))
+    found = {r["doc_id"]: r["toxic"] for r in toxicity.severity(docs, model).collect()}
+    held = [(r["toxic"], found[r["doc_id"]]) for r in labels.where("doc_id % 2 = 0 and toxic is not null").collect() if r["doc_id"] in found]
+    assert np.mean([f for t, f in held if t]) >= 0.6 and np.mean([f for t, f in held if not t]) <= 0.05
+
+
+def test_the_fit_is_a_minimum_of_the_cumulative_link_loss():
+    """The plain loss (a logistic loss per threshold, weights shared) has no lower neighbour, and separates grades by one weight vector."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in rng.integers(0, 4, 400).tolist():
+        x = {10 + int(k): 1 for k in rng.integers(0, 5, 2)}
+        if g:
+            x |= {1: g, 2: 1}
+        rows.append((x, g, int(g > 0)))
+    m = toxicity.fit(rows, steps=4000)
+    n1 = sum(t for _, _, t in rows)
+    share = n1 / len(rows)
+
+    def loss(w, thresholds):
+        total = 0.0
+        for x, g, t in rows:
+            z = sum(w[m["columns"][k]] * (1 + np.log(n)) for k, n in x.items() if k in m["columns"])
+            for k, th in enumerate(thresholds):
+                s = z - th if g > k else th - z
+                total += (share / n1 if t else (1 - share) / (len(rows) - n1)) * np.logaddexp(0, -s)
+        return total + 1e-6 * (w @ w)
+
+    best = loss(m["w"], m["t"])
+    assert len(m["columns"]) and best < loss(0 * m["w"], m["t"])
+    for k in range(len(m["w"])):
+        for step in (-0.3, 0.3):
+            assert loss(m["w"] + step * (np.arange(len(m["w"])) == k), m["t"]) >= best - 1e-4
+    for k in range(3):
+        for step in (-0.3, 0.3):
+            assert loss(m["w"], m["t"] + step * (np.arange(3) == k)) >= best - 1e-4
+
+
 def test_ordered_grades_are_learned():
     rng = np.random.default_rng(0)
     rows = [({1: 1 + g, 2 + int(rng.integers(3)): 1} if g else {2 + int(rng.integers(3)): 1}, g, int(g > 0)) for g in rng.integers(0, 4, 600).tolist()]
@@ -289,6 +350,53 @@ def test_quality_on_held_out_rows(spark, quality_model, odd, empty):
     assert kept.columns == odd.columns and kept.count() == sum(r["predicted"] for r in one)
 
 
+def plain_quality(text, model):
+    """Pooling, network and temperature word by word."""
+    index, context = quality.index_vectors().astype("f8"), model["context"].astype("f8")
+    words, d = (text or "").split(), quality.DIM
+    pooled = np.zeros(3 * d + 4)
+    if words:
+        vectors, own = [], []
+        for word in words:
+            w, s = (zlib.crc32(t.encode()) % quality.BUCKETS for t in (f"w {word}", f"s {quality.shape(word)}"))
+            v = context[w] + context[s] + index[s]
+            vectors.append(v / max(1e-6, np.sqrt(v @ v)))
+            own.append(index[w])
+        n, mean = len(words), sum(vectors) / len(words)
+        pooled[:d] = mean
+        pooled[d : 2 * d] = np.sqrt(np.maximum(sum(v * v for v in vectors) / n - mean * mean, 0))
+        pooled[2 * d : 3 * d] = sum(own) / n
+        pooled[3 * d] = sum(a @ b for a, b in zip(own, own[1:])) / n  # noqa: B905
+        pooled[3 * d + 1] = sum(a @ b for a, b in zip(own, own[2:])) / n  # noqa: B905
+        pooled[3 * d + 2] = np.sqrt(pooled[2 * d : 3 * d] @ pooled[2 * d : 3 * d])
+        pooled[3 * d + 3] = np.log1p(n) / 10
+    x, net = (pooled - model["mean"]) / model["sd"], model["net"]
+    hidden = [max(0.0, float(x @ net["w1"][:, j] + net["b1"][j])) for j in range(len(net["b1"]))]
+    return 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net["w2"].tolist(), strict=True)) + float(net["b2"][0])) / model["temperature"]))
+
+
+def test_quality_against_a_plain_scorer(spark, quality_model, docs, odd):
+    for df in (docs.limit(60), odd.where("length(text) < 10000 or text is null")):
+        text = df.select("doc_id", "text").collect()
+        want = sorted(((r["doc_id"], plain_quality(r["text"], quality_model)) for r in text), key=key)
+        got = sorted(((r["doc_id"], r["score"]) for r in quality.scored(spark.createDataFrame(text, "doc_id long, text string"), quality_model).collect()), key=key)
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, want, strict=True))
+
+
+def test_temperature_calibrates_noisy_labels():
+    """With a quarter of the labels wrong no honest score is near 0 or 1."""
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 2, 900)
+    texts = [" ".join(rng.choice([f"plain{k}" for k in range(40)] if c else [f"LOUD{k}!" for k in range(40)], 30)) for c in kind]
+    y = np.where(rng.random(900) < 0.25, 1 - kind, kind)
+    m = quality.fit(texts[:600], y[:600])
+    s = quality._scores(texts[600:], m, quality._Rows(m["context"].astype("f4"), quality.index_vectors()))
+    z, held = np.log(s / (1 - s)), y[600:]
+    loss = lambda t: np.mean(np.logaddexp(0, z / t) - held * z / t)
+    assert all(loss(1) < loss(t) for t in (1 / 3, 1 / 2, 2, 3))  # no other temperature does better on unseen rows
+    assert 0.6 < s[kind[600:] == 1].mean() < 0.9 and 0.1 < s[kind[600:] == 0].mean() < 0.45
+
+
 def test_labels_held_out_are_never_read(spark, sf_dir):
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
