@@ -27,7 +27,8 @@ LETTER, NUMBER, OTHER, WHITE, BLANK_BEFORE, WHITE_BEFORE, SHORT, LONG = range(8)
 #: States: after a piece that ended; in letters, numbers, other signs; after a blank that joins what follows;
 #: in white space; one or two letters to go in a contraction.
 ENDED, LETTERS, NUMBERS, OTHERS, BLANK, WHITES, ONE, TWO = range(8)
-BLOCK, LONGEST, REMEMBERED = 64, 40, 500_000
+#: REMEMBERED: bytes of pieces and their ids that a worker keeps in each of two halves, of which the older is let go.
+BLOCK, LONGEST, REMEMBERED = 64, 40, 64 << 20
 _KEPT: dict = {}
 
 
@@ -158,6 +159,7 @@ class Bpe:
         self.decimal = list(map(str, range(self.size)))
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.kept = 0
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the tokens made of a and b; a large number where none."""
@@ -224,9 +226,9 @@ class Bpe:
         return np.asarray([i for i in ids if i >= 0], "<u4").tobytes()
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Merge pieces not yet known; what the last REMEMBERED pieces and the ones before them left is kept."""
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.old = {}, self.ids
+        """Merge pieces not yet known; what was learned last, up to a bound of bytes, and before it is kept."""
+        if self.kept > REMEMBERED:
+            self.ids, self.old, self.kept = {}, self.ids, 0
         new = [p for p in pieces if p not in self.ids]
         if self.old:
             self.ids.update((p, self.old[p]) for p in new if p in self.old)
@@ -236,6 +238,7 @@ class Bpe:
             some = short[i : i + 4096]
             self.ids.update(zip(some, self.merge_many(some), strict=True))
         self.ids.update((p, self.merge_long(p)) for p in new if len(p) > LONGEST)
+        self.kept += sum(len(p) + len(self.ids[p]) + 180 for p in new)  # with what Python adds
 
     def pieces(self, texts: list[str]) -> list[list[bytes]]:
         """The pieces of each text, in order."""
