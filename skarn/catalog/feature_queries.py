@@ -115,12 +115,12 @@ def _vocab(x):
 
 _RANKED = f"""{EXPR}, {_VOC}, med AS (SELECT gene_id, median(value) AS median FROM expr GROUP BY 1), tot AS (SELECT cell_id, sum(value) AS total FROM expr GROUP BY 1),
   s AS (SELECT cell_id, token, round(value / total * 10000 / median, 9) AS score FROM expr JOIN voc USING (gene_id) JOIN med USING (gene_id) JOIN tot USING (cell_id)),
-  tok AS (SELECT cell_id, list_concat(list_concat([1::INTEGER], list(token ORDER BY score DESC, token)[:30]), [2::INTEGER]) AS input_ids FROM s GROUP BY 1)"""
+  tok AS (SELECT cell_id, list_concat(list_concat([1::INTEGER], list(token ORDER BY score DESC, token)[:2046]), [2::INTEGER]) AS input_ids FROM s GROUP BY 1)"""
 
 
 def _tokens(s, d):
     x = A.expr(s, d)
-    return T.rank_tokens(x, x.groupBy("gene_id").agg(F.median("value").alias("median")), _vocab(x), 32, (1, 2))
+    return T.rank_tokens(x, x.groupBy("gene_id").agg(F.median("value").alias("median")), _vocab(x), 2048, (1, 2))
 
 
 @query("t1_rank_tokens", f"WITH {_RANKED} SELECT cell_id, input_ids, CAST(len(input_ids) AS INTEGER) AS length FROM tok")
@@ -169,21 +169,21 @@ def t7(s, d):
 
 
 @query("t8_make_bags", f"""WITH {_RANKED}, {CELLS}, x AS (SELECT sample_id, cell_id, input_ids, row_number() OVER (PARTITION BY sample_id ORDER BY md5(cell_id || ':0'), cell_id) AS nth FROM tok JOIN cells USING (cell_id))
-  SELECT sample_id, CAST(floor((nth - 1) / 20) AS BIGINT) AS bag, list(cell_id ORDER BY nth) AS cells, list(CAST(least(len(input_ids), 16) AS INTEGER) ORDER BY nth) AS lengths FROM x WHERE nth <= 45 GROUP BY ALL""")
+  SELECT sample_id, CAST(floor((nth - 1) / 500) AS BIGINT) AS bag, list(cell_id ORDER BY nth) AS cells, list(CAST(least(len(input_ids), 512) AS INTEGER) ORDER BY nth) AS lengths FROM x WHERE nth <= 1000 GROUP BY ALL""")
 def t8(s, d):
-    return T.make_bags(_tokens(s, d), A.cells(s, d), 45, 20, 16)
+    return T.make_bags(_tokens(s, d), A.cells(s, d), 1000, 500, 512)
 
 
-_VECS = """vecs AS (SELECT CAST(vec_id % 97 AS VARCHAR) AS cell_id, CAST(vec_id // 97 AS INTEGER) AS pos, [x::DOUBLE FOR x IN embedding] AS vec FROM embeddings)"""
+_VECS = """vecs AS (SELECT CAST(vec_id // 97 AS VARCHAR) AS cell_id, CAST(vec_id % 97 AS INTEGER) AS pos, [x::DOUBLE FOR x IN embedding] AS vec, CAST(20 + (vec_id // 97) * 37 % 78 AS INTEGER) AS length FROM embeddings)"""
 
 
 def _vecs(s, d):
-    """Vectors as token vectors: sequences by vec_id modulo 97, places by the quotient."""
+    """Vectors as token vectors: sequences of 97 places by vec_id, of which 20 to 97 count."""
     k = F.col("vec_id")
-    return A.read(s, d, "embeddings").select((k % 97).cast("string").alias("cell_id"), F.floor(k / 97).cast("int").alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), F.lit(4).alias("length"))
+    return A.read(s, d, "embeddings").select(F.floor(k / 97).cast("string").alias("cell_id"), (k % 97).cast("int").alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), (20 + F.floor(k / 97) * 37 % 78).cast("int").alias("length"))
 
 
-@query("t9_mean_pool", f"WITH {_VECS}, x AS (SELECT cell_id, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM vecs WHERE pos < 4), m AS (SELECT cell_id, dim, round(avg(v), 6) AS v FROM x GROUP BY ALL) SELECT cell_id, list(v ORDER BY dim) AS embedding FROM m GROUP BY 1")
+@query("t9_mean_pool", f"WITH {_VECS}, x AS (SELECT cell_id, pos, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM vecs WHERE pos < length), m AS (SELECT cell_id, dim, round(avg(v), 6) AS v FROM x GROUP BY ALL) SELECT cell_id, list(v ORDER BY dim) AS embedding FROM m GROUP BY 1")
 def t9(s, d):
     return T.mean_pool_tokens(_vecs(s, d))
 

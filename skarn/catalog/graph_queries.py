@@ -58,13 +58,13 @@ def n5(s, d):
     return N.communities(N.connectivities(_edges(s, d)), 0.3)
 
 
-_CC = f"""{_KNN}, inn AS (SELECT i, j FROM knn WHERE la = lb AND rank <= 3), lk AS (SELECT i, j FROM inn UNION SELECT j, i FROM inn), rc AS (SELECT cell_id AS a, cell_id AS b FROM emb UNION SELECT rc.a, lk.j FROM rc JOIN lk ON rc.b = lk.i),
+_CC = f"""{_KNN}, inn AS (SELECT i, j FROM knn WHERE la = lb), lk AS (SELECT i, j FROM inn UNION SELECT j, i FROM inn), rc AS (SELECT cell_id AS a, cell_id AS b FROM emb UNION SELECT rc.a, lk.j FROM rc JOIN lk ON rc.b = lk.i),
   cc AS (SELECT a AS cell_id, min(b) AS component FROM rc GROUP BY 1)"""
 
 
 @query("n6_components", f"WITH RECURSIVE {_CC} SELECT cc.cell_id, component, label FROM cc JOIN emb USING (cell_id)")
 def n6(s, d):
-    return N.components_within(_edges(s, d).where("rank <= 3"), A.embeddings(s, d))
+    return N.components_within(_edges(s, d), A.embeddings(s, d))
 
 
 _ROLES = "rl AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(cell_id || ':0'), cell_id) <= least(greatest(round(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE), 1), count(*) OVER (PARTITION BY label) - 1) THEN 'test' ELSE 'train' END AS role FROM emb)"
@@ -130,7 +130,7 @@ def m4(s, d):
 
 @query("m5_graph_connectivity", f"WITH RECURSIVE {_CC}, cs AS (SELECT label, component, count(*) AS n FROM cc JOIN emb USING (cell_id) GROUP BY ALL), sh AS (SELECT label, max(n) / sum(n) AS s FROM cs GROUP BY 1) SELECT round(avg(s), 6) AS graph_connectivity FROM sh")
 def m5(s, d):
-    return M.graph_connectivity(_edges(s, d).where("rank <= 3"), A.embeddings(s, d)).select(r6("graph_connectivity").alias("graph_connectivity"))
+    return M.graph_connectivity(_edges(s, d), A.embeddings(s, d)).select(r6("graph_connectivity").alias("graph_connectivity"))
 
 
 @query("m6_pcr")
@@ -207,7 +207,7 @@ def m13(s, d):
 
 @query("m14_subsampled_suite")
 def m14(s, d):
-    return M.embedding_suite(P.sample_stratified(A.embeddings(s, d), 300, "batch", 42)).withColumn("value", r6("value"))
+    return M.embedding_suite(P.sample_stratified(A.embeddings(s, d), 10_000, "batch", 42)).withColumn("value", r6("value"))
 
 
 @query("m15_bootstrap_suite")
@@ -314,8 +314,8 @@ def a12(s, d):
 
 
 def _patient_vectors(s, d):
-    """Each sample's mean of its cells' first eight embedding values."""
-    e = A.embeddings(s, d).select("cell_id", F.slice("embedding", 1, 8).alias("embedding"))
+    """Each sample's mean of its cells' embeddings."""
+    e = A.embeddings(s, d).select("cell_id", "embedding")
     c = A.cells(s, d)
     return e, c, PT.mean_embedding(e, c).join(_patients(s, d).select("sample_id", "label"), "sample_id")
 

@@ -9,6 +9,7 @@ from ..plans.adapters import CELLS, EMB, EXPR, METRICS, PREDS, query
 from ..plans.storage import shared_dir
 from ..sources import runs, tables
 from ..sources.embed import embed
+from ..streaming.ledger import stream_ledger
 from .feature_queries import _FOLD, _PAT, _patients
 
 
@@ -132,5 +133,5 @@ def s14(s, d):
     rows.write.parquet(f"{root}/in")
     again = s.read.parquet(f"{root}/in")
     again.write.mode("append").parquet(f"{root}/in")  # every run arrives twice
-    runs.stream_ledger(s, f"{root}/in", again.schema, f"{root}/out", f"{root}/state").awaitTermination()
+    stream_ledger(s, f"{root}/in", again.schema, f"{root}/out", f"{root}/state").awaitTermination()
     return s.read.schema(again.schema).parquet(f"{root}/out").select("run_id", "n")

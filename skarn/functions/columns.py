@@ -45,3 +45,12 @@ def mapped(c, mapping: dict) -> Column:
 
 def l2(v) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def vector_stat(name: str, array, weight=None) -> F.col:
+    """Element by element over rows: mean, sum, max of array columns of one length, as an aggregate with partial sums per task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(array)
+    return vector_to_array(getattr(Summarizer, name)(v, weight) if weight is not None else getattr(Summarizer, name)(v))

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import vector_stat
+
 
 def mean_embedding(emb: DataFrame, cells: DataFrame, sample: str = "sample_id") -> DataFrame:
-    x = emb.join(cells.select("cell_id", sample), "cell_id").select(sample, F.posexplode("embedding").alias("dim", "v"))
-    return x.groupBy(sample, "dim").agg(F.avg("v").alias("v")).groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("dim", F.round("v", 6).alias("v")))).alias("a")).select(sample, F.col("a.v").alias("embedding"))
+    x = emb.join(cells.select("cell_id", sample), "cell_id")
+    return x.groupBy(sample).agg(F.transform(vector_stat("mean", F.col("embedding")), lambda v: F.round(v, 6)).alias("embedding"))
 
 
 def pseudobulk(expr: DataFrame, cells: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -46,8 +48,8 @@ def attention(logits: DataFrame, bag: str, temperature: float = 1.0) -> DataFram
 
 
 def attention_pool(emb: DataFrame, logits: DataFrame, bag: str, temperature: float = 1.0) -> DataFrame:
-    x = emb.select("cell_id", "embedding").join(attention(logits, bag, temperature), "cell_id").select(bag, "attn", F.posexplode("embedding").alias("dim", "v"))
-    return x.groupBy(bag, "dim").agg(F.sum(F.col("attn") * F.col("v")).alias("v")).groupBy(bag).agg(F.array_sort(F.collect_list(F.struct("dim", F.round("v", 6).alias("v")))).alias("a")).select(bag, F.col("a.v").alias("embedding"))
+    x = emb.select("cell_id", "embedding").join(attention(logits, bag, temperature), "cell_id")
+    return x.groupBy(bag).agg(F.transform(vector_stat("sum", F.col("embedding"), F.col("attn")), lambda v: F.round(v, 6)).alias("embedding"))
 
 
 def attention_frame(attn: DataFrame, bag: str, top_k: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_order, uniform
+from ..functions.columns import hash_order, uniform, vector_stat
 
 
 def rank_tokens(expr: DataFrame, medians: DataFrame, vocab: DataFrame, max_len: int = 2048, special: tuple[int, int] | None = None, offset: int = 0) -> DataFrame:
@@ -101,16 +101,14 @@ def make_bags(tokens: DataFrame, cells: DataFrame, max_cells: int = 1000, bag: i
 
 def mean_pool_tokens(vecs: DataFrame) -> DataFrame:
     """vecs(cell_id, pos, length, vec): mean over the places before length."""
-    x = vecs.where("pos < length").select("cell_id", F.posexplode("vec").alias("dim", "v"))
-    return x.groupBy("cell_id", "dim").agg(F.avg("v").alias("v")).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("dim", F.round("v", 6).alias("v")))).alias("a")).select("cell_id", F.col("a.v").alias("embedding"))
+    return vecs.where("pos < length").groupBy("cell_id").agg(F.transform(vector_stat("mean", F.col("vec")), lambda v: F.round(v, 6)).alias("embedding"))
 
 
 def pool_tokens(vecs: DataFrame, mode: str = "all") -> DataFrame:
     """vecs(cell_id, pos, vec): last, last but one, maximum and mean side by side ('all'), or one of max, cls, mean, sum."""
-    x = vecs.select("cell_id", "pos", F.posexplode("vec").alias("dim", "v"))
-    last = F.max_by("v", "pos")
-    second = F.element_at(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v")), False), lambda s: s["v"]), 2) if mode == "all" else F.lit(0.0)
-    d = x.groupBy("cell_id", "dim").agg(last.alias("last"), second.alias("second"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.sum("v"), 6).alias("sum"), F.min_by("v", "pos").alias("cls"))
-    a = F.array_sort(F.collect_list(F.struct("dim", "last", "second", "max", "mean", "sum", "cls")))
+    rounded = lambda a: F.transform(a, lambda v: F.round(v, 6))
+    # the vectors of one sequence, no longer than a model's context, are together only for the last but one
+    second = F.element_at(F.slice(F.sort_array(F.collect_list(F.struct("pos", "vec")), False), 1, 2)["vec"], 2)
+    stats = {"last": F.max_by("vec", "pos"), "second": second, "max": vector_stat("max", F.col("vec")), "mean": rounded(vector_stat("mean", F.col("vec"))), "sum": rounded(vector_stat("sum", F.col("vec"))), "cls": F.min_by("vec", "pos")}
     pick = ("last", "second", "max", "mean") if mode == "all" else (mode,)
-    return d.groupBy("cell_id").agg(a.alias("a")).select("cell_id", F.concat(*[F.col(f"a.{p}") for p in pick]).alias("embedding"))
+    return vecs.groupBy("cell_id").agg(*[stats[k].alias(k) for k in pick]).select("cell_id", F.concat(*pick).alias("embedding"))

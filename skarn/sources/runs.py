@@ -13,12 +13,6 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def stream_ledger(spark: SparkSession, path: str, schema, target: str, checkpoint: str):
-    """Ledger rows as they arrive, each run once; runs until what is there has been taken."""
-    rows = spark.readStream.schema(schema).parquet(path).withWatermark("started", "1 day").dropDuplicatesWithinWatermark(["run_id"])
-    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def scan_runs(spark: SparkSession, root: str, filename: str, contains: str = "") -> DataFrame:
     """Metric CSVs named filename anywhere below root, with the run (their folder's name); paths must hold `contains`."""
     df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", filename).schema("metric string, value double, fold int").csv(root)
