@@ -55,9 +55,10 @@ def _genes20(s, d):
     return A.expr(s, d).groupBy("gene_id").agg(F.sum("value").alias("t")).orderBy(F.desc("t"), "gene_id").limit(20)
 
 
-@query("v5_hvg_embedding", f"WITH {EXPR}, {_GENES20} SELECT CAST(c_custkey AS VARCHAR) AS cell_id, list(coalesce(value, 0) ORDER BY pos) AS embedding FROM customer CROSS JOIN g LEFT JOIN expr e ON e.cell_id = CAST(c_custkey AS VARCHAR) AND e.gene_id = g.gene_id GROUP BY 1")
+@query("v5_hvg_embedding", f"WITH {EXPR}, g AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS pos FROM (SELECT DISTINCT gene_id FROM expr)) SELECT CAST(c_custkey AS VARCHAR) AS cell_id, list(coalesce(value, 0) ORDER BY pos) AS embedding FROM customer CROSS JOIN g LEFT JOIN expr e ON e.cell_id = CAST(c_custkey AS VARCHAR) AND e.gene_id = g.gene_id GROUP BY 1")
 def v5(s, d):
-    return V.hvg_embedding(A.expr(s, d), A.cells(s, d), _genes20(s, d))
+    x = A.expr(s, d)
+    return V.hvg_embedding(x, A.cells(s, d), x.select("gene_id"))
 
 
 @query("v6_pca")
@@ -67,7 +68,8 @@ def v6(s, d):
 
 @query("v7_svd")
 def v7(s, d):
-    return V.svd_embedding(V.hvg_embedding(A.expr(s, d), A.cells(s, d), _genes20(s, d)), 8).select("cell_id", F.transform("embedding", r6).alias("embedding"))
+    x = A.expr(s, d)
+    return V.svd_embedding(V.hvg_embedding(x, A.cells(s, d), x.select("gene_id")), 8).select("cell_id", F.transform("embedding", r6).alias("embedding"))
 
 
 _U = lambda tag: f"(CAST('0x' || substr(md5(gene_id || ':' || dim || ':0:{tag}'), 1, 8) AS BIGINT) / 4294967296.0)"

@@ -1,11 +1,18 @@
 """Variable genes, projections and embeddings."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import l2, uniform
+from ..functions.columns import l2, uniform, vector_stat
+from ..plans.storage import written
 from .qc import gene_moments, log1p, normalize_total
 
+#: Components up to which principal axes come from the whole Gram matrix.
+EXACT = 512
+
 
 def _dispersions(moments: DataFrame, by: list[str], n_bins: int) -> DataFrame:
     """moments(gene_id, by, mean, var) -> normalised dispersions: z-scores inside equal-width bins of log1p(mean)."""
@@ -51,8 +58,6 @@ def hvg_v3(expr: DataFrame, n_cells: int, n_top: int) -> DataFrame:
     s = m.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"s{k}") for k in range(5)], *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(3)]).first()
     if s is None or not s["s0"]:
         return m.select("gene_id", F.lit(0.0).alias("norm_var"))
-    import numpy as np
-
     c = np.linalg.lstsq(np.asarray([[s[f"s{i + j}"] for j in range(3)] for i in range(3)]), np.asarray([s[f"t{i}"] for i in range(3)]), rcond=None)[0].tolist()
     m = m.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), c[0] + c[1] * F.col("x") + c[2] * F.col("x") * F.col("x"))))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(float(n_cells) ** 0.5))
@@ -62,55 +67,99 @@ def hvg_v3(expr: DataFrame, n_cells: int, n_top: int) -> DataFrame:
 
 
 def hvg_embedding(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """Dense vectors over genes(gene_id) in gene order; zeros where nothing is stored."""
+    """Dense vectors over genes(gene_id) in gene order; zeros where nothing is stored. A cell's stored values are put in their places by arrays."""
     g = genes.select("gene_id").distinct()
     n = g.count()
-    place = F.broadcast(g.select("gene_id", (F.row_number().over(Window.orderBy("gene_id")) - 1).alias("pos")))
-    v = expr.join(place, "gene_id").groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return cells.select("cell_id").join(v, "cell_id", "left").select("cell_id", dense.alias("embedding"))
+    place = g.select("gene_id", (F.row_number().over(Window.orderBy("gene_id")) - 1).alias("pos"))  # a row per gene
+    v = expr.join(place, "gene_id").groupBy("cell_id").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col("value").cast("double")).alias("value"))
+
+    lists = _listing()
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, max(1, (1 << 22) // max(1, n))):
+                some = b.slice(k, max(1, (1 << 22) // max(1, n)))
+                x = np.zeros((some.num_rows, n))
+                x[np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column(1)).fill_null(0).to_numpy()), some.column(1).flatten().to_numpy()] = some.column(2).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([some.column(0), lists(x)], names=["cell_id", "embedding"])
+
+    return cells.select(F.col("cell_id").cast("string").alias("cell_id")).join(v, "cell_id", "left").select("cell_id", "pos", "value").mapInArrow(run, "cell_id string, embedding array<double>")
+
+
+def _listing():
+    """Turns rows into a list column; made anew for each job, so that workers get it with the job."""
 
+    def lists(x):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * x.shape[1]), pa.array(x.ravel()))
 
-def _gram(v: DataFrame, centre: bool):
-    """Sums for the covariance or Gram matrix of embedding vectors: partial matrices per task, added by the driver (d x d only)."""
-    import numpy as np
-    import pyarrow as pa
+    return lists
+
+
+def _sums(v: DataFrame, d: int) -> tuple[np.ndarray, int]:
+    """Mean vector and number of rows."""
+    r = v.agg(vector_stat("mean", F.col("embedding")).alias("m"), F.count("*").alias("n")).first()
+    return (np.asarray(r["m"]) if r["n"] else np.zeros(d)), r["n"]
+
+
+def _applied(v: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The Gram matrix of the rows (less mean) times q: a partial product per task, rows of it added by Spark; as many numbers as q has come back."""
+
+    lists = _listing()
 
     def run(batches):
-        g = s = None
-        n = 0
+        z = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
-            g = x.T @ x if g is None else g + x.T @ x
-            s = x.sum(0) if s is None else s + x.sum(0)
-            n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(np.full(len(s), n)), pa.array(s), pa.array(list(g), pa.list_(pa.float64()))], names=["i", "n", "s", "g"])
-
-    parts = v.select("embedding").mapInArrow(run, "i long, n long, s double, g array<double>")
-    flat = parts.select("i", "n", "s", F.posexplode("g")).groupBy("i", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("col").alias("g")).collect()  # d * d rows
-    d = max((r["i"] for r in flat), default=-1) + 1
-    g, s, n = np.zeros((d, d)), np.zeros(d), 0
-    for r in flat:
-        g[r["i"], r["pos"]], s[r["i"]], n = r["g"], r["s"], r["n"]
-    mean = s / max(n, 1)
-    return (g - n * np.outer(mean, mean) if centre else g), (mean if centre else 0 * mean), n
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean
+                y = x.T @ (x @ q)
+                z = y if z is None else z + y
+        if z is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), lists(z)], names=["i", "z"])
+
+    parts = v.select("embedding").mapInArrow(run, "i long, z array<double>")
+    out = np.zeros_like(q)
+    for r in parts.groupBy("i").agg(vector_stat("sum", F.col("z")).alias("z")).collect():
+        out[r["i"]] = r["z"]
+    return out
+
+
+def _axes(v: DataFrame, k: int, mean: np.ndarray, most: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of the Gram matrix and their vectors (d x k). Up to EXACT components by the whole matrix, beyond by iterating a subspace of
+    k + 10 columns until its values stand still, so that d x d numbers are never formed."""
+    d = len(mean)
+    q = np.eye(d) if d <= EXACT else np.linalg.qr(np.random.default_rng(0).normal(size=(d, min(d, k + 10))))[0]
+    last = None
+    for _ in range(1 if d <= EXACT else most):
+        z = _applied(v, q, mean)
+        value, u = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        value, u = value[::-1][:k], u[:, ::-1][:, :k]
+        if last is not None and np.abs(value - last).max(initial=0) <= 1e-12 * max(value.max(initial=0), 1e-300):
+            break
+        last, w = value, q @ u
+        q = np.linalg.qr(z)[0] if d > EXACT else q
+    return value, w
 
 
 def _project(v: DataFrame, k: int, centre: bool) -> tuple[DataFrame, list[float]]:
-    import numpy as np
+    v = written(v)
+    first = v.select(F.size("embedding").alias("d")).first()
+    if first is None:
+        return v, []
+    mean, n = _sums(v, first["d"])
+    if not centre:
+        mean = 0 * mean
+    value, w = _axes(v, k, mean)
+    w = w * np.where(w[np.abs(w).argmax(0), np.arange(w.shape[1])] < 0, -1, 1)  # the largest loading is positive
+    at, lists = v.columns.index("embedding"), _listing()
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = lists((b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean) @ w)
+                yield pa.RecordBatch.from_arrays([x if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    g, mean, n = _gram(v, centre)
-    value, vector = np.linalg.eigh(g)
-    o = np.argsort(-value)[:k]
-    w = vector[:, o]
-    w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])  # the largest loading is positive
-    rows = [[float(x) for x in c] for c in w.T]
-    centred = F.zip_with("embedding", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
-    dot = [F.aggregate(F.zip_with(centred, F.array(*map(F.lit, r)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for r in rows]
-    return v.withColumn("embedding", F.array(*dot)), [float(max(value[i], 0) / max(n - 1, 1)) for i in o]
+    fields = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'embedding' else f.dataType.simpleString()}" for f in v.schema)
+    return v.mapInArrow(run, fields), [float(max(x, 0) / max(n - 1, 1)) for x in value]
 
 
 def pca_embedding(v: DataFrame, k: int) -> DataFrame:
@@ -124,12 +173,13 @@ def svd_embedding(v: DataFrame, k: int) -> DataFrame:
 
 
 def random_projection(expr: DataFrame, d: int = 16, seed: int = 0, sd: float = 0.05) -> DataFrame:
-    """Normal weights by gene and dimension, drawn from a hash, so that no weight matrix is kept."""
-    x = expr.select("cell_id", "gene_id", "value", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("dim"))
-    key = F.concat_ws(":", "gene_id", F.col("dim").cast("string"), F.lit(str(seed)))
-    u1, u2 = uniform(F.md5(F.concat(key, F.lit(":a")))), uniform(F.md5(F.concat(key, F.lit(":b"))))
-    w = sd * F.sqrt(-2 * F.log(1 - u1)) * F.cos(2 * F.pi() * u2)
-    return x.groupBy("cell_id", "dim").agg(F.sum(F.col("value") * w).alias("x")).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("e")).select("cell_id", F.col("e.x").alias("embedding"))
+    """Normal weights by gene and dimension, drawn from a hash once per gene; a cell's values add up multiples of its genes' weights, in partial sums."""
+    key = lambda dim: F.concat_ws(":", "gene_id", dim.cast("string"), F.lit(str(seed)))
+    draw = lambda dim, tag: uniform(F.md5(F.concat(key(dim), F.lit(tag))))
+    weight = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: sd * F.sqrt(-2 * F.log(1 - draw(i, ":a"))) * F.cos(2 * F.pi() * draw(i, ":b")))
+    drawn = written(expr.select("gene_id").distinct().select("gene_id", weight.alias("w")))  # a row per gene
+    x = expr.join(drawn, "gene_id").select("cell_id", F.transform("w", lambda w: w * F.col("value")).alias("w"))
+    return x.groupBy("cell_id").agg(vector_stat("sum", F.col("w")).alias("embedding"))
 
 
 def l2_normalize(v: DataFrame) -> DataFrame:
