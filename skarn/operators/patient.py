@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import vector_stat
+from .splits import ranked
 
 
 def mean_embedding(emb: DataFrame, cells: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -56,8 +57,7 @@ def attention_frame(attn: DataFrame, bag: str, top_k: int) -> DataFrame:
     """attn(bag, cell_id, attn, score) with rank, contrib, the bag's normalised entropy and size, and the top-k mark."""
     s = attn.groupBy(bag).agg(F.sum(F.when(F.col("attn") > 0, -F.col("attn") * F.log("attn")).otherwise(0.0)).alias("h"), F.count("*").alias("n_cells"))
     x = attn.join(s, bag)
-    rank = F.row_number().over(Window.partitionBy(bag).orderBy(F.desc(F.round("attn", 9)), "cell_id"))
-    x = x.withColumn("rank", rank).withColumn("contrib", F.col("attn") * F.col("score"))
+    x = ranked(x, [bag], [-F.round("attn", 9), F.col("cell_id")]).withColumn("rank", F.col("__nth").cast("int")).drop("__nth", "__size").withColumn("contrib", F.col("attn") * F.col("score"))
     return x.withColumn("entropy", F.when(F.col("n_cells") > 1, F.col("h") / F.log(F.col("n_cells"))).otherwise(0.0)).withColumn("is_topk", (F.col("rank") <= top_k).cast("int")).drop("h")
 
 

@@ -4,6 +4,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
+from ..plans.storage import written
+
+
+def ranked(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """df with __nth, a row's rank among those equal in `by` (nulls are equal), and __size, their number.
+
+    Rows are dealt by ranges of (by, order) and numbered inside each; the ranges' counts, a row per range and class, are added up. So no class, however frequent, is sorted in one task.
+    """
+    x = df.withColumn("__o", F.struct(*order))
+    x = written(x.repartitionByRange(*by, "__o").withColumn("__part", F.spark_partition_id()))
+    names = [f"__by{i}" for i in range(len(by))]
+    counts = x.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col("__part").alias("__p")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*names, "__p", before.alias("__before"), F.sum("__c").over(w).alias("__size"))
+    same = F.col("__part") == F.col("__p")
+    for b, n in zip(by, names, strict=True):
+        same &= F.col(b).eqNullSafe(F.col(n))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__o"))
+    return x.withColumn("__in", inside).join(counts, same).select(*df.columns, (F.col("__before") + F.col("__in")).alias("__nth"), "__size")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "cell_id") -> DataFrame:
@@ -29,8 +49,7 @@ def sample_stratified(df: DataFrame, n: int, by: str, seed: int, key: str = "cel
     named = sizes.select(by, F.when(F.col("k") == 1, F.lit("__single")).otherwise(F.col(by).cast("string")).alias("stratum"), "k")
     q = quotas(named.groupBy("stratum").agg(F.sum("k").alias("size")), n, ["stratum"])
     x = df.join(named.drop("k"), by).join(q, "stratum")
-    nth = F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(key, seed=seed), key))
-    return x.withColumn("__nth", nth).where(F.col("__nth") <= F.col("quota")).select(*df.columns)
+    return ranked(x, ["stratum"], [hash_order(key, seed=seed), F.col(key)]).where(F.col("__nth") <= F.col("quota")).select(*df.columns)
 
 
 def bootstrap_samples(df: DataFrame, n_runs: int, n: int, by: str, seed: int, key: str = "cell_id") -> DataFrame:
@@ -38,28 +57,27 @@ def bootstrap_samples(df: DataFrame, n_runs: int, n: int, by: str, seed: int, ke
     x = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
     q = quotas(x.groupBy("run", by).agg(F.count("*").alias("size")), n, [by], ["run"])
     order = F.md5(F.concat_ws(":", F.col(key), (F.col("run") + seed).cast("string")))
-    nth = F.row_number().over(Window.partitionBy("run", by).orderBy(order, key))
-    return x.join(q, ["run", by]).withColumn("__nth", nth).where(F.col("__nth") <= F.col("quota")).drop("__nth", "quota")
+    return ranked(x.join(q, ["run", by]), ["run", by], [order, F.col(key)]).where(F.col("__nth") <= F.col("quota")).drop("__nth", "__size", "quota")
 
 
 def train_test_split(patients: DataFrame, test_size: float, seed: int, key: str = "sample_id", label: str = "label") -> DataFrame:
     """role by class: the share test_size of each, at least one on either side where the class has two."""
-    w = Window.partitionBy(label)
-    n, nth = F.count("*").over(w), F.row_number().over(w.orderBy(hash_order(key, seed=seed), key))
+    n = F.col("__size")
     take = F.least(F.greatest(F.round(n * test_size), F.lit(1)), n - 1)
-    return patients.withColumn("role", F.when(nth <= take, "test").otherwise("train"))
+    x = ranked(patients, [label], [hash_order(key, seed=seed), F.col(key)])
+    return x.select(*[c for c in patients.columns if c != "role"], F.when(F.col("__nth") <= take, "test").otherwise("train").alias("role"))
 
 
 def stratified_kfold(patients: DataFrame, k: int, seed: int, key: str = "sample_id", label: str = "label") -> DataFrame:
-    """fold of each patient; the numbering runs over the (small) patient table, class after class."""
-    nth = F.row_number().over(Window.orderBy(label, hash_order(key, seed=seed), key))
-    return patients.withColumn("fold", ((nth - 1) % k).cast("int"))
+    """fold of each patient; the numbering runs over the whole table, class after class."""
+    x = ranked(patients, [], [F.col(label), hash_order(key, seed=seed), F.col(key)])
+    return x.select(*[c for c in patients.columns if c != "fold"], ((F.col("__nth") - 1) % k).cast("int").alias("fold"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """Rows follow their group's fold."""
     g = df.select(group).distinct()
-    g = g.withColumn("fold", ((F.row_number().over(Window.orderBy(hash_order(group, seed=seed), group)) - 1) % k).cast("int"))
+    g = ranked(g, [], [hash_order(group, seed=seed), F.col(group)]).select(group, ((F.col("__nth") - 1) % k).cast("int").alias("fold"))
     return df.join(g, group)
 
 
@@ -72,8 +90,7 @@ def kfold_roles(folds: DataFrame, key: str = "sample_id") -> DataFrame:
 def loocv(splits: DataFrame, key: str = "sample_id") -> DataFrame:
     """One fold for each id of the folds' union (ids are patients: few)."""
     ids = splits.select(key, "label").distinct()
-    w = Window.orderBy(key)
-    numbered = ids.withColumn("fold", (F.row_number().over(w) - 1).cast("int"))
+    numbered = ranked(ids, [], [F.col(key)]).select(key, (F.col("__nth") - 1).cast("int").alias("fold"))
     return ids.crossJoin(F.broadcast(numbered.select(F.col(key).alias("__t"), "fold"))).select(key, "label", "fold", F.when(F.col(key) == F.col("__t"), "test").otherwise("train").alias("role"))
 
 
@@ -86,8 +103,7 @@ def three_way_split(patients: DataFrame, seed: int, test: float = 0.2, validatio
 
 def oversample(train: DataFrame, seed: int, key: str = "sample_id", label: str = "label") -> DataFrame:
     """multiplicity per id so that all classes equal the largest; the extra copies go round the ids in hash order."""
-    w = Window.partitionBy(label)
-    x = train.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(hash_order(key, seed=seed), key)) - 1)
+    x = ranked(train, [label], [hash_order(key, seed=seed), F.col(key)]).withColumnRenamed("__size", "__n").withColumn("__i", F.col("__nth") - 1).drop("__nth")
     most = train.groupBy(label).count().agg(F.max("count").alias("__m"))
     extra = F.col("__m") - F.col("__n")
     return x.crossJoin(F.broadcast(most)).withColumn("multiplicity", (1 + F.floor(extra / F.col("__n")) + (F.col("__i") < extra % F.col("__n")).cast("int")).cast("int")).drop("__n", "__i", "__m")
@@ -96,8 +112,8 @@ def oversample(train: DataFrame, seed: int, key: str = "sample_id", label: str =
 def undersample(df: DataFrame, seed: int, key: str = "sample_id", label: str = "label") -> DataFrame:
     """Classes cut to the size of the smallest, in hash order."""
     least = df.groupBy(label).count().agg(F.min("count").alias("__m"))
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed=seed), key))
-    return df.withColumn("__i", nth).crossJoin(F.broadcast(least)).where("__i <= __m").drop("__i", "__m")
+    x = ranked(df, [label], [hash_order(key, seed=seed), F.col(key)])
+    return x.crossJoin(F.broadcast(least)).where("__nth <= __m").drop("__nth", "__size", "__m")  # least is one row
 
 
 def is_imbalanced(df: DataFrame, threshold: float = 0.8, label: str = "label") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order, uniform, vector_stat
+from .splits import ranked
 
 
 def rank_tokens(expr: DataFrame, medians: DataFrame, vocab: DataFrame, max_len: int = 2048, special: tuple[int, int] | None = None, offset: int = 0) -> DataFrame:
@@ -93,8 +94,7 @@ def mask_tokens(tokens: DataFrame, p: float = 0.15, seed: int = 0, mask_id: int
 def make_bags(tokens: DataFrame, cells: DataFrame, max_cells: int = 1000, bag: int = 500, max_len: int = 512, seed: int = 0) -> DataFrame:
     """At most max_cells cells of a sample, by hash, in bags; sequences cut."""
     x = tokens.join(cells.select("cell_id", "sample_id"), "cell_id")
-    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy(hash_order("cell_id", seed=seed), "cell_id"))
-    x = x.withColumn("nth", nth).where(F.col("nth") <= max_cells).withColumn("bag", F.floor((F.col("nth") - 1) / bag))
+    x = ranked(x, ["sample_id"], [hash_order("cell_id", seed=seed), F.col("cell_id")]).withColumnRenamed("__nth", "nth").where(F.col("nth") <= max_cells).withColumn("bag", F.floor((F.col("nth") - 1) / bag))
     s = F.array_sort(F.collect_list(F.struct("nth", "cell_id", F.slice("input_ids", 1, max_len).alias("ids"))))
     return x.groupBy("sample_id", "bag").agg(s.alias("a")).select("sample_id", "bag", F.col("a.cell_id").alias("cells"), F.transform("a", lambda t: F.size(t["ids"])).alias("lengths"))
 
