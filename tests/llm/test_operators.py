@@ -578,6 +578,7 @@ def test_links_come_from_the_graph_at_20000_vectors_a_shard(monkeypatch):
     shard = hnsw.Shard(ids, v, np.ones(len(ids), "i8"), 0.9)
     shard.settle(ids[:4096], v[:4096])
     monkeypatch.setattr(shard, "_scanned", None)  # no query is compared with the shard
+    assert len(shard.graph.layers) >= 2
     got = in_batches(shard, ids, v)
     assert shard.beam and (got <= true).all() and got.sum() >= 0.99 * true.sum() and true.sum() > 5000
     queries, links, found, recall = shard.audit
@@ -663,7 +664,8 @@ def test_vectors_of_any_dimension_and_magnitude(spark):
     assert sorted(r["members"] for r in audits.collect()) == [1, 3, 4, 9] and audits.where("recall < 0.99").count() == 0  # equal vectors are one member
 
 
-def test_graph_search_recall_over_several_layers():
+def test_graph_search_recall_over_several_layers(monkeypatch):
+    monkeypatch.setattr(hnsw, "DIRECT", 256)  # else 6,000 vectors have one layer below the one compared directly
     rng = np.random.default_rng(3)
     c = rng.normal(size=(60, 24))
     v = np.concatenate([c[rng.integers(60, size=6000)] + rng.normal(size=(6000, 24)) * 0.4]).astype("f4")
