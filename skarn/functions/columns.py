@@ -21,7 +21,7 @@ def uniform(key: Column) -> Column:
 
 
 def ensembl_stable(c) -> Column:
-    """The stable identifier inside a label, in capitals; null if there is none."""
+    """The stable identifier inside a label, in capitals; null if there is none. The pattern is a fixed value."""
     found = F.upper(F.regexp_extract(c, r"(?i)(ENS[A-Z]{0,10}G\d{6,})", 1))
     return F.when(found != "", found)
 
