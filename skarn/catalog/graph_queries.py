@@ -6,7 +6,7 @@ from ..functions.columns import r6
 
 from ..operators import classify as K
 from ..operators import embed_metrics as M
-
+from ..operators import features as V
 from ..operators import graph as N
 from ..operators import patient as PT
 from ..operators import splits as P
@@ -210,14 +210,25 @@ def m14(s, d):
     return M.embedding_suite(P.sample_stratified(A.embeddings(s, d), 10_000, "batch", 42)).withColumn("value", r6("value"))
 
 
+def _bootstrap(s, d):
+    return M.bootstrap_suite(A.embeddings(s, d), 4, 200, "batch", 42)
+
+
 @query("m15_bootstrap_suite")
 def m15(s, d):
-    return M.bootstrap_suite(A.embeddings(s, d), 4, 200, "batch", 42).withColumns({c: r6(c) for c in ("mean", "sd", "median")})
+    return M.bootstrap_summary(_bootstrap(s, d)).withColumns({c: r6(c) for c in ("mean", "sd", "median")})
+
+
+@query("m15_bootstrap_runs")
+def m15b(s, d):
+    return _bootstrap(s, d).withColumn("value", r6("value"))
 
 
 @query("m16_benchmark")
 def m16(s, d):
-    return M.benchmark(A.embeddings(s, d)).withColumn("value", r6("value"))
+    e = written(A.embeddings(s, d))
+    keyed = lambda x, name: x.select(F.lit(name).alias("key"), "cell_id", "embedding", "batch", "label")
+    return M.benchmark(keyed(e, "whole").unionByName(keyed(V.pca_embedding(e, 16), "pca16"))).withColumn("value", r6("value"))
 
 
 # --- patients ---

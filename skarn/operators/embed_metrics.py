@@ -1,11 +1,15 @@
 """Quality of embeddings: clustering agreement, silhouettes, mixing of batches."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf
+from ..plans.storage import written
 from . import features, graph, splits
 
 
@@ -31,12 +35,12 @@ def ari(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame
     one = lambda k: t.groupBy(*by, k).agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs("n").alias(f"p{k}"))
     s = t.groupBy(*by).agg(pairs("n").alias("s"), F.sum("n").alias("n"))
     s = (s.join(one("a"), by).join(one("b"), by)) if by else s.crossJoin(one("a")).crossJoin(one("b"))
-    e = F.col("pa") * F.col("pb") / (F.col("n") * (F.col("n") - 1) / 2)
+    e = F.try_divide(F.col("pa") * F.col("pb"), F.col("n") * (F.col("n") - 1) / 2)
     top = 0.5 * (F.col("pa") + F.col("pb")) - e
     return s.select(*by, F.when(F.abs(top) < 1e-12, 1.0).otherwise((F.col("s") - e) / top).alias("ari"))
 
 
-def silhouette_samples(emb: DataFrame, cat: str, within: list[str] | None = None, block_rows: int = graph.BLOCK_ROWS) -> DataFrame:
+def silhouette_samples(emb: DataFrame, cat: str, within: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """(within, i, cat, s) by euclidean distances: tasks emit distance sums by cell and category, never distances."""
     keys = within or []
 
@@ -46,8 +50,11 @@ def silhouette_samples(emb: DataFrame, cat: str, within: list[str] | None = None
                 ia, x, ca = graph._vectors(b.column(len(keys))[r])
                 _, y, cb = graph._vectors(b.column(len(keys) + 1)[r])
                 names, at = np.unique(cb.astype(str), return_inverse=True)
-                d = graph.distances(x, y, "euclidean")
-                sums = np.stack([d[:, at == k].sum(1) for k in range(len(names))], axis=1)
+                sums = np.zeros((len(x), len(names)))
+                for p in range(0, len(x), graph.SLICE):
+                    for q in range(0, len(y), 8 * graph.SLICE):
+                        some = at[q : q + 8 * graph.SLICE]
+                        sums[p : p + graph.SLICE] += graph.distances(x[p : p + graph.SLICE], y[q : q + 8 * graph.SLICE], "euclidean") @ (some[:, None] == np.arange(len(names)))
                 n, m = sums.shape
                 cols = [pa.array([b.column(c)[r].as_py()] * (n * m), b.column(c).type) for c in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(ia, m)), pa.array(np.repeat(ca, m)), pa.array(np.tile(names.astype(object), n)), pa.array(sums.ravel()), pa.array(np.tile(np.bincount(at), n))], names=[*keys, "i", "own", "other", "d", "n"])
@@ -57,41 +64,50 @@ def silhouette_samples(emb: DataFrame, cat: str, within: list[str] | None = None
     t = graph.block_pairs(e, e, within, block_rows).mapInArrow(run, schema).groupBy(*keys, "i", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     mine = F.col("own") == F.col("other")
     s = t.groupBy(*keys, "i", "own").agg(F.max(F.when(mine, F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~mine, F.col("d") / F.col("n"))).alias("b"))
-    v = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    v = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return s.select(*keys, "i", F.col("own").alias("cat"), F.coalesce(v, F.lit(0.0)).alias("s"))
 
 
-def silhouette(emb: DataFrame, by: str, rescale: bool = True) -> DataFrame:
+def silhouette(emb: DataFrame, cat: str, rescale: bool = True, by: list[str] | None = None) -> DataFrame:
     m = F.avg("s")
-    return silhouette_samples(emb, by).agg(((m + 1) / 2 if rescale else m).alias("silhouette"))
+    return silhouette_samples(emb, cat, by).groupBy(*(by or [])).agg(((m + 1) / 2 if rescale else m).alias("silhouette"))
 
 
-def batch_asw(emb: DataFrame, batch: str = "batch", label: str = "label") -> DataFrame:
+def batch_asw(emb: DataFrame, batch: str = "batch", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """1 - |s| of batches inside each label, mean over cells, then over labels that have several batches."""
-    s = silhouette_samples(emb, batch, [label])
-    per = s.groupBy(label).agg(F.avg(1 - F.abs("s")).alias("v"), F.countDistinct("cat").alias("b"), F.count("*").alias("n")).where("b > 1 and b < n")
-    return per.agg(F.avg("v").alias("batch_asw"))
-
-
-def graph_connectivity(edges: DataFrame, cells: DataFrame, label: str = "label") -> DataFrame:
-    c = graph.components_within(edges, cells, label).groupBy(label, "component").count()
-    return c.groupBy(label).agg((F.max("count") / F.sum("count")).alias("share")).agg(F.avg("share").alias("graph_connectivity"))
+    by = by or []
+    s = silhouette_samples(emb, batch, [*by, label])
+    per = s.groupBy(*by, label).agg(F.avg(1 - F.abs("s")).alias("v"), F.countDistinct("cat").alias("b"), F.count("*").alias("n")).where("b > 1 and b < n")
+    return per.groupBy(*by).agg(F.avg("v").alias("batch_asw"))
 
 
-def pcr(emb: DataFrame, covariate: str, n_comps: int = 50) -> DataFrame:
-    """Share of variance that the covariate explains: R2 of each component weighted by its variance. Numbers by correlation, categories by groups."""
+def graph_connectivity(edges: DataFrame, cells: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    c = graph.components_within(edges, cells, label, by).groupBy(*by, label, "component").count()
+    return c.groupBy(*by, label).agg((F.max("count") / F.sum("count")).alias("share")).groupBy(*by).agg(F.avg("share").alias("graph_connectivity"))
+
+
+def pcr(emb: DataFrame, covariate: str, n_comps: int = 50, by: list[str] | None = None) -> DataFrame:
+    """Share of variance that the covariate explains: R2 of each component weighted by its variance. Numbers by correlation, categories by groups.
+    by: each group (a run or an embedding, so few) has its own axes and jobs."""
+    if by:
+        groups = emb.select(*by).distinct().collect()
+        same = lambda g: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(g[c])) for c in by])
+        one = lambda g: written(pcr(emb.where(same(g)), covariate, n_comps).select(*[F.lit(g[c]).cast(emb.schema[c].dataType).alias(c) for c in by], "pcr"))
+        with ThreadPoolExecutor(4) as pool:
+            return reduce(DataFrame.unionByName, pool.map(one, groups))
     n = min(n_comps, emb.select(F.size("embedding")).first()[0])
     p, variance = features._project(emb, n, True)
     x = p.select("cell_id", F.col(covariate).alias("c"), F.posexplode("embedding").alias("dim", "v"))
     if dict(emb.dtypes)[covariate] in ("string", "boolean"):
         g = x.groupBy("dim", "c").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
         t = g.groupBy("dim").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
-        r2 = (F.col("B") - F.col("S") * F.col("S") / F.col("N")) / (F.col("Q") - F.col("S") * F.col("S") / F.col("N"))
+        r2 = F.try_divide(F.col("B") - F.col("S") * F.col("S") / F.col("N"), F.col("Q") - F.col("S") * F.col("S") / F.col("N"))
     else:
         t = x.groupBy("dim").agg(F.corr("v", "c").alias("r"))
         r2 = F.col("r") * F.col("r")
     w = F.element_at(F.array(*map(F.lit, variance)), F.col("dim") + 1)
-    return t.agg((F.sum(F.greatest(r2, F.lit(0.0)) * w) / F.sum(w)).alias("pcr"))
+    return t.agg(F.try_divide(F.sum(F.greatest(r2, F.lit(0.0)) * w), F.sum(w)).alias("pcr"))
 
 
 def lisi_samples(edges: DataFrame, cells: DataFrame, cat: str, k: int = 15) -> DataFrame:
@@ -116,42 +132,50 @@ def lisi_samples(edges: DataFrame, cells: DataFrame, cat: str, k: int = 15) -> D
     return c.groupBy("i").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("lisi"))
 
 
-def lisi(edges: DataFrame, cells: DataFrame, cat: str, kind: str, k: int = 15, scale: bool = True) -> DataFrame:
-    """Median index; scaled so that 1 is best: batches well mixed ('i'), labels kept apart ('c')."""
-    m = lisi_samples(edges, cells, cat, k).agg(F.median("lisi").alias("m"))
-    n = cells.agg(F.countDistinct(cat).alias("n"))
-    v = F.col("m") if not scale else (F.col("m") - 1) / (F.col("n") - 1) if kind == "i" else (F.col("n") - F.col("m")) / (F.col("n") - 1)
-    return m.crossJoin(n).select(v.alias(f"{kind}lisi"))
-
-
-def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15) -> DataFrame:
-    """(label, i, chi2, df) of neighbour batches inside the label against the label's shares."""
-    e = graph.knn(emb, k, "cosine", within=[label])
-    obs = e.join(emb.select(F.col("cell_id").alias("j"), F.col(batch).alias("b")), "j").groupBy(label, "i", "b").agg(F.count("*").alias("o"))
-    share = emb.groupBy(label, F.col(batch).alias("b")).agg(F.count("*").alias("n"))
-    share = share.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy(label))).withColumn("n_batches", F.count("*").over(Window.partitionBy(label))).where("n_batches > 1")
-    size = e.groupBy(label, "i").agg(F.count("*").alias("k"))
-    x = size.join(share, label).join(obs, [label, "i", "b"], "left")
+def lisi(edges: DataFrame, cells: DataFrame, cat: str, kind: str, k: int = 15, scale: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Median index; scaled so that 1 is best: batches well mixed ('i'), labels kept apart ('c'). Null where there is one category."""
+    by = by or []
+    x = lisi_samples(edges, cells, cat, k)
+    x = x.join(cells.select(F.col("cell_id").alias("i"), *by), "i") if by else x
+    m, n = x.groupBy(*by).agg(F.median("lisi").alias("m")), cells.groupBy(*by).agg(F.countDistinct(cat).alias("n"))
+    v = F.col("m") if not scale else F.try_divide(F.col("m") - 1 if kind == "i" else F.col("n") - F.col("m"), F.col("n") - 1)
+    return (m.join(n, by) if by else m.crossJoin(n)).select(*by, v.alias(f"{kind}lisi"))
+
+
+def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, by: list[str] | None = None) -> DataFrame:
+    """(by, label, i, chi2, df) of neighbour batches inside the label against the label's shares."""
+    keys = [*(by or []), label]
+    e = graph.knn(emb, k, "cosine", within=keys)
+    obs = e.join(emb.select(F.col("cell_id").alias("j"), F.col(batch).alias("b")), "j").groupBy(*keys, "i", "b").agg(F.count("*").alias("o"))
+    share = emb.groupBy(*keys, F.col(batch).alias("b")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)  # a row per label and batch
+    share = share.withColumn("f", F.col("n") / F.sum("n").over(w)).withColumn("n_batches", F.count("*").over(w)).where("n_batches > 1")
+    size = e.groupBy(*keys, "i").agg(F.count("*").alias("k"))
+    x = size.join(share, keys).join(obs, [*keys, "i", "b"], "left")
     want = F.col("k") * F.col("f")
-    return x.groupBy(label, "i").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - want, 2) / want).alias("chi2"), (F.max("n_batches") - 1).alias("df"))
+    return x.groupBy(*keys, "i").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - want, 2) / want).alias("chi2"), (F.max("n_batches") - 1).alias("df"))
 
 
-def kbet_per_label(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, alpha: float = 0.05) -> DataFrame:
-    s = kbet_statistic(emb, batch, label, k).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
-    return s.groupBy(label).agg(F.avg((F.col("p") >= alpha).cast("double")).alias("accepted")).agg(F.avg("accepted").alias("kbet"))
+def kbet_per_label(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    s = kbet_statistic(emb, batch, label, k, by).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
+    return s.groupBy(*by, label).agg(F.avg((F.col("p") >= alpha).cast("double")).alias("accepted")).groupBy(*by).agg(F.avg("accepted").alias("kbet"))
 
 
-def knn_purity(edges: DataFrame, cells: DataFrame, by: str) -> DataFrame:
+def knn_purity(edges: DataFrame, cells: DataFrame, cat: str, by: list[str] | None = None) -> DataFrame:
     """Mean share of neighbours of the same category; cells without neighbours are left out."""
-    a, b = cells.select(F.col("cell_id").alias("i"), F.col(by).alias("x")), cells.select(F.col("cell_id").alias("j"), F.col(by).alias("y"))
-    s = edges.join(a, "i").join(b, "j").groupBy("i").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("s"))
-    return s.agg(F.avg("s").alias("purity"))
+    by = by or []
+    a, b = cells.select(*by, F.col("cell_id").alias("i"), F.col(cat).alias("x")), cells.select(F.col("cell_id").alias("j"), F.col(cat).alias("y"))
+    s = edges.select("i", "j").join(a, "i").join(b, "j").groupBy(*by, "i").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("s"))
+    return s.groupBy(*by).agg(F.avg("s").alias("purity"))
 
 
-def knn_predictions(emb: DataFrame, label: str = "label", k: int = 15, test: float = 0.2, seed: int = 0) -> DataFrame:
-    roles = splits.train_test_split(emb, test, seed, "cell_id", label)
+def knn_predictions(emb: DataFrame, label: str = "label", k: int = 15, test: float = 0.2, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    roles = splits.train_test_split(emb.withColumn("__s", F.struct(*by, label)) if by else emb, test, seed, "cell_id", "__s" if by else label)
+    roles = written(roles.drop("__s"))
     train, held = roles.where("role = 'train'"), roles.where("role = 'test'")
-    return graph.knn_classify(train, held, k, label).join(held.select("cell_id", F.col(label).alias("label")), "cell_id")
+    return graph.knn_classify(train, held, k, label, within=by).join(held.select("cell_id", *by, F.col(label).alias("label")), "cell_id")
 
 
 def knn_label_scores(emb: DataFrame, label: str = "label", k: int = 15, test: float = 0.2, seed: int = 0) -> DataFrame:
@@ -160,60 +184,111 @@ def knn_label_scores(emb: DataFrame, label: str = "label", k: int = 15, test: fl
     return macro_scores(knn_predictions(emb, label, k, test, seed))
 
 
-def batch_pred_acc(emb: DataFrame, batch: str = "batch", k: int = 15, test: float = 0.2, seed: int = 0) -> DataFrame:
+def batch_pred_acc(emb: DataFrame, batch: str = "batch", k: int = 15, test: float = 0.2, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """Accuracy of batches from neighbours; null with one batch."""
-    p = knn_predictions(emb, batch, k, test, seed)
-    return p.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.countDistinct("label").alias("n")).select(F.when(F.col("n") > 1, F.col("acc")).alias("batch_pred_acc"))
+    by = by or []
+    p = knn_predictions(emb, batch, k, test, seed, by)
+    return p.groupBy(*by).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.countDistinct("label").alias("n")).select(*by, F.when(F.col("n") > 1, F.col("acc")).alias("batch_pred_acc"))
 
 
 def avg_bio(nmi_df: DataFrame, ari_df: DataFrame, asw_df: DataFrame) -> DataFrame:
     return nmi_df.crossJoin(ari_df).crossJoin(asw_df).select(((F.col("nmi") + F.col("ari") + F.col("silhouette")) / 3).alias("avg_bio"))  # one row each
 
 
-def embedding_suite(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, clusters: DataFrame | None = None) -> DataFrame:
-    """metric, value; batch metrics only with several batches; a metric that fails or is no number is left out."""
-    edges = graph.written(graph.knn(emb, k))
-    cells = emb.select("cell_id", batch, label)
-    if clusters is None:
-        clusters = graph.communities(graph.connectivities(edges, k), 0.3)
-    joined = graph.written(cells.join(clusters, "cell_id"))
-    todo = {
-        "nmi": lambda: nmi(joined, "community", label), "ari": lambda: ari(joined, "community", label), "asw_label": lambda: silhouette(emb, label), "graph_connectivity": lambda: graph_connectivity(edges, cells, label),
-        "purity_label": lambda: knn_purity(edges, cells, label), "clisi": lambda: lisi(edges, cells, label, "c", k),
-    }
-    if cells.select(batch).distinct().count() > 1:
-        todo |= {"asw_batch": lambda: silhouette(emb, batch), "batch_asw": lambda: batch_asw(emb, batch, label), "purity_batch": lambda: knn_purity(edges, cells, batch), "ilisi": lambda: lisi(edges, cells, batch, "i", k),
-                 "kbet": lambda: kbet_per_label(emb, batch, label, k), "pcr": lambda: pcr(emb, batch), "batch_pred_acc": lambda: batch_pred_acc(emb, batch, k)}
-    out = None
-    for name, f in todo.items():
+def _apart(emb: DataFrame, by: list[str]) -> DataFrame:
+    """Ids made unique over groups, so that every later join needs the id alone."""
+    return emb.withColumn("cell_id", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in by], "cell_id")) if by else emb
+
+
+def _reported(jobs: dict, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, metric, value, error) of independent metrics. One that fails is a row without value for each group, with its error; no number, no row."""
+
+    def one(job):
+        name, f = job
         try:
-            one = graph.written(f().select(F.lit(name).alias("metric"), "*")).toDF("metric", "value").where("value is not null and not isnan(value)")
-        except Exception:  # noqa: BLE001 - the suite reports what it can
-            continue
-        out = one if out is None else out.unionByName(one)
-    return out
+            x = f().toDF(*by, "value").select(*by, F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("error"))
+            return written(x.where("value is not null and not isnan(value)"))
+        except Exception as e:  # noqa: BLE001 - reported as a row
+            return groups.select(*by, F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}").alias("error"))
+
+    with ThreadPoolExecutor(4) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, jobs.items()))
+
+
+def embedding_suite(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, clusters: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, value, error): all metrics of each group of `by` (runs, embeddings), none for one table.
+
+    Batch metrics only for groups with several batches. A metric that fails gives a row with its error and no value, one that is no number gives none.
+    clusters(by, cell_id, community): communities of the neighbour graph unless given."""
+    by = by or []
+    emb = written(_apart(emb.select(*by, "cell_id", "embedding", batch, label), by))
+    groups = written(emb.groupBy(*by).agg(F.countDistinct(batch).alias("__b")))  # a row per group
+    cells = emb.drop("embedding")
+    edges = written(graph.knn(emb, k, within=by))
+
+    def clustered():
+        if clusters is not None:
+            found = _apart(clusters, by).select("cell_id", "community")
+        else:
+            ids = emb.select(F.col("cell_id").alias("i"), F.concat_ws("\u0001", F.lit(""), *[F.col(c).cast("string") for c in by]).alias("g"))
+            found = graph.communities(graph.connectivities(edges, k), 0.3, groups=ids)
+        return written(cells.join(found, "cell_id"))
+
+    several = groups.where("__b > 1").drop("__b")
+    some = (lambda df: df.join(F.broadcast(several), by, "left_semi")) if by else (lambda df: df)  # a row per group
+    mixed, mixed_cells, mixed_edges = some(emb), some(cells), some(edges)
+    try:
+        joined = clustered()
+    except Exception as e:  # noqa: BLE001 - both scores that need it report it
+        joined = e
+
+    def agreement(score):
+        if isinstance(joined, Exception):
+            raise joined
+        return score(joined, "community", label, by)
+
+    jobs = {
+        "nmi": lambda: agreement(nmi), "ari": lambda: agreement(ari), "asw_label": lambda: silhouette(emb, label, by=by), "graph_connectivity": lambda: graph_connectivity(edges, cells, label, by),
+        "purity_label": lambda: knn_purity(edges, cells, label, by), "clisi": lambda: lisi(edges, cells, label, "c", k, by=by),
+    }
+    if not groups.where("__b > 1").isEmpty():
+        jobs |= {"asw_batch": lambda: silhouette(mixed, batch, by=by), "batch_asw": lambda: batch_asw(mixed, batch, label, by), "purity_batch": lambda: knn_purity(mixed_edges, mixed_cells, batch, by),
+                 "ilisi": lambda: lisi(mixed_edges, mixed_cells, batch, "i", k, by=by), "kbet": lambda: kbet_per_label(mixed, batch, label, k, by=by), "pcr": lambda: pcr(mixed, batch, by=by), "batch_pred_acc": lambda: batch_pred_acc(mixed, batch, k, by=by)}
+    return _reported(jobs, groups, by)
+
 
+def bootstrap_suite(emb: DataFrame, n_runs: int, n: int, by: str, seed: int, k: int = 15, batch: str = "batch", label: str = "label") -> DataFrame:
+    """(run, metric, value, error): the whole suite of each run, the run being a key of every aggregate; failures are rows."""
+    return embedding_suite(splits.bootstrap_samples(emb, n_runs, n, by, seed), batch, label, k, by=["run"])
 
-def bootstrap_suite(emb: DataFrame, n_runs: int, n: int, by: str, seed: int, k: int = 15) -> DataFrame:
-    """Metrics of each run (run as a key of every aggregate), then mean, deviation and median."""
-    x = graph.written(splits.bootstrap_samples(emb, n_runs, n, by, seed))
-    e = graph.written(graph.knn(x, k, within=["run"]))
-    pure = lambda c, m: e.join(x.select("run", F.col("cell_id").alias("i"), F.col(c).alias("x")), ["run", "i"]).join(x.select("run", F.col("cell_id").alias("j"), F.col(c).alias("y")), ["run", "j"]).groupBy("run").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("value")).select("run", F.lit(m).alias("metric"), "value")
-    asw = silhouette_samples(x, "label", ["run"]).groupBy("run").agg(((F.avg("s") + 1) / 2).alias("value")).select("run", F.lit("asw_label").alias("metric"), "value")
-    rows = pure("label", "purity_label").unionByName(pure("batch", "purity_batch")).unionByName(asw)
-    return rows.groupBy("metric").agg(F.count("*").alias("n_runs"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
 
+def bootstrap_summary(runs: DataFrame) -> DataFrame:
+    """Each metric over the runs that have it: their number, mean, deviation and median, and how many runs failed."""
+    return runs.groupBy("metric").agg(F.count("value").alias("n_runs"), F.count("error").alias("n_failed"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
 
-def benchmark(emb: DataFrame, batch: str = "batch", label: str = "label", seed: int = 1) -> DataFrame:
-    """metric, value with k-means clusters (as many as labels), and the silhouette of labels found in the fewest batches."""
+
+def benchmark(emb: DataFrame, batch: str = "batch", label: str = "label", seed: int = 1, key: str = "key") -> DataFrame:
+    """emb(key, cell_id, embedding, batch, label), one or several embeddings by key -> key, metric, value, error: the suite, agreement of k-means clusters
+    (as many as labels) and the silhouette of the labels found in the fewest batches. Embeddings may differ in length and cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = emb.select(label).distinct().count()
-    v = emb.withColumn("v", array_to_vector("embedding"))
-    km = KMeans(k=max(n, 2), seed=seed, featuresCol="v", predictionCol="community").fit(v).transform(v).select("cell_id", F.col("community").cast("string").alias("community"))
-    suite = embedding_suite(emb, batch, label, clusters=km)
-    few = emb.groupBy(label).agg(F.countDistinct(batch).alias("b"))
-    few = few.where(F.col("b") == few.agg(F.min("b")).first()[0])
-    s = silhouette_samples(emb, label).join(F.broadcast(few.select(F.col(label).alias("cat"))), "cat").agg(F.lit("isolated_label_asw").alias("metric"), ((F.avg("s") + 1) / 2).alias("value"))
-    return suite.unionByName(s)
+    by = [key]
+    emb = written(emb.select(key, "cell_id", "embedding", batch, label))
+    keys = sorted(r[0] for r in emb.select(key).distinct().collect())  # embeddings: few
+
+    def clusters(name):
+        v = emb.where(F.col(key) == name).withColumn("v", array_to_vector("embedding"))
+        model = KMeans(k=max(v.select(label).distinct().count(), 2), seed=seed, featuresCol="v", predictionCol="community").fit(v)
+        return written(model.transform(v).select(key, "cell_id", label, F.col("community").cast("string").alias("community")))
+
+    def kmeans(score):
+        return score(reduce(DataFrame.unionByName, map(clusters, keys)), "community", label, by)
+
+    def isolated():
+        few = emb.groupBy(key, F.col(label).alias("cat")).agg(F.countDistinct(batch).alias("b"))
+        few = few.withColumn("least", F.min("b").over(Window.partitionBy(key))).where("b = least").select(key, F.col("cat").cast("string").alias("cat"))  # a row per label
+        return silhouette_samples(emb, label, by).join(few, [key, "cat"]).groupBy(key).agg((F.avg("s") + 1) / 2)
+
+    more = _reported({"nmi_kmeans": lambda: kmeans(nmi), "ari_kmeans": lambda: kmeans(ari), "isolated_label_asw": isolated}, emb.select(key).distinct(), by)
+    return embedding_suite(emb, batch, label, by=by).unionByName(more)
