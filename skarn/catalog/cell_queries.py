@@ -145,6 +145,12 @@ def q8(s, d):
     return Q.scale(Q.log1p(Q.normalize_total(A.expr(s, d))), A.cells(s, d)).withColumn("value", F.round("value", 5))
 
 
+@query("q8_scale_stored", f"""WITH {NORM}, n AS (SELECT count(*) AS n FROM customer), m AS (SELECT gene_id, sum(value) / any_value(n) AS mean, sqrt(greatest(0, (sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1))) AS sd FROM logn, n GROUP BY 1),
+  x AS (SELECT cell_id, gene_id, value FROM logn UNION ALL SELECT NULL, gene_id, 0 FROM m) SELECT cell_id, gene_id, round(least(10, greatest(-10, (value - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END)), 5) AS value FROM x JOIN m USING (gene_id)""")
+def q8b(s, d):
+    return Q.scale_stored(Q.log1p(Q.normalize_total(A.expr(s, d))), A.cells(s, d)).withColumn("value", F.round("value", 5))
+
+
 @query("q9_matrix_range", f"""WITH {EXPR} SELECT CASE WHEN count(*) < any_value(c) * any_value(g) THEN least(min(value), 0) ELSE min(value) END AS min_value, max(value) AS max_value, count(*) AS stored
   FROM expr, (SELECT count(*) AS c FROM customer), (SELECT count(DISTINCT gene_id) AS g FROM expr)""")
 def q9(s, d):

@@ -2,6 +2,8 @@
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from . import patient, splits
 
 
 def make_classifier(name: str, params: dict | None = None, seed: int = 42):
-    """random_forest (also randomforest), logistic_regression or svc; an unknown name gives a random forest."""
+    """random_forest (also randomforest), logistic_regression or svc (a linear machine; fit_score maps its features first); an unknown name gives a random forest."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 
     p = dict(params or {})
@@ -22,11 +24,45 @@ def make_classifier(name: str, params: dict | None = None, seed: int = 42):
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 5)), seed=seed)
 
 
+def fourier_features(df: DataFrame, gamma: float, n: int = 512, seed: int = 42) -> DataFrame:
+    """`embedding` replaced by n random Fourier features: their inner products estimate exp(-gamma |x - y|^2) to about 1 / sqrt(n), so a linear machine
+    on them is a kernel machine whose fit stays distributed. Only d x n weights go to the tasks."""
+    first = df.select(F.size("embedding")).first()
+    if first is None:
+        return df
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(scale=np.sqrt(2 * gamma), size=(first[0], n)), rng.uniform(0, 2 * np.pi, n)
+    at = df.columns.index("embedding")
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                z = np.sqrt(2 / n) * np.cos(t.column(at).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) @ w + b)
+                z = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype="i4") * n), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([z if i == at else c for i, c in enumerate(t.columns)], names=t.schema.names)
+
+    fields = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'embedding' else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, fields)
+
+
+def scale_gamma(df: DataFrame) -> float:
+    """1 / (d * variance of all values), the usual width of the kernel; 1 where nothing varies."""
+    add = lambda f: F.sum(F.aggregate("embedding", F.lit(0.0), f))
+    r = df.agg(F.sum(F.size("embedding")).alias("n"), add(lambda a, x: a + x).alias("s"), add(lambda a, x: a + x * x).alias("q"), F.max(F.size("embedding")).alias("d")).first()
+    var = r["q"] / r["n"] - (r["s"] / r["n"]) ** 2 if r["n"] else 0.0
+    return 1 / (r["d"] * var) if var > 0 else 1.0
+
+
 def fit_score(train: DataFrame, test: DataFrame, name: str = "random_forest", params: dict | None = None, seed: int = 42) -> DataFrame:
-    """(id, embedding, label) of both sides -> role, sample_id, label, pred, pred_score. Support vectors get probabilities by a logistic fit of their margins."""
+    """(id, embedding, label) of both sides -> role, sample_id, label, pred, pred_score. 
+
+    svc: a kernel of Gaussians (params kernel="linear" for none, gamma, n_features) by random Fourier features; probabilities by a logistic fit of the margins."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if name == "svc" and (params or {}).get("kernel") != "linear":
+        gamma = (params or {}).get("gamma") or scale_gamma(train)
+        train, test = (fourier_features(x.withColumn("embedding", F.col("embedding").cast("array<double>")), gamma, int((params or {}).get("n_features", 512)), seed) for x in (train, test))
     vec = lambda df: df.withColumn("v", array_to_vector("embedding")).withColumn("label", F.col("label").cast("double"))
     train, test = vec(train), vec(test)
     if params and params.get("balanced"):
@@ -88,9 +124,23 @@ def _by_score(preds: DataFrame, by: list[str]) -> DataFrame:
     return preds.groupBy(*by, "pred_score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def roc_auc(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """By average ranks; null with one class."""
+def one_vs_rest(preds: DataFrame, classes: list, by: list[str] | None = None) -> DataFrame:
+    """preds(by, label, pred_scores, one score per class in the order of `classes`) -> by, class, label (1: of this class, 0: of another), pred_score."""
+    x = preds.select(*(by or []), F.col("label").alias("__l"), F.explode(F.arrays_zip(F.array(*map(F.lit, classes)).alias("class"), F.col("pred_scores").alias("pred_score"))).alias("z"))
+    return x.select(*(by or []), F.col("z.class").alias("class"), F.coalesce((F.col("__l") == F.col("z.class")).cast("int"), F.lit(0)).alias("label"), F.col("z.pred_score").alias("pred_score"))
+
+
+def _macro_of(score, preds: DataFrame, classes: list, by: list[str], name: str) -> DataFrame:
+    """Mean over all classes; null where one of them has no score."""
+    t = score(one_vs_rest(preds, classes, by), [*by, "class"])
+    return t.groupBy(*by).agg(F.when(F.count(name) == F.count("*"), F.avg(name)).alias(name))
+
+
+def roc_auc(preds: DataFrame, by: list[str] | None = None, classes: list | None = None) -> DataFrame:
+    """By average ranks, of labels 1 and 0 (others are left out); null with one class. classes: the mean of each class against the rest."""
     by = by or []
+    if classes:
+        return _macro_of(roc_auc, preds, classes, by, "roc_auc")
     t = _by_score(preds, by)
     below = F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy(*by).orderBy("pred_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = t.withColumn("rank", below + (F.col("pos") + F.col("neg") + 1) / 2)
@@ -107,8 +157,10 @@ def curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return t.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).withColumn("n1", F.sum("pos").over(a)).withColumn("n0", F.sum("neg").over(a))
 
 
-def average_precision(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Ties are one threshold; null without positives."""
+def average_precision(preds: DataFrame, by: list[str] | None = None, classes: list | None = None) -> DataFrame:
+    """Ties are one threshold; null without positives. classes: the mean of each class against the rest."""
+    if classes:
+        return _macro_of(average_precision, preds, classes, by or [], "average_precision")
     t = curve(preds, by)
     return t.groupBy(*(by or [])).agg(F.sum(F.col("pos") / F.when(F.col("n1") > 0, F.col("n1")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
 

@@ -75,6 +75,17 @@ def scale(expr: DataFrame, cells: DataFrame, max_value: float = 10.0) -> DataFra
     return grid.join(expr, ["cell_id", "gene_id"], "left").select("cell_id", "gene_id", F.least(F.greatest(z, F.lit(-max_value)), F.lit(max_value)).alias("value"))
 
 
+def scale_stored(expr: DataFrame, cells: DataFrame, max_value: float = 10.0) -> DataFrame:
+    """As `scale`, zeros staying implicit: a row per stored value, and per gene (cell_id null) one row with the value that its zeros take.
+
+    As many rows as expr and its genes have, whatever the number of cells."""
+    n = cells.count()
+    m = gene_moments(expr, n).withColumn("sd", F.sqrt(F.greatest("var", F.lit(0.0))))
+    x = expr.select("cell_id", "gene_id", "value").unionByName(m.select(F.lit(None).cast("string").alias("cell_id"), "gene_id", F.lit(0.0).alias("value")))
+    z = (F.col("value") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    return x.join(m.select("gene_id", "mean", "sd"), "gene_id").select("cell_id", "gene_id", F.least(F.greatest(z, F.lit(-max_value)), F.lit(max_value)).alias("value"))
+
+
 def matrix_range(expr: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
     """Smallest and largest value; zeros that are not stored count."""
     zero = F.count("*") < n_cells * n_genes
