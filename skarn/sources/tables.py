@@ -67,11 +67,13 @@ def load_embedding(spark: SparkSession, path: str, key: str, fallback=None) -> D
 
 
 def read_gene_panel(spark: SparkSession, path: str, tsv_column: str | None = None) -> DataFrame:
-    """gene_id, pos: a TSV's column, or the first comma field of text lines that are neither blank nor comments. pos is the line within the file."""
+    """gene_id, pos: a TSV's column, or the first comma field of text lines that are neither blank nor comments. pos is the line within the file, without a TSV's header."""
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
     if tsv_column:
-        df = spark.read.option("header", True).option("sep", "\t").csv(path)
-        return df.select(F.col(tsv_column).alias("gene_id"), F.monotonically_increasing_id().alias("pos"))
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+        place = F.array_position(F.split(F.col("lines")[0], "\t"), tsv_column).cast("int")
+        rows = lines.select(F.when(place > 0, place).otherwise(F.raise_error(F.lit(f"no column {tsv_column}"))).alias("at"), F.posexplode("lines").alias("pos", "line"))
+        return rows.where("pos > 0 and line <> ''").select(F.get(F.split("line", "\t"), F.col("at") - 1).alias("gene_id"), (F.col("pos") - 1).cast("long").alias("pos"))
+    lines = lines.select(F.posexplode("lines").alias("pos", "line"))
     return lines.where("trim(line) <> '' and not startswith(trim(line), '#')").select(F.trim(F.split("line", ",")[0]).alias("gene_id"), F.col("pos").cast("long").alias("pos"))
 
 

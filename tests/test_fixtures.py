@@ -130,3 +130,14 @@ def test_wilcoxon(spark):
     p = spark.createDataFrame([("m", float(i), 0.0) for i in range(1, 7)], "g string, x double, y double")
     r = R.wilcoxon_pairs(p, ["g"]).first()
     assert r["w"] == 0 and math.isclose(r["p"], 2 / 64)
+
+
+def test_gene_panels(spark, tmp_path):
+    from skarn.sources.tables import read_gene_panel
+
+    (tmp_path / "p.tsv").write_text("n\tgene\r\n1\tB\r\n2\tA\r\n3\r\n")
+    (tmp_path / "p.txt").write_text("# panel\nB,x\n\n A ,y")
+    assert [tuple(r) for r in read_gene_panel(spark, f"file://{tmp_path}/p.tsv", "gene").orderBy("pos").collect()] == [("B", 0), ("A", 1), (None, 2)]
+    assert [tuple(r) for r in read_gene_panel(spark, f"file://{tmp_path}/p.txt").orderBy("pos").collect()] == [("B", 1), ("A", 3)]
+    with pytest.raises(Exception, match="no column g"):
+        read_gene_panel(spark, f"file://{tmp_path}/p.tsv", "g").collect()
