@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, packing, quality, simhash, token_counts, token_output, toxicity, webp
+from . import bpe, chat, hnsw, importance, licenses, packing, periodic, quality, simhash, token_counts, token_output, toxicity, webp
 from .common import prepare, shared_dir, table
+from .scan_sql import importance_sql, license_sql, periodic_sql
 
 
 def op1_token_output(spark, sf_dir):
@@ -55,8 +56,21 @@ def op10_media(spark, sf_dir):
     return webp.features(webp.store(table(prepare(spark), sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.find_runs(periodic.with_tails(table(prepare(spark), sf_dir, "documents"))))
+
+
+def op12_license_scan(spark, sf_dir):
+    return licenses.digests(licenses.scan(table(prepare(spark), sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return importance.resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_output, op2_token_counts, op3_packing, op4_toxicity, op5_chat_format, op6_embedding_dedup, op7_simhash_dedup, op8_quality, op9_byte_bpe, op10_media)}
+    own = (op1_token_output, op2_token_counts, op3_packing, op4_toxicity, op5_chat_format, op6_embedding_dedup, op7_simhash_dedup, op8_quality, op9_byte_bpe, op10_media, op11_periodic_runs, op12_license_scan, op13_importance_resampling)
+    return {f.__name__: f for f in own}
 
 
 def _controls() -> str:
@@ -85,4 +99,4 @@ def oracle_sql():
     c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), d AS (SELECT a, count(*) AS n FROM link GROUP BY a)
     SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
     FROM v JOIN c ON c.a = v.vec_id LEFT JOIN d ON d.a = v.vec_id"""
-    return {"op5_chat_format": chat_sql, "op6_embedding_dedup": near_sql}
+    return {"op5_chat_format": chat_sql, "op6_embedding_dedup": near_sql, "op11_periodic_runs": periodic_sql(), "op12_license_scan": license_sql(licenses.TEMPLATES, licenses.SHARE), "op13_importance_resampling": importance_sql()}
