@@ -8,6 +8,8 @@ from ..operators import patient as PT
 from ..operators import qc as Q
 from ..operators import splits as P
 from ..operators import tokens as T
+from ..operators.axes import axes_table
+from ..operators.quantiles import quantiles
 from ..plans import adapters as A
 from ..plans.adapters import CELLS, EMB, EXPR, query
 from .cell_queries import NORM
@@ -69,7 +71,19 @@ def v6(s, d):
 @query("v7_svd")
 def v7(s, d):
     x = A.expr(s, d)
-    return V.svd_embedding(V.hvg_embedding(x, A.cells(s, d), x.select("gene_id")), 8).select("cell_id", F.transform("embedding", r6).alias("embedding"))
+    return V.svd_genes(x, A.cells(s, d), x.select("gene_id"), 8)[0].select("cell_id", F.transform("embedding", r6).alias("embedding"))
+
+
+@query("v6_pca_genes")
+def v6b(s, d):
+    x = A.expr(s, d, "part")
+    return V.pca_genes(x, A.cells(s, d), x.select("gene_id"), 8)[0].select("cell_id", F.transform("embedding", r6).alias("embedding"))
+
+
+@query("v7_svd_axes")
+def v7b(s, d):
+    x = A.expr(s, d, "part")
+    return axes_table(s, V.svd_genes(x, A.cells(s, d), x.select("gene_id"), 8)[1])
 
 
 _U = lambda tag: f"(CAST('0x' || substr(md5(gene_id || ':' || dim || ':0:{tag}'), 1, 8) AS BIGINT) / 4294967296.0)"
@@ -122,7 +136,7 @@ _RANKED = f"""{EXPR}, {_VOC}, med AS (SELECT gene_id, median(value) AS median FR
 
 def _tokens(s, d):
     x = A.expr(s, d)
-    return T.rank_tokens(x, x.groupBy("gene_id").agg(F.median("value").alias("median")), _vocab(x), 2048, (1, 2))
+    return T.rank_tokens(x, quantiles(x, "value", [0.5], ["gene_id"]).select("gene_id", F.col("quantiles")[0].alias("median")), _vocab(x), 2048, (1, 2))
 
 
 @query("t1_rank_tokens", f"WITH {_RANKED} SELECT cell_id, input_ids, CAST(len(input_ids) AS INTEGER) AS length FROM tok")

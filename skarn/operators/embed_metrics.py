@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.special import chi2_sf
 from ..plans.storage import written
 from . import features, graph, splits
+from .quantiles import quantiles
 
 
 def _contingency(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def lisi(edges: DataFrame, cells: DataFrame, cat: str, kind: str, k: int = 15, s
     by = by or []
     x = lisi_samples(edges, cells, cat, k)
     x = x.join(cells.select(F.col("cell_id").alias("i"), *by), "i") if by else x
-    m, n = x.groupBy(*by).agg(F.median("lisi").alias("m")), cells.groupBy(*by).agg(F.countDistinct(cat).alias("n"))
+    m, n = quantiles(x, "lisi", [0.5], by).select(*by, F.col("quantiles")[0].alias("m")), cells.groupBy(*by).agg(F.countDistinct(cat).alias("n"))
     v = F.col("m") if not scale else F.try_divide(F.col("m") - 1 if kind == "i" else F.col("n") - F.col("m"), F.col("n") - 1)
     return (m.join(n, by) if by else m.crossJoin(n)).select(*by, v.alias(f"{kind}lisi"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import l2, uniform, vector_stat
 from ..plans.storage import written
+from . import axes
 from .qc import gene_moments, log1p, normalize_total
 
-#: Components up to which principal axes come from the whole Gram matrix.
+#: Columns up to which principal axes come from one pass with the whole space as the first block.
 EXACT = 512
 
 
@@ -73,7 +74,7 @@ def hvg_embedding(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFr
     place = g.select("gene_id", (F.row_number().over(Window.orderBy("gene_id")) - 1).alias("pos"))  # a row per gene
     v = expr.join(place, "gene_id").groupBy("cell_id").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col("value").cast("double")).alias("value"))
 
-    lists = _listing()
+    lists = axes.lister()
 
     def run(batches):
         for b in batches:
@@ -86,60 +87,12 @@ def hvg_embedding(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFr
     return cells.select(F.col("cell_id").cast("string").alias("cell_id")).join(v, "cell_id", "left").select("cell_id", "pos", "value").mapInArrow(run, "cell_id string, embedding array<double>")
 
 
-def _listing():
-    """Turns rows into a list column; made anew for each job, so that workers get it with the job."""
-
-    def lists(x):
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * x.shape[1]), pa.array(x.ravel()))
-
-    return lists
-
-
 def _sums(v: DataFrame, d: int) -> tuple[np.ndarray, int]:
     """Mean vector and number of rows."""
     r = v.agg(vector_stat("mean", F.col("embedding")).alias("m"), F.count("*").alias("n")).first()
     return (np.asarray(r["m"]) if r["n"] else np.zeros(d)), r["n"]
 
 
-def _applied(v: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """The Gram matrix of the rows (less mean) times q: a partial product per task, rows of it added by Spark; as many numbers as q has come back."""
-
-    lists = _listing()
-
-    def run(batches):
-        z = None
-        for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean
-                y = x.T @ (x @ q)
-                z = y if z is None else z + y
-        if z is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), lists(z)], names=["i", "z"])
-
-    parts = v.select("embedding").mapInArrow(run, "i long, z array<double>")
-    out = np.zeros_like(q)
-    for r in parts.groupBy("i").agg(vector_stat("sum", F.col("z")).alias("z")).collect():
-        out[r["i"]] = r["z"]
-    return out
-
-
-def _axes(v: DataFrame, k: int, mean: np.ndarray, most: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenvalues of the Gram matrix and their vectors (d x k). Up to EXACT components by the whole matrix, beyond by iterating a subspace of
-    k + 10 columns until its values stand still, so that d x d numbers are never formed."""
-    d = len(mean)
-    q = np.eye(d) if d <= EXACT else np.linalg.qr(np.random.default_rng(0).normal(size=(d, min(d, k + 10))))[0]
-    last = None
-    for _ in range(1 if d <= EXACT else most):
-        z = _applied(v, q, mean)
-        value, u = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-        value, u = value[::-1][:k], u[:, ::-1][:, :k]
-        if last is not None and np.abs(value - last).max(initial=0) <= 1e-12 * max(value.max(initial=0), 1e-300):
-            break
-        last, w = value, q @ u
-        q = np.linalg.qr(z)[0] if d > EXACT else q
-    return value, w
-
-
 def _project(v: DataFrame, k: int, centre: bool) -> tuple[DataFrame, list[float]]:
     v = written(v)
     first = v.select(F.size("embedding").alias("d")).first()
@@ -148,9 +101,9 @@ def _project(v: DataFrame, k: int, centre: bool) -> tuple[DataFrame, list[float]
     mean, n = _sums(v, first["d"])
     if not centre:
         mean = 0 * mean
-    value, w = _axes(v, k, mean)
-    w = w * np.where(w[np.abs(w).argmax(0), np.arange(w.shape[1])] < 0, -1, 1)  # the largest loading is positive
-    at, lists = v.columns.index("embedding"), _listing()
+    found = axes.solve(axes.dense_product(v, mean), first["d"], min(k, first["d"]), EXACT)
+    value, w = found.value, axes.with_signs(found.vectors)
+    at, lists = v.columns.index("embedding"), axes.lister()
 
     def run(batches):
         for b in batches:
@@ -172,6 +125,16 @@ def svd_embedding(v: DataFrame, k: int) -> DataFrame:
     return _project(v, k, False)[0]
 
 
+def pca_genes(expr: DataFrame, cells: DataFrame, genes: DataFrame, k: int) -> tuple[DataFrame, axes.Axes]:
+    """Principal axes of the long matrix over `genes`, zeros implicit, centred inside the products: (cell_id, embedding) and the axes with their residuals."""
+    return axes.sparse_axes(expr, cells, genes, k, True, EXACT)
+
+
+def svd_genes(expr: DataFrame, cells: DataFrame, genes: DataFrame, k: int) -> tuple[DataFrame, axes.Axes]:
+    """Truncated singular vectors of the long matrix over `genes`, zeros implicit."""
+    return axes.sparse_axes(expr, cells, genes, k, False, EXACT)
+
+
 def random_projection(expr: DataFrame, d: int = 16, seed: int = 0, sd: float = 0.05) -> DataFrame:
     """Normal weights by gene and dimension, drawn from a hash once per gene; a cell's values add up multiples of its genes' weights, in partial sums."""
     key = lambda dim: F.concat_ws(":", "gene_id", dim.cast("string"), F.lit(str(seed)))

@@ -7,12 +7,14 @@ vector crosses the network once per block it meets: at 32,768 rows of 64 values,
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
 
 BLOCK_BYTES = 16 << 20
+#: Edges of a block of nodes that one task moves one after the other.
+BLOCK_EDGES = 200_000
 SLICE = 1024  # rows of a block compared at once, with 8 times as many of the other
 
 
@@ -186,29 +188,110 @@ def components_within(edges: DataFrame, cells: DataFrame, label: str = "label",
     return components(inside, cells).join(cells.select("cell_id", *(by or []), label), "cell_id")
 
 
-def communities(edges: DataFrame, resolution: float = 0.3, max_iter: int = 8, groups: DataFrame | None = None) -> DataFrame:
-    """edges(i, j, weight), both directions -> cell_id, community. Parallel local moves of modularity: half of the cells (by hash, in turn) move
-    to the neighbouring community of the best gain; a written table per round. groups(i, g): cells of separate graphs, each with its own total weight."""
-    e = written(edges.where("i <> j").groupBy("i", "j").agg(F.max("weight").alias("w")))
-    degree = e.groupBy("i").agg(F.sum("w").alias("k"))
-    degree = degree.join(groups, "i") if groups is not None else degree.withColumn("g", F.lit(0))
-    degree = written(degree)
-    totals = degree.groupBy("g").agg(F.sum("k").alias("two_m"))
-    degree = written(degree.join(totals, "g").drop("g"))
-    comm = written(degree.select("i", F.col("i").alias("c")))
-    for turn in range(max_iter):
-        sizes = comm.join(degree.select("i", "k"), "i").groupBy("c").agg(F.sum("k").alias("d"))
-        to = e.join(comm.select(F.col("i").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum("w").alias("kc"))
-        own = comm.withColumnRenamed("c", "own")
-        x = to.join(own, "i").join(degree, "i").join(sizes, "c")
-        gain = F.col("kc") - resolution * F.col("k") * (F.col("d") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("two_m")
-        best = x.withColumn("gain", F.round(gain, 9)).groupBy("i").agg(F.max_by("c", F.struct("gain", (F.col("c") == F.col("own")).cast("int"), "c")).alias("c"), F.max("gain").alias("g"))
-        moves = F.pmod(F.xxhash64("i", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        new = written(comm.withColumnRenamed("c", "old").join(best, "i", "left").select("i", F.when(moves & F.col("c").isNotNull() & (F.col("g") > 0), F.col("c")).otherwise(F.col("old")).alias("c"), "old"))
-        comm = new.select("i", "c")
-        if turn % 2 and new.where("c <> old").isEmpty():
+def _settle(t: pa.Table, resolution: float, alone: bool) -> pa.Table:
+    """Local moves, one node after the other, inside a block of rows (i, k, two_m, c, d, n, j, w, cj, dj, nj); what other blocks hold stands still.
+
+    alone: nodes start alone, and one that has been joined or has moved stays; so all that comes together is connected. Otherwise, of two nodes that are alone in different
+    blocks only the one with the larger community name moves to the other, so that they don't change places."""
+    comm, own, size, members, edges = {}, {}, {}, {}, {}
+    for i, k, m, c, d, n, j, w, cj, dj, nj in zip(*(t.column(x).to_pylist() for x in ("i", "k", "two_m", "c", "d", "n", "j", "w", "cj", "dj", "nj")), strict=True):
+        if i not in comm:
+            comm[i], own[i], edges[i] = c, (k, m), []
+            size[c], members[c] = d, n
+        if j is not None:
+            edges[i].append((j, w, cj))
+            size.setdefault(cj, dj), members.setdefault(cj, nj)
+    start = dict(comm)
+    if alone:
+        comm, size, members = {i: i for i in comm}, {i: own[i][0] for i in comm}, dict.fromkeys(comm, 1)
+    inside = {comm[i] for i in comm if members[comm[i]] == 1}
+    nodes, moved = sorted(comm), True
+    for _ in range(20):
+        if not moved:
             break
-    return comm.select(F.col("i").alias("cell_id"), F.col("c").alias("community"))
+        moved = False
+        for i in nodes:
+            c, (k, m) = comm[i], own[i]
+            if alone and members[c] > 1:
+                continue
+            to = {c: 0.0}
+            for j, w, cj in edges[i]:
+                cj = comm.get(j, cj) if not alone else comm.get(j)
+                if cj is not None:
+                    to[cj] = to.get(cj, 0.0) + w
+            gain = {x: round(w / k - resolution * (size[x] - (k if x == c else 0.0)) / m, 12) for x, w in to.items()}
+            best = max(to, key=lambda x: (gain[x], x == c, x))
+            if best == c or members[c] == 1 and members[best] == 1 and best not in inside and best > c:
+                continue
+            size[c], members[c] = size[c] - k, members[c] - 1
+            size[best], members[best] = size[best] + k, members[best] + 1
+            comm[i], moved = best, True
+    return pa.table({"i": nodes, "c": [comm[i] for i in nodes], "moved": [comm[i] != start[i] for i in nodes]})
+
+
+def _in_blocks(nodes: DataFrame, e: DataFrame, comm: DataFrame, blocks: Column, resolution: float, alone: bool) -> DataFrame:
+    """(i, c, moved) after _settle over blocks of nodes; edges carry their ends' communities with sizes."""
+    full = comm.join(nodes, "i")
+    own = full.join(full.groupBy("c").agg(F.sum("k").alias("d"), F.count("*").alias("n")), "c")
+    other = own.select(F.col("i").alias("j"), F.col("c").alias("cj"), F.col("d").alias("dj"), F.col("n").alias("nj"))
+    x = own.join(e.join(other, "j"), "i", "left")
+    if alone:
+        x = x.withColumns({y: F.when(F.col("c") == F.col("cj"), F.col(y)) for y in ("j", "w", "dj", "nj")})
+    settle = _settle  # goes with the job
+    return x.withColumn("block", blocks).groupBy("block").applyInArrow(lambda t: settle(t, resolution, alone), "i string, c string, moved boolean")
+
+
+def _quality(nodes: DataFrame, e: DataFrame, comm: DataFrame, resolution: float) -> float:
+    """Modularity, added up over separate graphs; weight that isn't cut lies inside, contracted or not."""
+    a, b = comm, comm.select(F.col("i").alias("j"), F.col("c").alias("cj"))
+    cut = e.join(a, "i").join(b, "j").where("c <> cj").groupBy("c").agg(F.sum("w").alias("cut"))
+    d = comm.join(nodes, "i").groupBy("c").agg(F.sum("k").alias("d"), F.max("two_m").alias("two_m")).join(cut, "c", "left")
+    return d.agg(F.sum((F.col("d") - F.coalesce("cut", F.lit(0.0))) / F.col("two_m") - resolution * F.pow(F.col("d") / F.col("two_m"), 2))).first()[0] or 0.0
+
+
+def communities(edges: DataFrame, resolution: float = 0.3, max_iter: int = 6, groups: DataFrame | None = None, max_levels: int = 12) -> DataFrame:
+    """edges(i, j, weight), both directions -> cell_id, community, named by its smallest cell; every community is connected.
+
+    Multilevel modularity with refinement. On each level nodes move to the neighbouring community of the best gain: they are dealt to blocks of about BLOCK_EDGES edges, a task moves its block's nodes one
+    after the other, and rounds follow until none moves (one, where there is one block). Each community is then refined: its nodes start alone and join neighbours inside the community only, block by block, so that what comes of
+    it is connected; these parts are the nodes of the next level (degrees and weights between them summed), which starts from the communities found. So a part that joined the wrong community can leave it
+    whole. It ends with a level that contracts nothing or whose modularity is no better; communities that have come apart are then split. Every round is a written table. A node's edges are in one task.
+    groups(i, g): cells of separate graphs, each with its own total weight."""
+    e = written(edges.where("i <> j").groupBy("i", "j").agg(F.max("weight").cast("double").alias("w")))
+    degree = e.groupBy("i").agg(F.sum("w").alias("k"), F.count("*").alias("m")).where("k > 0")
+    degree = written(degree.join(groups, "i") if groups is not None else degree.withColumn("g", F.lit(0)))
+    nodes = written(degree.join(degree.groupBy("g").agg(F.sum("k").alias("two_m")), "g").select("i", "k", "two_m"))
+    n, m = degree.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    of = nodes.select(F.col("i").alias("cell_id"), "i")  # each cell's node
+    comm, best = nodes.select("i", F.col("i").alias("c")), None
+    for _ in range(max_levels):
+        now = comm
+        parts = int(m // BLOCK_EDGES + 1)
+        for turn in range(max_iter if parts > 1 else 1):
+            new = written(_in_blocks(nodes, e, now, F.pmod(F.xxhash64("i", F.lit(turn)), F.lit(parts)), resolution, False))
+            now = new.select("i", "c")
+            if parts > 1 and new.where("moved").isEmpty():
+                break
+        q = _quality(nodes, e, now, resolution)
+        if best is not None and q <= best + 1e-9:
+            break
+        best, comm = q, now
+        # communities of few nodes share a block, those of many are cut
+        dealt = F.struct(F.pmod(F.xxhash64("c"), F.lit(parts)), F.pmod(F.xxhash64("i"), F.floor(F.col("n") * F.lit(m / max(n, 1)) / BLOCK_EDGES) + 1))
+        parted = written(_in_blocks(nodes, e, comm, dealt, resolution, True).select("i", F.col("c").alias("r")))
+        of = written(of.join(parted, "i").select("cell_id", F.col("r").alias("i")))
+        comm = written(comm.join(parted, "i").select(F.col("r").alias("i"), "c").distinct())
+        nodes = written(nodes.join(parted, "i").groupBy(F.col("r").alias("i")).agg(F.sum("k").alias("k"), F.max("two_m").alias("two_m")))
+        e = e.join(parted.withColumnRenamed("r", "a"), "i").join(parted.select(F.col("i").alias("j"), F.col("r").alias("b")), "j").where("a <> b")
+        e = written(e.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w")))
+        n, before, m = nodes.count(), n, e.count()
+        if n == before or not m:
+            break
+    inner = e.join(comm.withColumnRenamed("c", "ci"), "i").join(comm.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").where("ci = cj")
+    whole = components(inner, nodes.select(F.col("i").alias("cell_id"))).select(F.col("cell_id").alias("i"), "component")
+    named = written(of.join(whole, "i"))
+    names = named.groupBy("component").agg(F.min("cell_id").alias("community"))
+    return named.join(names, "component").select("cell_id", "community")
 
 
 def modularity(edges: DataFrame, comm: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def cell_qc(cells: DataFrame, expr: DataFrame) -> DataFrame:
     q = expr.groupBy("cell_id").agg(F.count_if(F.col("value") > 0).alias("n_genes_by_counts"), F.sum("value").alias("total_counts"))
@@ -32,7 +34,7 @@ def normalize_total(expr: DataFrame, target_sum: float | None = 1e4) -> DataFram
     """Each cell's values scaled to the same total; without a target, to the median of totals over 0."""
     totals = expr.groupBy("cell_id").agg(F.sum("value").alias("total"))
     if target_sum is None:
-        goal = totals.where("total > 0").agg(F.median("total").alias("goal"))
+        goal = quantiles(totals.where("total > 0"), "total", [0.5]).select(F.col("quantiles")[0].alias("goal"))
         totals = totals.crossJoin(F.broadcast(goal))  # one row
     else:
         totals = totals.withColumn("goal", F.lit(float(target_sum)))
@@ -92,17 +94,23 @@ def matrix_range(expr: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
     return expr.agg(F.when(zero, F.least(F.min("value"), F.lit(0.0))).otherwise(F.min("value")).alias("min_value"), F.when(zero, F.greatest(F.max("value"), F.lit(0.0))).otherwise(F.max("value")).alias("max_value"), F.count("*").alias("stored"))
 
 
+#: Shares, bounds and the pattern of the definitions of kinds.
+WHOLE, LOG_MOST, LOG_P99, SYMBOL = 0.99, 20, 15, r"^[A-Za-z][A-Za-z0-9.-]{0,14}$"
+
+
 def infer_matrix_kind(expr: DataFrame) -> DataFrame:
     """raw_counts, log_normalized, other_processed or unspecified, from the stored values."""
     v = F.col("value")
-    s = expr.agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.median(v).alias("mid"), F.percentile(v, 0.99).alias("p99"), F.avg((F.abs(v - F.round(v)) < 1e-6).cast("double")).alias("whole"))
-    kind = F.when(F.col("n") == 0, "unspecified").when((F.col("lo") >= 0) & (F.col("whole") >= 0.99), "raw_counts").when((F.col("lo") >= 0) & (F.col("hi") <= 20) & (F.col("p99") <= 15), "log_normalized").otherwise("other_processed")
+    s = expr.agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg((F.abs(v - F.round(v)) < 1e-6).cast("double")).alias("whole"))
+    q = quantiles(expr, "value", [0.5, 0.99])  # no row without values
+    s = s.join(F.broadcast(q.select(F.col("quantiles")[0].alias("mid"), F.col("quantiles")[1].alias("p99"))), F.lit(True), "left")  # one row
+    kind = F.when(F.col("n") == 0, "unspecified").when((F.col("lo") >= 0) & (F.col("whole") >= WHOLE), "raw_counts").when((F.col("lo") >= 0) & (F.col("hi") <= LOG_MOST) & (F.col("p99") <= LOG_P99), "log_normalized").otherwise("other_processed")
     return s.select("hi", "mid", "p99", "whole", kind.alias("kind"))
 
 
 def infer_gene_id_kind(genes: DataFrame, col: str) -> DataFrame:
     ens = F.avg(F.col(col).rlike(r"(?i)^ENS[A-Z]{0,10}G\d{6,}").cast("double"))
-    sym = F.avg(F.col(col).rlike(r"^[A-Za-z][A-Za-z0-9.-]{0,14}$").cast("double"))
+    sym = F.avg(F.col(col).rlike(SYMBOL).cast("double"))
     s = genes.agg(ens.alias("ensembl_share"), sym.alias("symbol_share"))
     return s.withColumn("kind", F.when(F.col("ensembl_share") > 0.5, "ensembl").when(F.col("symbol_share") > 0.5, "symbol").otherwise("unknown"))
 
@@ -114,6 +122,8 @@ def audit_embeddings(df: DataFrame, expected: int, key: str) -> DataFrame:
 
 def describe(df: DataFrame, *cols: str) -> DataFrame:
     """Count, mean, deviation, quartiles and distinct values of numeric columns, one row each."""
-    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("lo"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.5).alias("q2"),
-                     F.percentile(c, 0.75).alias("q3"), F.max(c).cast("double").alias("hi"), F.countDistinct(c).alias("n_distinct")) for c in cols]
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), F.countDistinct(c).alias("n_distinct")) for c in cols]
+    stats = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("r")).select("r.*")
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"]).select("column", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)])
+    return stats.join(q, "column", "left").select("column", "n", "mean", "sd", "lo", "q1", "q2", "q3", "hi", "n_distinct")
