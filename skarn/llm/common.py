@@ -57,6 +57,19 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def through_arrow(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) with the same columns, which are numbered meanwhile: names may hold dots."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
+def labelled(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """docs(doc_id, text) of the ids in picked(doc_id, ...), a bounded table: one row per id whatever repeats, with the text of the smallest hash. Written."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id")), "doc_id")
+    one = text.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    return written(one.join(F.broadcast(picked), "doc_id"))
+
+
 _SLOT: dict = {}
 
 

@@ -7,7 +7,8 @@ mean and spread of the vectors, likeness of neighbouring words, and the length o
 vectors (which grows with repetition). A network with one hidden layer, in numpy, gives the logit; a temperature fitted on rows it
 was not trained on calibrates it.
 
-The fit reads at most sample_rows labelled rows, the first by a hash of doc_id, in one bounded task; scoring covers all rows.
+The fit reads at most sample_rows labelled documents, the first by a hash of doc_id, one text for each id however often it is there. Context vectors are added up by tasks (sums of halves: exact in any
+order), documents are pooled by tasks, and sample_rows rows of numbers, no texts, meet in the one task that trains the network; scoring covers all rows.
 
 A word's shape is its first 16 signs; terms share BUCKETS hash places.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_memory, written
+from .common import labelled, through_arrow, worker_memory, written
 
 DIM, BUCKETS, CHUNK = 32, 1 << 15, 1 << 15
 _RUN = re.compile(r"(.)\1+")
@@ -119,15 +120,13 @@ def _forward(x, net):
     return h, h @ net["w2"] + net["b2"]
 
 
-def fit(texts: list[str | None], label: np.ndarray, hidden: int = 48, epochs: int = 120) -> dict | None:
-    """Context vectors, network and temperature from a sample."""
-    if not len(label) or label.min() == label.max():
-        return None
-    index = index_vectors()
-    context = np.zeros((BUCKETS, DIM), "f4")
+def context_sums(texts, context: np.ndarray, index: np.ndarray) -> None:
+    """Adds what stands next to each term in texts to context, BUCKETS rows."""
     terms: dict[str, tuple[int, int]] = {}
     for text in texts:
         words = (text or "").split()
+        if len(terms) > 300_000:
+            terms.clear()
         for word in words:
             if word not in terms:
                 terms[word] = _bucket(f"w {word}"), _bucket(f"s {shape(word)}")
@@ -143,9 +142,25 @@ def fit(texts: list[str | None], label: np.ndarray, hidden: int = 48, epochs: in
                 o = np.argsort(t, kind="stable")
                 first = np.flatnonzero(np.r_[True, t[o][1:] != t[o][:-1]])
                 context[t[o][first]] += np.add.reduceat(around[o], first, axis=0)
-    context /= np.maximum(1e-6, np.sqrt(np.einsum("ij,ij->i", context, context)))[:, None]
+
+
+def unit_rows(context: np.ndarray) -> np.ndarray:
+    return (context / np.maximum(1e-6, np.sqrt(np.einsum("ij,ij->i", context, context)))[:, None]).astype("f4")
+
+
+def fit(texts: list[str | None], label: np.ndarray, hidden: int = 48, epochs: int = 120) -> dict | None:
+    """Context vectors, network and temperature from texts that are at hand."""
+    if not len(label) or label.min() == label.max():
+        return None
+    index, context = index_vectors(), np.zeros((BUCKETS, DIM))
+    context_sums(texts, context, index)
+    context = unit_rows(context)
     rows = _Rows(context, index)
-    x = np.stack([pooled(t, rows) for t in texts])
+    return {"context": context.astype("f2")} | fit_network(np.stack([pooled(t, rows) for t in texts]), label, hidden, epochs)
+
+
+def fit_network(x: np.ndarray, label: np.ndarray, hidden: int = 48, epochs: int = 120) -> dict:
+    """Network and temperature from pooled documents."""
     mean, sd = x.mean(0), x.std(0) + 1e-4
     x, y = (x - mean) / sd, label.astype("f4")
     rng = np.random.default_rng(3)
@@ -174,7 +189,7 @@ def fit(texts: list[str | None], label: np.ndarray, hidden: int = 48, epochs: in
     z = _forward(x[check], kept)[1].astype("f8")
     scales = np.exp(np.linspace(np.log(0.3), np.log(10), 60))
     losses = [np.mean(np.logaddexp(0, z / s) - y[check] * z / s) for s in scales]
-    return {"context": context.astype("f2"), "mean": mean, "sd": sd, "net": kept, "temperature": float(scales[int(np.argmin(losses))])}
+    return {"mean": mean, "sd": sd, "net": kept, "temperature": float(scales[int(np.argmin(losses))])}
 
 
 def held_out(doc_id) -> F.col:
@@ -186,18 +201,43 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5000, label_
     """The model of docs(doc_id, text) and labels(doc_id, quality); rows held out are never read for it."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    picked = F.broadcast(written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)))  # sample_rows narrow rows at most
+    picked = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))  # sample_rows narrow rows at most
+    sample = labelled(docs, picked)
+    if sample.select("label").distinct().count() < 2:
+        return None
+
+    def around(batches):
+        worker_memory("quality fit", dict)
+        context, index = np.zeros((BUCKETS, DIM)), index_vectors()
+        for b in batches:
+            context_sums((t.as_py() for t in b.column(0)), context, index)
+        some = np.flatnonzero(context.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(context[some]), pa.list_(pa.float64()))], names=["bucket", "v"])
+
+    context = np.zeros((BUCKETS, DIM))
+    parts = sample.select("text").mapInArrow(around, "bucket long, v array<double>").select("bucket", F.posexplode("v").alias("dim", "x")).groupBy("bucket", "dim").agg(F.sum("x").alias("x"))
+    for bucket, v in parts.groupBy("bucket").agg(F.collect_list(F.struct("dim", "x")).alias("v")).collect():  # BUCKETS rows at most
+        context[bucket, [d for d, _ in v]] = [x for _, x in v]
+    context = unit_rows(context)
+
+    def pool(batches):
+        worker_memory("quality fit", dict)
+        rows = _Rows(context, index_vectors())
+        for b in batches:
+            if b.num_rows:
+                x = [pooled(t.as_py(), rows) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     def run(batches):
-        texts, label = [], []
+        x, label = [], []
         for b in batches:
-            texts += b.column(1).to_pylist()
-            label += b.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.asarray(label)))], "binary")], names=["model"])
+            x += b.column(2).to_pylist()
+            label += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_network(np.asarray(x, "f4"), np.asarray(label)))], "binary")], names=["model"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "label")
-    model = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").collect()
-    return pickle.loads(model[0][0]) if model else None
+    vectors = sample.select("doc_id", "text", "label").mapInArrow(pool, "doc_id long, label int, x array<float>")
+    model = vectors.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").collect()
+    return {"context": context.astype("f2")} | pickle.loads(model[0][0])
 
 
 def _worker_rows(model: dict, key: int) -> _Rows:
@@ -239,4 +279,4 @@ def accepted(docs: DataFrame, model: dict | None, accept: float = 0.7) -> DataFr
             if b.num_rows:
                 yield b.filter(pa.array(_scores(b.column(text).cast("string").to_pylist(), model, rows) >= accept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through_arrow(docs, run)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, worker_memory, written
 
@@ -238,13 +239,18 @@ def hex_digits(fp) -> F.col:
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the documents that are in one group of found(doc_id, component_id) with a smaller doc_id; all columns stay.
+    """docs without the documents that are in one group of found(doc_id, component_id) with a smaller doc_id; all columns stay, whatever their names and types.
 
-    Rows that repeat a doc_id count as one document: the smallest such row (by text, then the rest) stays. Rows with a null doc_id stay.
+    Rows that repeat a doc_id count as one document: the smallest such row stays, by text and then by the columns of plain types; of rows equal in these any one. Rows with a null doc_id stay.
     """
     stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    rows = docs.join(stays.where("__n = 1"), "doc_id", "left_semi").select(docs.columns)
-    others = [c for c in docs.columns if c != "text"]
-    repeated = docs.join(stays.where("__n > 1").select("doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.min(F.struct("text", *others)).alias("__r")).select(*(F.col(f"__r.{c}").alias(c) for c in docs.columns))
-    return rows.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    key = docs["doc_id"]
+    once, often = (stays.where(w).select(F.col("doc_id").alias("__id")) for w in ("__n = 1", "__n > 1"))
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])  # numbered, so that no name clashes
+    plain = [c.alias(f"o{i}") for i, (c, f) in enumerate(zip(own, docs.schema, strict=True)) if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType) and f.name != "text"]
+    order = F.struct(docs["text"].cast("string").alias("t"), *plain)
+    repeated = docs.join(often, key == F.col("__id"), "left_semi").select(key.alias("i"), order.alias("o"), row.alias("r"))
+    repeated = repeated.groupBy("i").agg(F.min_by("r", "o").alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = docs.join(once, key == F.col("__id"), "left_semi")
+    return rows.unionByName(repeated).unionByName(docs.where(key.isNull()))

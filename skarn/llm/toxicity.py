@@ -6,7 +6,8 @@ the sample that toxic rows have at least RATIO times as often, the best-separati
 
 The labels hold toxic 0 or 1 only. Grade 0 is label 0; toxic rows are graded 1 to 3 by the tertiles of their
 number of tell-tale words (features seen at least 20 times as often in toxic rows). A caller with real grades passes grade_col instead.
-The fit reads at most sample_rows labelled rows of each class, the first by a hash of doc_id, in one bounded task; scoring covers all rows.
+The fit reads at most sample_rows labelled documents of each class, the first by a hash of doc_id, one text for each id however often it is there. Features are counted and chosen by tasks; their
+counts in those documents, no texts, meet in the one task that fits the weights; scoring covers all rows.
 
 At most KEPT features are kept (the best-separating; equal ones by their number), words and beginnings share WIDTH hash places.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_memory, written
+from .common import labelled, through_arrow, worker_memory, written
 
 #: Features are seen in at least the share LEAST of toxic rows (and 3), and RATIO times as often as in clean ones.
 #: A document counts as toxic from the chance TOXIC on, which one plain insult reaches.
@@ -58,10 +59,17 @@ def features(text: str | None, of) -> dict[int, int]:
     return counts
 
 
+def separation(c0, c1, n0: int, n1: int):
+    """For features in c0 of n0 clean and c1 of n1 toxic rows: z of the difference of shares, and which may be kept."""
+    p0, p1 = (c0 + 0.5) / (n0 + 1), (c1 + 0.5) / (n1 + 1)
+    z = np.abs(p1 - p0) / np.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
+    return z, (c1 >= max(3, LEAST * n1)) & (p1 >= RATIO * p0), p1 >= 20 * p0
+
+
 def fit(rows: list[tuple[dict[int, int], int | None, int]], share: float | None = None, kept: int = KEPT, steps: int = 500) -> dict:
     """rows: (features, grade or None, toxic) -> columns, weights, thresholds. share: of toxic rows among all labels, if the sample has another."""
     toxic = np.asarray([t for _, _, t in rows], bool)
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return {"columns": {}, "w": np.zeros(0), "t": np.full(GRADES - 1, 50.0)}
     seen: dict[int, list[int]] = {}
@@ -69,13 +77,21 @@ def fit(rows: list[tuple[dict[int, int], int | None, int]], share: float | None
         for f in x:
             seen.setdefault(f, [0, 0])[t] += 1
     keys = np.fromiter(seen, "i8", len(seen))
-    c = np.asarray(list(seen.values()), "f8")
-    p0, p1 = (c[:, 0] + 0.5) / (n0 + 1), (c[:, 1] + 0.5) / (n1 + 1)
-    z = np.abs(p1 - p0) / np.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-    use = np.flatnonzero((c[:, 1] >= max(3, LEAST * n1)) & (p1 >= RATIO * p0))
+    c = np.asarray(list(seen.values()), "f8").reshape(-1, 2)
+    return fit_chosen(rows, *chosen(keys, c[:, 0], c[:, 1], n0, n1, kept), share, steps)
+
+
+def chosen(keys: np.ndarray, c0: np.ndarray, c1: np.ndarray, n0: int, n1: int, kept: int) -> tuple[dict[int, int], set[int]]:
+    """The features kept, with their columns, and the tell-tale ones among them."""
+    z, may, telling = separation(c0, c1, n0, n1)
+    use = np.flatnonzero(may)
     use = use[np.lexsort((keys[use], -z[use]))[:kept]]
-    telltale = {int(k) for k in keys[use][p1[use] >= 20 * p0[use]]}
-    columns = {int(k): i for i, k in enumerate(keys[use])}
+    return {int(k): i for i, k in enumerate(keys[use])}, {int(k) for k in keys[use][telling[use]]}
+
+
+def fit_chosen(rows, columns: dict[int, int], telltale: set[int], share: float | None, steps: int = 500) -> dict:
+    toxic = np.asarray([t for _, _, t in rows], bool)
+    n1, n0 = toxic.sum(), (~toxic).sum()
     x = np.zeros((len(rows), len(columns)), "f4")
     told = np.zeros(len(rows))
     for i, (f, _, _) in enumerate(rows):
@@ -116,18 +132,44 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, label_
         picked = some if picked is None else picked.unionAll(some)
     n = own.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") != 0).alias("n1")).first()
     share = n["n1"] / n["n"] if n["n"] else None
-    picked = F.broadcast(written(picked))  # 2 * sample_rows narrow rows at most
+    sample = labelled(docs, written(picked)).select("doc_id", "text", "grade", F.col("toxic").cast("boolean").cast("int").alias("toxic"))  # 2 * sample_rows rows at most
+    sizes = dict(map(tuple, sample.groupBy("toxic").count().collect()))
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return fit([])
+
+    def count(batches):
+        worker_memory("toxicity fit", dict)
+        of, c = _Terms(terms), np.zeros((2, WIDTH), "i4")
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                c[toxic, list(features(text.as_py(), of))] += 1
+        some = np.flatnonzero(c.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype("i8")) for x in (some, c[0, some], c[1, some])], names=["feature", "c0", "c1"])
+
+    counts = sample.select("text", "toxic").mapInArrow(count, "feature long, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    p0, p1 = (F.col("c0") + 0.5) / (n0 + 1), (F.col("c1") + 0.5) / (n1 + 1)
+    z = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
+    best = counts.where((F.col("c1") >= max(3, LEAST * n1)) & (p1 >= RATIO * p0)).orderBy(F.desc(z), "feature").limit(KEPT).collect()
+    columns, telltale = chosen(*(np.asarray([r[i] for r in best], t) for i, t in enumerate(("i8", "f8", "f8"))), n0, n1, KEPT)
+
+    def pick(batches):
+        of = _Terms(lambda word: tuple(f for f in terms(word) if f in columns))
+        for b in batches:
+            found = [features(t.as_py(), of) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))],
+                                             names=["doc_id", "grade", "toxic", "features", "n"])
 
     def run(batches):
-        of, rows = _Terms(terms), []
+        rows = []
         for b in batches:
-            for text, grade, toxic in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                rows.append((features(text, of), grade, toxic))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, share))], "binary")], names=["model"])
+            for grade, toxic, f, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                rows.append((dict(zip(f, n, strict=True)), grade, toxic))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chosen(rows, columns, telltale, share))], "binary")], names=["model"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "grade", "toxic")
-    model = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model binary").collect()
-    return pickle.loads(model[0][0]) if model else fit([])
+    rows = sample.mapInArrow(pick, "doc_id long, grade int, toxic int, features array<long>, n array<long>")
+    model = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").collect()
+    return pickle.loads(model[0][0])
 
 
 def _over(texts: list[str | None], model: dict, of: _Terms) -> np.ndarray:
@@ -173,4 +215,4 @@ def harmless(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_over(b.column(text).cast("string").to_pylist(), model, of)[:, 0] < TOXIC))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through_arrow(docs, run)
