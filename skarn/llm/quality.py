@@ -214,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 5000, label_
         some = np.flatnonzero(context.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(context[some]), pa.list_(pa.float64()))], names=["bucket", "v"])
 
-    context = np.zeros((BUCKETS, DIM))
     parts = sample.select("text").mapInArrow(around, "bucket long, v array<double>").select("bucket", F.posexplode("v").alias("dim", "x")).groupBy("bucket", "dim").agg(F.sum("x").alias("x"))
-    for bucket, v in parts.groupBy("bucket").agg(F.collect_list(F.struct("dim", "x")).alias("v")).collect():  # BUCKETS rows at most
-        context[bucket, [d for d, _ in v]] = [x for _, x in v]
+    sums = parts.toArrow()  # BUCKETS times DIM numbers at most
+    context = np.zeros((BUCKETS, DIM))
+    context[sums.column("bucket").to_numpy(), sums.column("dim").to_numpy()] = sums.column("x").to_numpy()
     context = unit_rows(context)
 
     def pool(batches):
