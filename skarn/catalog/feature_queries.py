@@ -144,18 +144,18 @@ def t1(s, d):
     return _tokens(s, d)
 
 
-@query("t2_bin_values", f"""WITH {EXPR}, q AS (SELECT cell_id, quantile_cont(value, {[i / 9 for i in range(10)]}) AS e FROM expr WHERE value > 0 GROUP BY 1)
-  SELECT cell_id, gene_id, CAST(1 + len([x FOR x IN e[2:9] IF x < value]) AS INTEGER) AS bin FROM expr JOIN q USING (cell_id) WHERE value > 0""")
+@query("t2_bin_values", f"""WITH {EXPR}, q AS (SELECT cell_id, quantile_cont(value, {[i / 49 for i in range(50)]}) AS e FROM expr WHERE value > 0 GROUP BY 1)
+  SELECT cell_id, gene_id, CAST(1 + len([x FOR x IN e[2:49] IF x < value]) AS INTEGER) AS bin FROM expr JOIN q USING (cell_id) WHERE value > 0""")
 def t2(s, d):
-    return T.bin_values(A.expr(s, d), 11)
+    return T.bin_values(A.expr(s, d), 51)
 
 
 @query("t3_tokenize_pad", f"""WITH {EXPR}, {_VOC}, x AS (SELECT cell_id, token, value, row_number() OVER (PARTITION BY cell_id ORDER BY md5(gene_id || ':0'), gene_id) AS nth FROM expr JOIN voc USING (gene_id) WHERE value > 0),
-  a AS (SELECT cell_id, list(token ORDER BY token) AS t, list(value ORDER BY token) AS v FROM x WHERE nth <= 23 GROUP BY 1)
-  SELECT cell_id, list_concat(list_concat([0::INTEGER], t), [(-1)::INTEGER FOR i IN range(23 - len(t))]) AS input_ids, list_concat(list_concat([0::DOUBLE], v), [0::DOUBLE FOR i IN range(23 - len(v))]) AS values, CAST(len(t) + 1 AS INTEGER) AS length FROM a""")
+  a AS (SELECT cell_id, list(token ORDER BY token) AS t, list(value ORDER BY token) AS v FROM x WHERE nth <= 2047 GROUP BY 1)
+  SELECT cell_id, list_concat(list_concat([0::INTEGER], t), [(-1)::INTEGER FOR i IN range(2047 - len(t))]) AS input_ids, list_concat(list_concat([0::DOUBLE], v), [0::DOUBLE FOR i IN range(2047 - len(v))]) AS values, CAST(len(t) + 1 AS INTEGER) AS length FROM a""")
 def t3(s, d):
     x = A.expr(s, d)
-    return T.tokenize_pad(x, _vocab(x), 24, -1, 0)
+    return T.tokenize_pad(x, _vocab(x), 2048, -1, 0)
 
 
 @query("t4_gather_nonzero", f"""WITH {EXPR}, {_GENES20}, v AS (SELECT CAST(c_custkey AS VARCHAR) AS cell_id, g.pos, coalesce(value, 0) AS value FROM customer CROSS JOIN g LEFT JOIN expr e ON e.cell_id = CAST(c_custkey AS VARCHAR) AND e.gene_id = g.gene_id),
@@ -171,9 +171,9 @@ def t5(s, d):
     return T.encode_depth(A.expr(s, d), "a", 4.0)
 
 
-@query("t6_pad_mask", f"WITH {_RANKED} SELECT cell_id, list_concat(input_ids[:24], [0::INTEGER FOR i IN range(24 - len(input_ids[:24]))]) AS input_ids, list_concat([1::INTEGER FOR i IN range(len(input_ids[:24]))], [0::INTEGER FOR i IN range(24 - len(input_ids[:24]))]) AS attention_mask FROM tok")
+@query("t6_pad_mask", f"WITH {_RANKED} SELECT cell_id, list_concat(input_ids[:2048], [0::INTEGER FOR i IN range(2048 - len(input_ids[:2048]))]) AS input_ids, list_concat([1::INTEGER FOR i IN range(len(input_ids[:2048]))], [0::INTEGER FOR i IN range(2048 - len(input_ids[:2048]))]) AS attention_mask FROM tok")
 def t6(s, d):
-    return T.pad_mask(_tokens(s, d), 24)
+    return T.pad_mask(_tokens(s, d), 2048)
 
 
 @query("t7_mask_tokens", f"""WITH {_RANKED}, x AS (SELECT cell_id, unnest(input_ids) AS tok, CAST(unnest(range(len(input_ids))) AS INTEGER) AS pos FROM tok), k AS (SELECT *, md5(cell_id || ':' || pos || ':0') AS key, tok >= 3 AS plain FROM x),

@@ -211,7 +211,7 @@ def m14(s, d):
 
 
 def _bootstrap(s, d):
-    return M.bootstrap_suite(A.embeddings(s, d), 4, 200, "batch", 42)
+    return M.bootstrap_suite(A.embeddings(s, d), 10, 10_000, "batch", 42)
 
 
 @query("m15_bootstrap_suite")
@@ -366,24 +366,24 @@ def k5(s, d):
 
 
 #: Cells scored for each of the first five labels by a value of their vectors.
-_OVR = f"""{EMB}, ps AS (SELECT batch, label, 'L' || c AS class, round(embedding[c + 1], 2) AS pred_score FROM emb, (SELECT unnest([0, 1, 2, 3, 4]) AS c)), b AS (SELECT batch, class, CAST(label = class AS INTEGER) AS label, pred_score FROM ps)"""
-_FIVE = [f"L{c}" for c in range(5)]
+_OVR = f"""{EMB}, ps AS (SELECT batch, label, 'L' || c AS class, round(embedding[c + 1], 2) AS pred_score FROM emb, (SELECT unnest(range(10)) AS c)), b AS (SELECT batch, class, CAST(label = class AS INTEGER) AS label, pred_score FROM ps)"""
+_TEN = [f"L{c}" for c in range(10)]
 
 
 def _class_scores(s, d):
-    return A.embeddings(s, d).select("batch", "label", F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x, 2)).alias("pred_scores"))
+    return A.embeddings(s, d).select("batch", "label", F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x, 2)).alias("pred_scores"))
 
 
 @query("k5_roc_auc_ovr", f"""WITH {_OVR}, r AS (SELECT batch, class, label, rank() OVER (PARTITION BY batch, class ORDER BY pred_score) + (count(*) OVER (PARTITION BY batch, class, pred_score) - 1) / 2 AS r FROM b), s AS (SELECT batch, class, sum(r) FILTER (label = 1) AS r, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM r GROUP BY ALL),
   a AS (SELECT batch, CASE WHEN n1 > 0 AND n0 > 0 THEN (r - n1 * (n1 + 1) / 2) / (n1 * n0) END AS v FROM s) SELECT batch, CASE WHEN count(v) = count(*) THEN round(avg(v), 6) END AS roc_auc FROM a GROUP BY 1""")
 def k5b(s, d):
-    return K.roc_auc(_class_scores(s, d), ["batch"], _FIVE).withColumn("roc_auc", r6("roc_auc"))
+    return K.roc_auc(_class_scores(s, d), ["batch"], _TEN).withColumn("roc_auc", r6("roc_auc"))
 
 
 @query("k6_average_precision_ovr", f"""WITH {_OVR}, th AS (SELECT batch, class, pred_score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM b GROUP BY ALL), cv AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY batch, class) AS n1 FROM th WINDOW w AS (PARTITION BY batch, class ORDER BY pred_score DESC)),
   a AS (SELECT batch, class, sum(CASE WHEN n1 > 0 THEN pos / n1 * tp / (tp + fp) END) AS v FROM cv GROUP BY ALL) SELECT batch, CASE WHEN count(v) = count(*) THEN round(avg(v), 6) END AS average_precision FROM a GROUP BY 1""")
 def k6b(s, d):
-    return K.average_precision(_class_scores(s, d), ["batch"], _FIVE).withColumn("average_precision", r6("average_precision"))
+    return K.average_precision(_class_scores(s, d), ["batch"], _TEN).withColumn("average_precision", r6("average_precision"))
 
 
 _CURVE = """th AS (SELECT run_id, pred_score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM preds GROUP BY ALL), cv AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY run_id) AS n1, sum(neg) OVER (PARTITION BY run_id) AS n0 FROM th WINDOW w AS (PARTITION BY run_id ORDER BY pred_score DESC))"""

@@ -141,20 +141,17 @@ def roc_auc(preds: DataFrame, by: list[str] | None = None, classes: list | None
     by = by or []
     if classes:
         return _macro_of(roc_auc, preds, classes, by, "roc_auc")
-    t = _by_score(preds, by)
-    below = F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy(*by).orderBy("pred_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("rank", below + (F.col("pos") + F.col("neg") + 1) / 2)
+    both = F.col("pos") + F.col("neg")
+    t = splits.cumulated(_by_score(preds, by), by, [F.col("pred_score")], {"upto": both})
+    t = t.withColumn("rank", F.col("upto") - both + (both + 1) / 2)
     s = t.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
     return s.select(*by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("roc_auc"))
 
 
 def curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per distinct score, descending: tp and fp so far, and the totals."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc("pred_score")).rowsBetween(Window.unboundedPreceding, 0)
-    a = Window.partitionBy(*by)
-    t = _by_score(preds, by)
-    return t.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).withColumn("n1", F.sum("pos").over(a)).withColumn("n0", F.sum("neg").over(a))
+    """One row per distinct score, descending: tp and fp so far, and the totals, added up by ranges of scores."""
+    falling = [F.col("pred_score").isNull(), -F.col("pred_score")]
+    return splits.cumulated(_by_score(preds, by or []), by or [], falling, {"tp": F.col("pos"), "fp": F.col("neg")}).withColumnsRenamed({"tp_all": "n1", "fp_all": "n0"})
 
 
 def average_precision(preds: DataFrame, by: list[str] | None = None, classes: list | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.columns import l2, uniform, vector_stat
 from ..plans.storage import written
 from . import axes
 from .qc import gene_moments, log1p, normalize_total
+from .splits import ranked
 
 #: Columns up to which principal axes come from one pass with the whole space as the first block.
 EXACT = 512
@@ -32,8 +33,8 @@ def _dispersions(moments: DataFrame, by: list[str], n_bins: int) -> DataFrame:
 def hvg(expr: DataFrame, n_cells: int, n_top: int, n_bins: int = 20) -> DataFrame:
     """Variable genes of log data: gene_id, mean, disp, z, rank for the n_top largest z, ties by gene."""
     d = _dispersions(gene_moments(expr.withColumn("value", F.expm1("value")), n_cells), [], n_bins)
-    ranked = d.where("z is not null").withColumn("z", F.round("z", 6)).orderBy(F.desc("z"), "gene_id").limit(n_top)
-    return ranked.select("gene_id", "mean", "disp", "z")
+    best = d.where("z is not null").withColumn("z", F.round("z", 6)).orderBy(F.desc("z"), "gene_id").limit(n_top)
+    return best.select("gene_id", "mean", "disp", "z")
 
 
 def hvg_by_batch(expr: DataFrame, cells: DataFrame, n_top: int, n_bins: int = 20) -> DataFrame:
@@ -53,14 +54,49 @@ def hvg_normalized(expr: DataFrame, n_cells: int, n_top: int, target_sum: float
     return expr.join(F.broadcast(hvg(log1p(normalize_total(expr, target_sum)), n_cells, n_top)), "gene_id", "left_semi")
 
 
-def hvg_v3(expr: DataFrame, n_cells: int, n_top: int) -> DataFrame:
-    """Counts: variance standardised by a quadratic trend of log variance on log mean (least squares in closed form), clipped."""
+def _local_fits(x: np.ndarray, y: np.ndarray, at: np.ndarray, tied: np.ndarray, q: int) -> np.ndarray:
+    """Values at `at` of quadratics fitted to the q nearest of the rising x, with tricube weights that reach 0 at the last of them; where that is no farther than the point itself, `tied`."""
+    out = tied.copy()
+    for i, p in enumerate(at):
+        left, right = np.searchsorted(x, p, "left"), np.searchsorted(x, p, "right")
+        own = slice(max(0, left - q), min(len(x), right + q))  # the q nearest are among q places to either side
+        d = np.abs(x[own] - p)
+        h = np.partition(d, q - 1)[q - 1]
+        if h == 0:
+            continue
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        z, some = (x[own] - p) / h, w > 0
+        root = np.sqrt(w[some])
+        out[i] = np.linalg.lstsq(root[:, None] * np.stack([np.ones(some.sum()), z[some], z[some] ** 2], 1), root * y[own][some], rcond=None)[0][0]
+    return out
+
+
+def local_trend(points: DataFrame, span: float = 0.3, block: int = 512) -> DataFrame:
+    """points(gene_id, x, y) -> with `trend`: at each point the locally weighted quadratic regression of y on x over the floor(span n) nearest points, tricube weights. Where so many lie at the point itself: the mean of all that do.
+
+    Points are numbered by x and dealt to blocks of neighbouring ranks; a block gets the points within floor(span n) ranks of its own, among which all its nearest are, and is fitted in one task."""
+    r = ranked(points, [], [F.col("x"), F.col("gene_id")]).withColumn("rank", F.col("__nth") - 1).drop("__nth")
+    r = written(r.join(points.groupBy("x").agg(F.avg("y").alias("tied")), "x"))
+    n = r.count()
+    q = min(n, max(3, int(span * n + 1e-5)))
+    own = F.floor(F.col("rank") / block)
+    reach = F.sequence(F.greatest(F.floor((F.col("rank") - q) / block), F.lit(0)), F.least(F.floor((F.col("rank") + q) / block), F.lit(max(n - 1, 0) // block)))
+    dealt = r.select("gene_id", "x", "y", "tied", F.explode(reach).alias("block"), own.alias("own"))
+    fits = _local_fits  # goes with the job
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, tied, mine = (t.column(c).to_numpy() for c in ("x", "y", "tied", "own"))
+        order = np.argsort(x, kind="stable")
+        here = np.flatnonzero(mine == t.column("block")[0].as_py())
+        return pa.table({"gene_id": t.column("gene_id").take(pa.array(here)), "trend": fits(x[order], y[order], x[here], tied[here], min(q, len(x)))})
+
+    return r.select(*points.columns).join(dealt.groupBy("block").applyInArrow(run, "gene_id string, trend double"), "gene_id")
+
+
+def hvg_v3(expr: DataFrame, n_cells: int, n_top: int, span: float = 0.3) -> DataFrame:
+    """Counts: variance standardised by a local quadratic regression of log variance on log mean, clipped at the root of the number of cells."""
     m = gene_moments(expr, n_cells).where("var > 0 and mean > 0").withColumn("x", F.log10("mean")).withColumn("y", F.log10("var"))
-    s = m.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"s{k}") for k in range(5)], *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(3)]).first()
-    if s is None or not s["s0"]:
-        return m.select("gene_id", F.lit(0.0).alias("norm_var"))
-    c = np.linalg.lstsq(np.asarray([[s[f"s{i + j}"] for j in range(3)] for i in range(3)]), np.asarray([s[f"t{i}"] for i in range(3)]), rcond=None)[0].tolist()
-    m = m.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), c[0] + c[1] * F.col("x") + c[2] * F.col("x") * F.col("x"))))
+    m = local_trend(m, span).withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("trend"))))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(float(n_cells) ** 0.5))
     z0 = -F.col("mean") / F.col("sd")
     v = expr.join(m.select("gene_id", "mean", "sd"), "gene_id").groupBy("gene_id").agg(F.sum(z * z).alias("q"), F.count("*").alias("k"), F.first(z0).alias("z0"))

@@ -7,23 +7,48 @@ from ..functions.columns import hash_order
 from ..plans.storage import written
 
 
-def ranked(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """df with __nth, a row's rank among those equal in `by` (nulls are equal), and __size, their number.
+#: Rows of bounds up to which they are sent to all tasks; parts that orders are cut into when a sample's last part is looked for.
+FEW, PREFIXES = 10_000, 65_536
+
+
+def cumulated(df: DataFrame, by: list[str], order: list, sums: dict) -> DataFrame:
+    """df with, for each name of sums, the sum of its column over the rows up to this one in order among those equal in `by` (nulls are equal), and as <name>_all over all of them.
 
-    Rows are dealt by ranges of (by, order) and numbered inside each; the ranges' counts, a row per range and class, are added up. So no class, however frequent, is sorted in one task.
+    Rows are dealt by ranges of (by, order) and added up inside each; the ranges' sums, a row per range and class, are added up. So no class, however frequent, is sorted in one task.
     """
-    x = df.withColumn("__o", F.struct(*order))
+    x = df.withColumns({f"__s_{n}": c for n, c in sums.items()}).withColumn("__o", F.struct(*order))
     x = written(x.repartitionByRange(*by, "__o").withColumn("__part", F.spark_partition_id()))
     names = [f"__by{i}" for i in range(len(by))]
-    counts = x.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col("__part").alias("__p")).agg(F.count("*").alias("__c"))
+    parts = x.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col("__part").alias("__p")).agg(*[F.sum(f"__s_{n}").alias(f"__c_{n}") for n in sums])
     w = Window.partitionBy(*names)
-    before = F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*names, "__p", before.alias("__before"), F.sum("__c").over(w).alias("__size"))
+    earlier = w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*names, "__p", *[F.coalesce(F.sum(f"__c_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums], *[F.sum(f"__c_{n}").over(w).alias(f"{n}_all") for n in sums])
     same = F.col("__part") == F.col("__p")
     for b, n in zip(by, names, strict=True):
         same &= F.col(b).eqNullSafe(F.col(n))
-    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__o"))
-    return x.withColumn("__in", inside).join(counts, same).select(*df.columns, (F.col("__before") + F.col("__in")).alias("__nth"), "__size")
+    inside = Window.partitionBy(*by, "__part").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"__in_{n}": F.sum(f"__s_{n}").over(inside) for n in sums}).join(parts, same)
+    return x.select(*df.columns, *[(F.col(f"__b_{n}") + F.col(f"__in_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
+
+
+def ranked(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """df with __nth, a row's rank among those equal in `by` (nulls are equal), and __size, their number; see cumulated."""
+    return cumulated(df, by, order, {"__nth": F.lit(1).cast("long")}).withColumnRenamed("__nth_all", "__size")
+
+
+def first_of_each(df: DataFrame, by: list[str], order, key: str, quotas: DataFrame) -> DataFrame:
+    """The first `quota` rows of each class in the order of (order, key); order: 32 hexadecimal digits that are spread evenly, quotas(by, quota).
+
+    A histogram of the orders' first digits, counted by the tasks that read the rows, says up to which digits a class's sample reaches. Only rows up to there, about as many as are
+    sampled, are shuffled and ranked. df is read twice."""
+    x = df.withColumn("__h", order)
+    x = x.withColumn("__d", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    counts = x.groupBy(*by, "__d").agg(F.count("*").alias("__n")).join(quotas, by)
+    so_far = F.sum("__n").over(Window.partitionBy(*by).orderBy("__d"))  # PREFIXES rows at most
+    last = counts.withColumn("__c", so_far).groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("__c") >= F.col("quota"), F.col("__d"))), F.lit(PREFIXES)).alias("__last"), F.max("quota").alias("__quota"))
+    last = written(last)
+    near = x.join(F.broadcast(last) if last.count() <= FEW else last, by).where("__d <= __last")
+    return ranked(near, by, [F.col("__h"), F.col(key)]).where("__nth <= __quota").select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "cell_id") -> DataFrame:
@@ -48,16 +73,18 @@ def sample_stratified(df: DataFrame, n: int, by: str, seed: int, key: str = "cel
     sizes = df.groupBy(by).agg(F.count("*").alias("k"))
     named = sizes.select(by, F.when(F.col("k") == 1, F.lit("__single")).otherwise(F.col(by).cast("string")).alias("stratum"), "k")
     q = quotas(named.groupBy("stratum").agg(F.sum("k").alias("size")), n, ["stratum"])
-    x = df.join(named.drop("k"), by).join(q, "stratum")
-    return ranked(x, ["stratum"], [hash_order(key, seed=seed), F.col(key)]).where(F.col("__nth") <= F.col("quota")).select(*df.columns)
+    named = written(named.drop("k"))
+    x = df.join(F.broadcast(named) if named.count() <= FEW else named, by)
+    return first_of_each(x, ["stratum"], hash_order(key, seed=seed), key, q).select(*df.columns)
 
 
 def bootstrap_samples(df: DataFrame, n_runs: int, n: int, by: str, seed: int, key: str = "cell_id") -> DataFrame:
     """Runs as a column: sample i has seed + i."""
-    x = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
-    q = quotas(x.groupBy("run", by).agg(F.count("*").alias("size")), n, [by], ["run"])
+    runs = F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run")
+    x = df.select("*", runs)
+    q = written(quotas(df.groupBy(by).agg(F.count("*").alias("size")).select("*", runs), n, [by], ["run"]))
     order = F.md5(F.concat_ws(":", F.col(key), (F.col("run") + seed).cast("string")))
-    return ranked(x.join(q, ["run", by]), ["run", by], [order, F.col(key)]).where(F.col("__nth") <= F.col("quota")).drop("__nth", "__size", "quota")
+    return first_of_each(x, ["run", by], order, key, q)
 
 
 def train_test_split(patients: DataFrame, test_size: float, seed: int, key: str = "sample_id", label: str = "label") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import classify as K
 from skarn.operators import embed_metrics as M
+from skarn.operators import features as V
 from skarn.operators import graph as N
 from skarn.operators import report as R
 from skarn.operators import splits as P
@@ -369,3 +371,81 @@ def test_signed_ranks_by_all_signs(spark, d):
     w = low([x > 0 for x in d])
     share = np.mean([low(s) <= w for s in itertools.product([0, 1], repeat=len(d))])
     assert r["w"] == w and r["p"] == pytest.approx(share)
+
+
+def plain_loess(x, y, span):
+    """Every point's own weighted least squares, all distances sorted."""
+    q, out = max(3, int(span * len(x) + 1e-5)), []
+    for p in x:
+        d = np.abs(x - p)
+        h = np.sort(d)[q - 1]
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        a = np.stack([np.ones(len(x)), x - p, (x - p) ** 2], 1)
+        out.append(np.linalg.solve((a * w[:, None]).T @ a, (a * w[:, None]).T @ y)[0])
+    return np.asarray(out)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_local_trend_is_a_plain_loess(spark, block):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=150), [0.5, 0.5, 0.5, 9.0]]
+    y = np.sin(x) + rng.normal(size=len(x)) / 10
+    points = spark.createDataFrame([(f"g{i}", float(a), float(b), i) for i, (a, b) in enumerate(zip(x, y))], "gene_id string, x double, y double, extra int").repartition(3)
+    for span in (0.3, 0.8):
+        got = {r["gene_id"]: r["trend"] for r in V.local_trend(points, span, block).collect()}
+        assert np.allclose([got[f"g{i}"] for i in range(len(x))], plain_loess(x, y, span), atol=1e-6)
+    assert V.local_trend(points.where("false")).collect() == []
+    same = V.local_trend(points.withColumn("x", F.lit(2.0)), 0.3, block).collect()
+    assert np.allclose([r["trend"] for r in same], y.mean())
+
+
+def test_variable_genes_of_counts_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.poisson(rng.gamma(1, 2, (1, 80)) * rng.gamma(2, 0.5, (60, 80)))
+    i, j = np.nonzero(x)
+    expr = spark.createDataFrame([(f"c{a}", f"g{b:02d}", float(x[a, b])) for a, b in zip(i.tolist(), j.tolist())], "cell_id string, gene_id string, value double")
+    mean, var = x.mean(0), x.var(0, ddof=1)
+    ok = var > 0
+    sd = np.full(80, np.nan)
+    sd[ok] = np.sqrt(10 ** plain_loess(np.log10(mean[ok]), np.log10(var[ok]), 0.3))
+    z = np.minimum((x - mean) / sd, np.sqrt(60))
+    norm = (z**2).sum(0) / 59
+    want = sorted(((round(norm[b], 6), f"g{b:02d}") for b in np.flatnonzero(ok)), key=lambda t: (-t[0], t[1]))[:20]
+    got = [(round(r["norm_var"], 6), r["gene_id"]) for r in V.hvg_v3(expr, 60, 20).collect()]
+    assert [g for _, g in got] == [g for _, g in want] and np.allclose([v for v, _ in got], [v for v, _ in want], atol=1e-5)
+
+
+def test_samples_shuffle_what_they_keep(spark, monkeypatch):
+    """The same rows as a full sort by hash, though only rows up to the sample's last hash digits are ranked."""
+    rows = [(f"c{i}", None if i % 50 == 0 else "abcd"[min(i % 7, 3)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "cell_id string, g string").repartition(3)
+    seen, ranked = [], P.ranked
+    monkeypatch.setattr(P, "ranked", lambda x, *a: (seen.append(x.count()), ranked(x, *a))[1])
+    got = {(r["run"], r["g"], r["cell_id"]) for r in P.bootstrap_samples(df.where("g is not null"), 3, 40, "g", 11).collect()}
+    want = set()
+    sizes = Counter(g for _, g in rows if g)
+    for run in range(3):
+        share = {g: round(40 * n / sum(sizes.values()), 9) for g, n in sizes.items()}
+        quota = {g: int(x) for g, x in share.items()}
+        for g in sorted(share, key=lambda g: (-round(share[g] - int(share[g]), 9), g))[: 40 - sum(quota.values())]:
+            quota[g] += 1
+        for g, q in quota.items():
+            own = sorted((hashlib.md5(f"{c}:{run + 11}".encode()).hexdigest(), c) for c, x in rows if x == g)
+            want |= {(run, g, c) for _, c in own[:q]}
+    assert got == want and len(got) == 120 and seen[0] <= 130
+    assert P.sample_stratified(df.where("g is not null"), 5000, "g", 1).count() == sum(sizes.values())
+
+
+def test_score_curves_by_ranges_with_ties_and_hot_runs(spark):
+    """Areas by counting pairs; every run over several ranges."""
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 else None, int(rng.integers(0, 2)), float(rng.integers(0, 40)) / 40) for i in range(600)]
+    df = spark.createDataFrame(rows, "run string, label int, pred_score double").repartition(5)
+    got = {r["run"]: r["roc_auc"] for r in K.roc_auc(df, ["run"]).collect()}
+    points = K.roc_points(df, ["run"]).collect()
+    for run in ("hot", None):
+        one, zero = ([s for r, l, s in rows if r == run and l == x] for x in (1, 0))
+        assert abs(got[run] - sum((a > b) + (a == b) / 2 for a in one for b in zero) / len(one) / len(zero)) < 1e-12
+        for p in (p for p in points if p["run"] == run):
+            assert abs(p["tpr"] - sum(s >= p["pred_score"] for s in one) / len(one)) < 1e-12 and abs(p["fpr"] - sum(s >= p["pred_score"] for s in zero) / len(zero)) < 1e-12
+    assert len(points) == len({(r, s) for r, _, s in rows})
