@@ -10,6 +10,7 @@ from ..operators import features as V
 from ..operators import graph as N
 from ..operators import patient as PT
 from ..operators import splits as P
+from ..operators.descent import knn_descent
 from ..plans import adapters as A
 from ..plans.adapters import CELLS, EMB, EXPR, METRICS, PREDS, query
 from ..plans.storage import written
@@ -40,7 +41,8 @@ def n1b(s, d):
 @query("n2_knn_approx")
 def n2(s, d):
     e = A.embeddings(s, d)
-    return N.recall(N.knn_approx(e, 15, 2.0, 4, 20.0), N.knn(e, 15, "euclidean"))
+    found, figures = knn_descent(e, 15)
+    return N.recall(found, N.knn(e, 15, "euclidean")).select(r6("recall").alias("recall"), *[F.lit(round(x, 6)).alias(c) for c, x in figures.items()])
 
 
 @query("n3_connectivities")
