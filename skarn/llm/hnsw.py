@@ -10,7 +10,7 @@ is large. Cosines are computed in double precision; links are counted and united
 
 A shard's beam is settled by an audit before it answers: AUDITED queries, those with the smallest hashes (all, if there are fewer), are compared with the whole shard. Where the mean
 recall of the queries with up to FEW links, or of those with more, is under RECALL, the beam doubles; past WIDEST the shard is compared with all queries whole, the exact end. audits() gives
-each shard's figures. Shards of up to TOP members have no layers and are compared whole.
+each shard's figures, its layers among them. Shards of up to LEAST members have no layers and are compared whole; in all others only the top layer, of about DIRECT rows, is scanned, the others are navigated.
 
 A task emits, per query, its count of links, and the edges of a forest over queries and shard members (never all
 pairs of a group); components() unites the shards' forests.
@@ -36,8 +36,8 @@ FEW = 16
 WIDEST = 256
 #: Places in each list for links to members that nothing else leads to.
 REPAIRS = 4
-#: Members of a shard that has no graph; rows of a layer that are compared directly instead of by a graph; places of a query that a step goes on from; numbers gathered by a step (sets how many queries go at once).
-TOP, DIRECT, WAVE, GATHERED = 256, 2048, 4, 1 << 24
+#: Members of a shard that has no graph; rows of the top layer, which are compared directly; first rows of a layer that are linked at once; members that a further shard needs; places of a query that a step goes on from; numbers gathered by a step (sets how many queries go at once).
+LEAST, DIRECT, TOP, A_SHARD, WAVE, GATHERED = 64, 32, 256, 1024, 4, 1 << 24
 #: Queries and members of a block that is compared at once; pairs whose cosines are computed at once; members of a clump that is compared pair by pair.
 ROWS, COLUMNS, PAIRS, SMALL = 256, 4096, 1 << 16, 32
 
@@ -238,7 +238,7 @@ class Shard:
         self.ids, self.exact, self.copies, self.threshold = ids, vectors, copies, threshold
         self.near = np.float32(threshold - 1e-5)  # what single precision may take for a link
         self.flat = vectors.astype("f4")
-        self.graph = Graph(self.flat) if len(ids) > TOP else None
+        self.graph = Graph(self.flat) if len(ids) > LEAST else None
         self.up = np.arange(len(ids))
         self.beam, self.audit = 0, (0, 0, 0, 1.0)
 
@@ -354,14 +354,14 @@ def _matrix(column) -> np.ndarray:
 #: What a shard task's rows are: members, audited queries, other queries; and what it emits: counts, edges, the audit.
 MEMBER, ASKED_FIRST, ASKED = range(3)
 COUNT, EDGE, AUDIT = range(3)
-_FOUND = "kind int, a long, b long, n long, recall double"
+_FOUND = "kind int, a long, b long, n long, recall double, layers int"
 
 
 def _shards(threshold: float):
     """Rows (d, shard, role, key, copies, embedding), sorted by the first three -> counts, edges and audits."""
 
-    def out(kind, a, b, n, recall=None):
-        cols = pa.array(np.full(len(a), kind, "i4")), pa.array(a, "int64"), pa.array(b, "int64"), pa.array(n, "int64"), pa.array(recall or [None] * len(a), "float64")
+    def out(kind, a, b, n, recall=None, layers=None):
+        cols = pa.array(np.full(len(a), kind, "i4")), pa.array(a, "int64"), pa.array(b, "int64"), pa.array(n, "int64"), pa.array(recall or [None] * len(a), "float64"), pa.array(layers or [None] * len(a), "int32")
         return pa.RecordBatch.from_arrays(list(cols), names=[c.split()[0] for c in _FOUND.split(", ")])
 
     def run(batches):
@@ -383,7 +383,7 @@ def _shards(threshold: float):
                     shard.settle(*first[:2])
                     rows[ASKED].append(first)
                 queries, links, found, recall = shard.audit
-                yield out(AUDIT, [len(ids)], [shard.beam], [queries], [recall])
+                yield out(AUDIT, [len(ids)], [shard.beam], [queries], [recall], [len(shard.graph.layers) + 1 if shard.graph else 0])
 
         def answered():
             if rows[ASKED]:
@@ -438,7 +438,7 @@ def _search(vectors: DataFrame, threshold: float, shards: int, shard_bytes: int)
     reps = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = written(reps.select("embedding", "rep", "copies", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("key")))
     # shards of each dimension: as many as asked, fewer for few vectors, more where one would pass shard_bytes
-    n = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("n") / TOP)), F.ceil(F.col("n") * F.col("d") * 4 / shard_bytes)).cast("int")
+    n = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("n") / A_SHARD)), F.ceil(F.col("n") * F.col("d") * 4 / shard_bytes)).cast("int")
     sizes = written(reps.groupBy("d").agg(F.count("*").alias("n")).select("d", "n", n.alias("shards")))
     # half of a key's hash deals it to a shard, the other half chooses it for the audits
     h = F.xxhash64("key")
@@ -457,7 +457,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, *, shards: int =
 
 
 def with_audits(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6, shard_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
-    """near_duplicates' rows, and a row per shard: members, beam (0: compared whole), audited queries, their mean recall."""
+    """near_duplicates' rows, and a row per shard: members, beam (0: compared whole), audited queries, their mean recall, layers (with the one that is scanned)."""
     rows, reps, found = _search(vectors, threshold, shards, shard_bytes)
     links = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     groups = components(found.where(F.col("kind") == EDGE).select("a", "b")).withColumnRenamed("node", "key")
@@ -467,5 +467,5 @@ def with_audits(vectors: DataFrame, threshold: float = 0.9, *, shards: int = 6,
     linked = rows.where("valid").join(of, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
     rest = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     all_rows = linked.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    audits = found.where(F.col("kind") == AUDIT).select(F.col("a").alias("members"), F.col("b").alias("beam"), F.col("n").alias("audited"), "recall")
+    audits = found.where(F.col("kind") == AUDIT).select(F.col("a").alias("members"), F.col("b").alias("beam"), F.col("n").alias("audited"), "recall", "layers")
     return all_rows, audits

@@ -664,6 +664,19 @@ def test_vectors_of_any_dimension_and_magnitude(spark):
     assert sorted(r["members"] for r in audits.collect()) == [1, 3, 4, 9] and audits.where("recall < 0.99").count() == 0  # equal vectors are one member
 
 
+@pytest.mark.parametrize("n,shards", [(500, 1), (2000, 2), (7000, 6)])
+def test_every_shard_of_a_few_hundred_members_is_a_hierarchy(spark, n, shards):
+    """Links of all sizes come from navigated layers: no shard is compared whole."""
+    ids, v, true = shard_of_groups(n)
+    df = common.prepare(spark) and spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got, audits = hnsw.with_audits(df)
+    found = audits.collect()
+    assert len(found) == shards and all(r["beam"] > 0 and r["layers"] >= 2 and r["recall"] >= 0.99 for r in found) and sum(r["members"] for r in found) == n
+    n_links = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    got = np.asarray([n_links[i] for i in ids.tolist()])
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum()
+
+
 def test_graph_search_recall_over_several_layers(monkeypatch):
     monkeypatch.setattr(hnsw, "DIRECT", 256)  # else 6,000 vectors have one layer below the one compared directly
     rng = np.random.default_rng(3)
