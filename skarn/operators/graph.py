@@ -18,8 +18,18 @@ BLOCK_EDGES = 200_000
 SLICE = 1024  # rows of a block compared at once, with 8 times as many of the other
 
 
+def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a and b of equal keys, nulls being equal; the keys are there once."""
+    other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = None
+    for k in keys:
+        one = a[f"`{k}`"].eqNullSafe(other[f"`__{k}`"])
+        same = one if same is None else same & one
+    return a.join(other, same).drop(*[f"__{k}" for k in keys])
+
+
 def block_pairs(left: DataFrame, right: DataFrame, within: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
-    """Rows (within, a, b): all pairs of a block of left and a block of right, of equal `within`. Columns: cell_id, embedding, cat.
+    """Rows (within, a, b): all pairs of a block of left and a block of right, of equal `within` (nulls are equal). Columns: cell_id, embedding, cat.
 
     block_rows: rows of a block at most, by BLOCK_BYTES where it isn't given. Tables of few blocks are cut further, into enough pairs for all cores."""
     keys = within or []
@@ -29,16 +39,16 @@ def block_pairs(left: DataFrame, right: DataFrame, within: list[str] | None = No
         most = F.lit(block_rows) if block_rows else F.greatest(F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.max(F.size("embedding")), F.lit(1)))), F.lit(1))
         n = df.groupBy(*keys).agg(F.count("*").alias("n"), most.alias("most"))
         n = n.select(*keys, F.greatest(F.ceil(F.col("n") / F.col("most")), F.least(F.ceil(F.col("n") / SLICE), F.lit(spread))).cast("int").alias("n_blocks"))
-        x = df.join(n, keys) if keys else df.crossJoin(F.broadcast(n))
+        x = joined(df, n, keys) if keys else df.crossJoin(F.broadcast(n))
         x = x.withColumn("block", F.pmod(F.xxhash64("cell_id"), "n_blocks").cast("int"))
         return x.groupBy(*keys, "block", "n_blocks").agg(F.collect_list(F.struct("cell_id", "embedding", "cat")).alias(name))
 
     a, b = blocks(left, "a"), blocks(right, "b")
     counts = b.groupBy(*keys).agg(F.max("n_blocks").alias("n"))
     a = a.drop("n_blocks").withColumnRenamed("block", "i")
-    a = a.join(counts, keys) if keys else a.crossJoin(F.broadcast(counts))
+    a = joined(a, counts, keys) if keys else a.crossJoin(F.broadcast(counts))
     a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return a.join(b.drop("n_blocks"), [*keys, "block"]).select(*keys, "a", "b")
+    return joined(a, b.drop("n_blocks"), [*keys, "block"]).select(*keys, "a", "b")
 
 
 def _vectors(column):

@@ -449,3 +449,13 @@ def test_score_curves_by_ranges_with_ties_and_hot_runs(spark):
         for p in (p for p in points if p["run"] == run):
             assert abs(p["tpr"] - sum(s >= p["pred_score"] for s in one) / len(one)) < 1e-12 and abs(p["fpr"] - sum(s >= p["pred_score"] for s in zero) / len(zero)) < 1e-12
     assert len(points) == len({(r, s) for r, _, s in rows})
+
+
+def test_a_null_group_is_a_group(spark):
+    """Neighbours and silhouettes within keys: nulls are equal, no row vanishes."""
+    df, rows = table(spark, n=40)
+    some = df.withColumn("label", F.when(F.col("label") != "L1", F.col("label")))
+    named = df.withColumn("label", F.when(F.col("label") != "L1", F.col("label")).otherwise("none"))
+    a, b = (N.knn(x, 4, within=["label"]).select(F.coalesce("label", F.lit("none")), "i", "j", "rank", "distance") for x in (some, named))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.select("i").distinct().count() == len(rows)
+    assert M.batch_asw(some).first()["batch_asw"] == pytest.approx(M.batch_asw(named).first()["batch_asw"])
