@@ -139,6 +139,8 @@ class Bpe:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.rank.values()) + 1
+        if self.size > 1 << 17:
+            raise ValueError(f"ranks up to {self.size - 1}; pairs are numbered for vocabularies of up to {1 << 17} tokens")
         tokens = [b""] * self.size
         for t, i in self.rank.items():
             tokens[i] = t

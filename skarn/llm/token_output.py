@@ -26,6 +26,8 @@ ENCODINGS = ("delta", "dictionary")
 _FILE_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 #: Where a null doc_id stands among the others.
 _FIRST = -(1 << 63)
+#: Points of the sketch that places the ranges of doc_id.
+SKETCH = 1_000_000
 
 
 def _dealt(ids: np.ndarray, cuts: np.ndarray, task: int, row: int) -> np.ndarray:
@@ -77,8 +79,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, enc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts or max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = [k / parts for k in range(1, parts)] or [0.5]
-    # a scan of doc_id alone; parts - 1 numbers come back
-    cuts = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_FIRST)), share, 20 * parts)).first()[0]
+    # a scan of doc_id alone; parts - 1 numbers come back. The sketch is bounded: with more parts than a hundredth of it, ranges are less even
+    cuts = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_FIRST)), share, min(20 * parts, SKETCH))).first()[0]
     cuts = np.sort(np.asarray(cuts or [], "i8"))[: parts - 1]
     size = max(text_encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"

@@ -232,3 +232,14 @@ def test_resampling_against_a_plain_version(spark, sf_dir, docs, odd, empty):
 def test_noise_is_gumbels():
     x = np.asarray([importance.noise(i, 7) for i in range(20_000)]) / 1000
     assert abs(x.mean() - 0.5772) < 0.05 and abs(x.var() - math.pi**2 / 6) < 0.1
+
+
+def test_a_vocabulary_too_large_for_its_pair_numbers_is_refused(tmp_path):
+    import base64
+
+    from skarn.llm import bpe
+
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(256)) + base64.b64encode(b"ab") + b" 131072\n")
+    with pytest.raises(ValueError, match="131072"):
+        bpe.Bpe(str(path))
