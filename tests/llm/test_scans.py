@@ -41,17 +41,14 @@ def rows(df, *cols):
 
 def plain_runs(w, least=12):
     """All lags, all stretches, smallest period by trying every one."""
-    n, out = len(w), []
-    for q in range(1, n // 2 + 1):
-        i = 0
-        while i + q < n:
-            begin = i
-            while i + q < n and w[i] == w[i + q]:
-                i += 1
-            s = w[begin : i + q]
-            if len(s) >= max(least, 2 * q) and not any(all(s[x] == s[x + d] for x in range(len(s) - d)) for d in range(1, q)):
+    number = {x: i for i, x in enumerate(dict.fromkeys(w))}
+    v, out = np.asarray([number[x] for x in w], "i8"), []
+    for q in range(1, len(w) // 2 + 1):
+        same = np.r_[False, v[:-q] == v[q:], False]
+        for begin, end in zip(np.flatnonzero(~same[:-1] & same[1:]).tolist(), np.flatnonzero(same[:-1] & ~same[1:]).tolist()):
+            s = v[begin : end + q]
+            if len(s) >= max(least, 2 * q) and not any((s[d:] == s[:-d]).all() for d in range(1, q)):
                 out.append((begin, len(s), q))
-            i += 1
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
@@ -72,7 +69,7 @@ def sha(text):
 
 def run_digests(doc_id, text):
     w = planted(doc_id, text)
-    found = plain_runs(w) if len(w) < 4000 else [(0, 27000, 3)]
+    found = plain_runs(w)
     gone = {i for s, n, q in found for i in range(s + q, s + n)}
     most = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
     tail = (most[0], most[1], most[2], 1000 * most[1] // most[2]) if most else (None,) * 4
