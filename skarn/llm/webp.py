@@ -6,11 +6,11 @@ colour cache, meta codes, and the predictor, cross-colour, subtract-green and pa
 together: a step reads one symbol of each, by numpy operations over the images still open, so the cost follows the longest image
 of the batch and not the number of symbols.
 
-The writer chooses by image. An image of few colours, where that is shorter, gets a palette with packed indices. One image in SPREAD, by its checksum, is written as
-pictures are, whatever its size, so that stored tables exercise the format's other transforms: green subtracted (if residuals shrink), a
-predictor for each tile (the one of fourteen with the smallest residuals), cross-colour multipliers for each tile (by least squares). The rest are text: literal pixels, the
-colour cache, and back-references for repeated runs; images of LONG rows or more have two groups of prefix codes and meta codes that choose between them by tile. Codes are fixed for
-each kind, made from expected frequencies.
+The writer chooses by image, and by size alone. The plain way is text: literal pixels, the colour cache, and back-references for repeated runs, with a second group of prefix codes and meta codes
+that choose between them by tile where the tiles save more bits than the second group's header takes. An image of few colours, where that is shorter, gets a palette with packed indices. An image whose pixels take
+fewer bits as differences from the left or from above is also written as pictures are, and kept so where it is the shortest in the end: green subtracted (if residuals shrink), a predictor for each tile (the one of
+fourteen with the smallest residuals), cross-colour multipliers for each tile (by least squares). Running text never gains by those; binary columns and real pictures do. Codes are fixed for each kind, made from
+expected frequencies.
 
 Defined results: a null text counts as empty (one row of zeros); a very long text is several images; repeated rows and null ids are stored each; equal texts give equal
 values; an empty table gives no rows; other columns are not read. There are no ties.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 WIDTH, ROWS, CACHE_BITS, RUN = 16, 128, 8, 4
-#: One image in SPREAD goes through the transforms for pictures; rows from which an image has meta codes; bits of a tile's side.
-SPREAD, LONG, TILE = 8, 64, 4
+#: Bits of a tile's side.
+TILE = 4
 HASH = 0x1E35A7BD
 #: Fixed values of the format: order of the code length codes, and the near distances as (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -659,6 +659,10 @@ class _Writer:
         }
         self.parts = {k: tuple(np.asarray(x, "u8") for x in zip(*_joined(v), strict=True)) for k, v in parts.items()}
 
+    def size(self, name: str) -> int:
+        """Bits of a fixed part."""
+        return int(self.parts[name][1].sum())
+
     def part(self, name: str, images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A fixed part for each of the images."""
         v, n = self.parts[name]
@@ -733,8 +737,8 @@ def _rows_of(strip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return strip[first], first, np.diff(np.r_[first, len(strip)])
 
 
-def _text_images(w: _Writer, pixels, strip, stop, tall) -> list:
-    """Blocks (image, value, bits) of images with the cache, references and, if tall, meta codes."""
+def _text_images(w: _Writer, pixels, strip, stop) -> list:
+    """Blocks (image, value, bits) of images with the cache, references and, where they pay, meta codes."""
     at = (pixels * np.uint32(HASH)) >> np.uint32(32 - CACHE_BITS)
     # a pixel is in the cache if the last one in its place was the same
     o = np.argsort(strip << CACHE_BITS | at, kind="stable")
@@ -746,20 +750,21 @@ def _text_images(w: _Writer, pixels, strip, stop, tall) -> list:
         v, n = s.pixels(*_samples(pixels))
         both.append((np.where(held, s.codes[0][280 + at], v), np.where(held, s.lengths[0][280 + at], n)))
     images, first, count = _rows_of(strip)
-    # tiles of tall images take the group with fewer bits
+    # tiles take the group with fewer bits, in images where that saves more than the second group costs
     y = (np.arange(len(pixels)) - np.repeat(first, count)) // WIDTH >> TILE
     tiles = (count // WIDTH + (1 << TILE) - 1) >> TILE
     tile = np.repeat(np.cumsum(tiles) - tiles, count) + y
     bits = [np.bincount(tile, weights=n, minlength=int(tiles.sum())) for _, n in both]
-    other = (bits[1] < bits[0]) & np.repeat(tall[images], tiles)
+    owner = np.repeat(np.arange(len(images)), tiles)
+    saved = np.bincount(owner, weights=np.maximum(bits[0] - bits[1], 0), minlength=len(images))
+    high = saved > w.size("meta_head") + tiles + w.size("meta_rest") - w.size("text_head")
+    other = (bits[1] < bits[0]) & high[owner]
     group = other[tile].astype("i8")
     value, n = (np.where(group, both[1][k], both[0][k]) for k in (0, 1))
     use = _with_references(value, n, pixels, strip, stop, [w.text, w.other], group)
-    owner = np.repeat(images, tiles)
-    high = np.bincount(owner, weights=other, minlength=int(images[-1]) + 1)[images] > 0  # the others need one group only
-    meta = np.repeat(high, tiles)
+    meta = high[owner]
     one = np.ones(int(meta.sum()), "u8")
-    return [w.part("text_head", images[~high]), w.part("meta_head", images[high]), (owner[meta], other[meta].astype("u8"), one), w.part("meta_rest", images[high]), (strip[use], value[use], n[use])]
+    return [w.part("text_head", images[~high]), w.part("meta_head", images[high]), (images[owner[meta]], other[meta].astype("u8"), one), w.part("meta_rest", images[high]), (strip[use], value[use], n[use])]
 
 
 def _palette_images(w: _Writer, pixels, strip) -> list:
@@ -842,6 +847,20 @@ def _picture_images(w: _Writer, pixels, strip) -> list:
     return [w.part("green_head", images[green]), w.part("mode_head", images), (owner, *modes), w.part("cross_head", images), (owner, *crosses), w.part("residual_rest", images), (strip[use], v[use], bits[use])]
 
 
+def _step_bits(w: _Writer, pixels, strip) -> np.ndarray:
+    """Bits of each image's pixels as differences from the one to the left or from the one above, whichever way is shorter."""
+    p = pixels.view("u1").reshape(-1, 4)
+    out = []
+    for k in (1, WIDTH):
+        step = p.copy()
+        step[k:] -= p[:-k]
+        own = np.zeros(len(p), bool)
+        own[k:] = strip[k:] == strip[:-k]
+        n = sum(w.residual.lengths[s][step[:, c]] for s, c in enumerate((1, 2, 0, 3)))
+        out.append(np.bincount(strip, weights=n * own))
+    return np.minimum(*out)
+
+
 def write_media(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a multiple of 64 bytes) as one or several images."""
     if not payloads:
@@ -850,32 +869,39 @@ def write_media(payloads: list[bytes]) -> list[bytes]:
         _WRITER.append(_Writer())
     w = _WRITER[0]
     size = WIDTH * 4 * ROWS
-    rows, owner, picture = [], [], []
+    rows, owner = [], []
     for i, p in enumerate(payloads):
         for a in range(0, len(p), size):
-            part = p[a : a + size]
-            rows.append(len(part) // (4 * WIDTH))
+            rows.append(len(p[a : a + size]) // (4 * WIDTH))
             owner.append(i)
-            picture.append(zlib.crc32(part) % SPREAD == 0)
     rgba = np.frombuffer(b"".join(payloads), "u1").reshape(-1, 4)
     pixels = np.ascontiguousarray(rgba[:, [2, 1, 0, 3]]).view("u4").ravel()
-    rows, picture = np.asarray(rows, "i8"), np.asarray(picture)
+    rows = np.asarray(rows, "i8")
     count = rows * WIDTH
     strip = np.repeat(np.arange(len(rows)), count)
     stop = np.repeat(np.cumsum(count), count)
-    text = _text_images(w, pixels, strip, stop, rows >= LONG)
-    long = np.bincount(np.concatenate([b[0] for b in text]), weights=np.concatenate([b[2] for b in text]), minlength=len(rows))
+    taken = lambda made: np.bincount(np.concatenate([b[0] for b in made]), weights=np.concatenate([b[2] for b in made]), minlength=len(rows))
+    chosen = lambda made, some: [tuple(x[some[b[0]]] for x in b) for b in made]
+    text = _text_images(w, pixels, strip, stop)
+    long = taken(text)
     key = np.sort(strip.astype("u8") << np.uint64(32) | pixels)
     colours = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(32)).astype("i8"), minlength=len(rows))
     head = sum(int(n.sum()) for k, (_, n) in w.parts.items() if k.startswith("palette"))
     indices = np.where(colours <= 2, 2, np.where(colours <= 4, 4, np.where(colours <= 16, 8, 16)))
-    palette = ~picture & (colours <= 256) & (head + 32 * colours + 8 * rows * indices < long)
-    keep = ~(picture | palette)
-    blocks = [tuple(x[keep[b[0]]] for x in b) for b in text]
-    for some, make in ((palette, _palette_images), (picture, _picture_images)):
-        if some.any():
-            mine = some[strip]
-            blocks += make(w, pixels[mine], strip[mine])
+    packed = head + 32 * colours + 8 * rows * indices
+    palette = (colours <= 256) & (packed < long)
+    short = np.where(palette, packed, long)
+    picture, blocks = _step_bits(w, pixels, strip) < short, []
+    if picture.any():
+        mine = picture[strip]
+        made = _picture_images(w, pixels[mine], strip[mine])
+        picture &= taken(made) < short
+        blocks += chosen(made, picture)
+    palette &= ~picture
+    if palette.any():
+        mine = palette[strip]
+        blocks += _palette_images(w, pixels[mine], strip[mine])
+    blocks += chosen(text, ~(picture | palette))
     image, value, n = (np.concatenate([b[k] for b in blocks]) for k in range(3))
     o = np.argsort(image, kind="stable")
     image, value, n = image[o], value[o], n[o]
