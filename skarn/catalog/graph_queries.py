@@ -353,7 +353,7 @@ def k2(s, d):
 def k3(s, d):
     e, c, _ = _patient_vectors(s, d)
     roles = P.kfold_roles(P.stratified_kfold(_patients(s, d), 3, 11))
-    return K.cross_validate(e, c, roles, "logistic_regression").withColumn("pred_score", r6("pred_score"))
+    return K.cross_validate(e, c, roles, "logistic_regression", {"C": 1.0}).withColumn("pred_score", r6("pred_score"))
 
 
 @query("k4_macro_scores", f"WITH {PREDS}, {_macro('preds', 'run_id')} SELECT run_id, {_MACRO} FROM pf GROUP BY 1")
@@ -420,12 +420,13 @@ def k9b(s, d):
 
 @query("k10_learning_curve")
 def k10(s, d):
-    return K.learning_curve(_patient_vectors(s, d)[2], [8, 12, 16]).withColumns({c: r6(c) for c in ("mean", "sd")})
+    x = written(_patient_vectors(s, d)[2])
+    return K.learning_curve(x, K.curve_sizes(x.count(), 5), 5, params={"C": 1.0}).withColumns({c: r6(c) for c in ("mean", "sd")})
 
 
 @query("k11_baseline_oof")
 def k11(s, d):
-    return K.baseline_oof(_patient_vectors(s, d)[2], 3).withColumn("pred_score", r6("pred_score"))
+    return K.baseline_oof(_patient_vectors(s, d)[2], 3, params={"C": 1.0}).withColumn("pred_score", r6("pred_score"))
 
 
 @query("k12_log_loss", f"WITH {PREDS} SELECT run_id, round(avg(-ln(CASE WHEN label = 1 THEN least(greatest(pred_score, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(pred_score, 1e-15), 1 - 1e-15) END)), 6) AS log_loss FROM preds GROUP BY 1")

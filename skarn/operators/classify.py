@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
 from ..plans.storage import written
-from . import patient, splits
+from . import logistic, patient, splits
 
 
 def make_classifier(name: str, params: dict | None = None, seed: int = 42):
@@ -78,10 +78,14 @@ def fit_score(train: DataFrame, test: DataFrame, name: str = "random_forest", pa
 
 
 def cross_validate(emb: DataFrame, cells: DataFrame, roles: DataFrame, name: str = "random_forest", params: dict | None = None, strategies: tuple = ("avg", "vote"), seed: int = 42) -> DataFrame:
-    """roles(sample_id, label, fold, role) -> strategy, fold, role, sample_id, label, pred, pred_score. Folds are independent jobs."""
+    """roles(sample_id, label, fold, role) -> strategy, fold, role, sample_id, label, pred, pred_score.
+
+    Logistic regression of two classes 0 and 1: folds and strategies are fitted in one plan (see logistic; params C: the penalty's inverse, none without it). Other models are independent jobs."""
     sample = written(patient.mean_embedding(emb, cells))
     cell = written(emb.select("cell_id", "embedding").join(cells.select("cell_id", "sample_id"), "cell_id"))
     folds = sorted(r[0] for r in roles.select("fold").distinct().collect())
+    if name == "logistic_regression" and _of_two_classes(roles):
+        return _cross_validate_at_once(sample, cell, roles, folds, strategies, params or {})
 
     def one(job):
         strategy, fold = job
@@ -100,6 +104,41 @@ def cross_validate(emb: DataFrame, cells: DataFrame, roles: DataFrame, name: str
     return out
 
 
+def _of_two_classes(df: DataFrame) -> bool:
+    return df.where("label not in (0, 1)").isEmpty() and not df.isEmpty()
+
+
+def _penalty(params: dict) -> float:
+    return 1 / params["C"] if params.get("C") else 0.0
+
+
+def _cross_validate_at_once(sample: DataFrame, cell: DataFrame, roles: DataFrame, folds: list, strategies: tuple, params: dict) -> DataFrame:
+    """Each fold of each strategy is a fold of one fit."""
+    n = len(folds) * len(strategies)
+    place = F.element_at(F.create_map(*[F.lit(v) for i, f in enumerate(folds) for v in (f, i)]), F.col("fold"))
+    of = roles.groupBy("sample_id", "label").agg(F.collect_list(F.struct(place.alias("at"), "fold", "role")).alias("roles"))  # a sample's folds
+    rows = None
+    for k, strategy in enumerate(strategies):
+        x = (sample if strategy == "avg" else cell).select("sample_id", "embedding").join(of, "sample_id")
+        trained = F.transform(F.filter("roles", lambda r: r["role"] == "train"), lambda r: r["at"] + k * len(folds))  # noqa: B023
+        weights = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(trained, lambda t: t == i)).cast("double"))  # noqa: B023
+        x = x.select(F.lit(k).alias("k"), "sample_id", "label", "embedding", "roles", weights.alias("weights"))
+        rows = x if rows is None else rows.unionByName(x)
+    rows = written(logistic.balanced(rows, n) if params.get("balanced") else rows)
+    p = logistic.scored(rows, logistic.fit_folds(rows, n, _penalty(params)))
+    p = p.select("k", "sample_id", "label", "scores", F.explode("roles").alias("r")).select("k", "r.fold", "r.role", "sample_id", F.col("label").cast("int").alias("label"), F.col("scores")[F.col("k") * len(folds) + F.col("r.at")].alias("pred_score"))
+    p = p.withColumn("pred", (F.col("pred_score") > 0.5).cast("int"))
+    out = None
+    for k, strategy in enumerate(strategies):
+        x = p.where(F.col("k") == k)
+        if strategy == "vote":
+            keys = ["fold", "role", "sample_id"]
+            x = patient.vote(x.withColumn("__s", F.struct(*keys)), "__s").select("__s.*", "label", "pred", "pred_score")
+        x = x.select(F.lit(strategy).alias("strategy"), "fold", "role", "sample_id", "label", "pred", "pred_score")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def class_table(preds: DataFrame, labels: list | None = None, by: list[str] | None = None) -> DataFrame:
     """(by, class, tp, n_pred, support, precision, recall, f1) of every class seen as label or prediction, or of a given list."""
     by = by or []
@@ -211,15 +250,25 @@ def early_stop(history: DataFrame, min_delta: float, patience: int, by: str = "r
     return h.select(by, F.aggregate("h", state, step).alias("s")).select(by, F.col("s.at").alias("best_epoch"), F.col("s.best").alias("best_loss"), F.col("s.stopped").alias("stopped_epoch"))
 
 
-def learning_curve(features: DataFrame, sizes: list[int], k: int = 3, name: str = "logistic_regression", seed: int = 0, key: str = "sample_id") -> DataFrame:
-    """size, mean and deviation of the log loss over folds; smaller training sets are prefixes of larger ones by hash."""
+def curve_sizes(n: int, k: int) -> list[int]:
+    """Training sizes of a learning curve of n rows in k folds: up to 12, evenly from 0.12 of a fold's training side to all of it, at least 2."""
+    most = max(2, n - -(-n // k))
+    return sorted({min(most, max(2, int(most * v))) for v in np.linspace(0.12, 1.0, min(12, max(3, n - 1)))})
+
+
+def learning_curve(features: DataFrame, sizes: list[int], k: int = 3, name: str = "logistic_regression", seed: int = 0, key: str = "sample_id", params: dict | None = None) -> DataFrame:
+    """size, mean and deviation of the log loss over folds; smaller training sets are prefixes of larger ones by hash.
+
+    Logistic regression of two classes 0 and 1: all sizes of all folds are fitted in one plan (params C, balanced); other models a job for each."""
     f = written(splits.stratified_kfold(features, k, seed, key))
+    if name == "logistic_regression" and _of_two_classes(f):
+        return _spread(_curve_at_once(f, sizes, k, seed, key, params or {}))
     jobs = [(n, i) for n in sizes for i in range(k)]
 
     def one(job):
         n, i = job
         train = f.where(F.col("fold") != i).orderBy(hash_order(key, seed=seed), key).limit(n)
-        p = fit_score(train.drop("fold"), f.where(F.col("fold") == i).drop("fold"), name)
+        p = fit_score(train.drop("fold"), f.where(F.col("fold") == i).drop("fold"), name, params)
         return written(log_loss(p.where("role = 'test'")).select(F.lit(n).alias("size"), F.lit(i).alias("fold"), "log_loss"))
 
     with ThreadPoolExecutor(4) as pool:
@@ -227,32 +276,31 @@ def learning_curve(features: DataFrame, sizes: list[int], k: int = 3, name: str
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("size").agg(F.avg("log_loss").alias("mean"), F.stddev_samp("log_loss").alias("sd"))
+    return _spread(out)
 
 
-def baseline_oof(features: DataFrame, k: int = 5, seed: int = 0, key: str = "sample_id") -> DataFrame:
-    """Median imputation, standardised columns, balanced logistic regression: out-of-fold scores (k None: one row left out at a time)."""
-    from pyspark.ml.feature import Imputer, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def _spread(losses: DataFrame) -> DataFrame:
+    return losses.groupBy("size").agg(F.avg("log_loss").alias("mean"), F.stddev_samp("log_loss").alias("sd"))
 
-    d = features.select(F.size("embedding")).first()[0]
-    wide = features.select(key, "label", *[F.col("embedding")[i].alias(f"f{i}") for i in range(d)])
-    cols = [f"f{i}" for i in range(d)]
-    k = k or features.count()
-    f = written(splits.stratified_kfold(wide, k, seed, key))
 
-    def one(i):
-        train, test = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
-        imp = Imputer(strategy="median", inputCols=cols, outputCols=cols).fit(train)
-        pack = lambda x: imp.transform(x).withColumn("v0", array_to_vector(F.array(*cols)))
-        scaler = StandardScaler(withMean=True, inputCol="v0", outputCol="v1").fit(pack(train))
-        done = lambda x: scaler.transform(pack(x)).select(key, "label", vector_to_array("v1").alias("embedding"))
-        p = fit_score(done(train).withColumnRenamed(key, "sample_id"), done(test).withColumnRenamed(key, "sample_id"), "logistic_regression", {"balanced": True})
-        return written(p.where("role = 'test'").drop("role").withColumn("fold", F.lit(i)))
+def _curve_at_once(f: DataFrame, sizes: list[int], k: int, seed: int, key: str, params: dict) -> DataFrame:
+    """size, fold, log_loss: the model of size number s and fold i is number s * k + i."""
+    # a row's place among the rows outside fold i is its place among all less the rows of fold i before it
+    upto = {f"__u{i}": (F.col("fold") == i).cast("long") for i in range(k)}
+    x = splits.cumulated(f, [], [hash_order(key, seed=seed), F.col(key)], {"__nth": F.lit(1).cast("long")} | upto)
+    weights = [((F.col("fold") != i) & (F.col("__nth") - F.col(f"__u{i}") <= n)).cast("double") for n in sizes for i in range(k)]
+    rows = x.select(key, "label", "embedding", "fold", F.array(*weights).alias("weights"))
+    rows = written(logistic.balanced(rows, len(weights)) if params.get("balanced") else rows)
+    p = logistic.scored(rows, logistic.fit_folds(rows, len(weights), _penalty(params)))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.col("scores")[F.col("fold") + s * k].alias("pred_score")) for s, n in enumerate(sizes)]))
+    return log_loss(p.select("label", "fold", each.alias("e")).select("label", "fold", "e.*"), ["size", "fold"])
 
-    with ThreadPoolExecutor(4) as pool:
-        parts = list(pool.map(one, range(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def baseline_oof(features: DataFrame, k: int | None = 5, seed: int = 0, key: str = "sample_id", params: dict | None = None) -> DataFrame:
+    """Median imputation, standardised columns, balanced logistic regression of classes 0 and 1: out-of-fold scores (k None: one row left out at a time, for few rows). One plan fits all folds; params C: the penalty's inverse."""
+    k = k or features.count()
+    f = splits.stratified_kfold(features, k, seed, key)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i != F.col("fold")).cast("double"))
+    rows = written(logistic.balanced(written(f.select(key, "label", "embedding", "fold", weights.alias("weights"))), k))
+    p = logistic.scored(rows, logistic.fit_folds(rows, k, _penalty(params or {}), standardise=True)).withColumn("pred_score", F.col("scores")[F.col("fold")])
+    return p.select(F.col(key).alias("sample_id"), F.col("label").cast("int").alias("label"), (F.col("pred_score") > 0.5).cast("int").alias("pred"), "pred_score", "fold")
