@@ -367,7 +367,7 @@ def k5(s, d):
     return K.roc_auc(A.predictions(s, d), ["run_id"]).withColumn("roc_auc", r6("roc_auc"))
 
 
-#: Cells scored for each of the first five labels by a value of their vectors.
+#: Cells scored for each of the ten labels by a value of their vectors.
 _OVR = f"""{EMB}, ps AS (SELECT batch, label, 'L' || c AS class, round(embedding[c + 1], 2) AS pred_score FROM emb, (SELECT unnest(range(10)) AS c)), b AS (SELECT batch, class, CAST(label = class AS INTEGER) AS label, pred_score FROM ps)"""
 _TEN = [f"L{c}" for c in range(10)]
 
