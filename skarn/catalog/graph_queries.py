@@ -166,6 +166,11 @@ def m8b(s, d):
     return M.kbet_per_label(A.embeddings(s, d)).select(r6("kbet").alias("kbet"))
 
 
+@query("m8_kbet_diffused")
+def m8c(s, d):
+    return M.kbet_per_label(A.embeddings(s, d), diffused=True).select(r6("kbet").alias("kbet"))
+
+
 @query("m9_knn_purity_label", f"WITH {_KNN}, p AS (SELECT i, avg(CAST(la = lb AS INTEGER)) AS s FROM knn GROUP BY 1) SELECT round(avg(s), 6) AS purity FROM p")
 def m9(s, d):
     return M.knn_purity(_edges(s, d), A.embeddings(s, d), "label").select(r6("purity").alias("purity"))

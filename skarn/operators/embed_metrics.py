@@ -143,10 +143,20 @@ def lisi(edges: DataFrame, cells: DataFrame, cat: str, kind: str, k: int = 15, s
     return (m.join(n, by) if by else m.crossJoin(n)).select(*by, v.alias(f"{kind}lisi"))
 
 
-def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, by: list[str] | None = None) -> DataFrame:
-    """(by, label, i, chi2, df) of neighbour batches inside the label against the label's shares."""
+def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, by: list[str] | None = None, diffused: bool = False) -> DataFrame:
+    """(by, label, i, chi2, df) of neighbour batches inside the label against the label's shares.
+
+    diffused: of each label's neighbour graph the largest component (ties: that of the smallest cell), and in it the k - 1 others that random walks reach most; ids are unique over `by`."""
     keys = [*(by or []), label]
     e = graph.knn(emb, k, "cosine", within=keys)
+    if diffused:
+        w = written(graph.connectivities(e, k))
+        comp = graph.components(w, emb).join(emb.select("cell_id", *keys), "cell_id")
+        size = comp.groupBy(*keys, "component").agg(F.count("*").alias("__n"), F.min("cell_id").alias("__first"))
+        largest = size.groupBy(*keys).agg(F.min_by("component", F.struct(-F.col("__n"), "__first")).alias("component"))
+        kept = written(comp.join(largest.select("component"), "component", "left_semi").drop("component"))
+        e = graph.diffusion_neighbors(w.join(kept.select(F.col("cell_id").alias("i")), "i", "left_semi"), k - 1).join(kept.withColumnRenamed("cell_id", "i"), "i")
+        emb = emb.join(kept.select("cell_id"), "cell_id", "left_semi")
     obs = e.join(emb.select(F.col("cell_id").alias("j"), F.col(batch).alias("b")), "j").groupBy(*keys, "i", "b").agg(F.count("*").alias("o"))
     share = emb.groupBy(*keys, F.col(batch).alias("b")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys)  # a row per label and batch
@@ -157,9 +167,9 @@ def kbet_statistic(emb: DataFrame, batch: str = "batch", label: str = "label", k
     return x.groupBy(*keys, "i").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - want, 2) / want).alias("chi2"), (F.max("n_batches") - 1).alias("df"))
 
 
-def kbet_per_label(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+def kbet_per_label(emb: DataFrame, batch: str = "batch", label: str = "label", k: int = 15, alpha: float = 0.05, by: list[str] | None = None, diffused: bool = False) -> DataFrame:
     by = by or []
-    s = kbet_statistic(emb, batch, label, k, by).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
+    s = kbet_statistic(emb, batch, label, k, by, diffused).withColumn("p", chi2_sf("chi2", F.col("df").cast("double")))
     return s.groupBy(*by, label).agg(F.avg((F.col("p") >= alpha).cast("double")).alias("accepted")).groupBy(*by).agg(F.avg("accepted").alias("kbet"))
 
 

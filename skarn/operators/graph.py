@@ -191,6 +191,32 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
+def diffusion_neighbors(weights: DataFrame, k: int, width: int = 1024, most: int = 26) -> DataFrame:
+    """weights(i, j, weight) of a symmetric graph -> edges (i, j, rank, reach): the k others of each node that random walks from it reach most.
+
+    reach: the chances of being there after 3, 4, ... steps, added up until every node has k others, or all of its component (at most `most` steps; who has fewer then keeps those). A step is a join and a sum by pair. After each,
+    a walk goes on from its `width` likeliest places (ties: the smallest), so no row is longer; up to that many places it is exact (chances under 5e-16 count as none). Weights of 0 are no edges. Ties of reach, to 12 digits, go to the smaller j."""
+    weights = weights.where("weight > 0")
+    total = weights.groupBy("i").agg(F.sum("weight").alias("t"))
+    move = written(weights.join(total, "i").select(F.col("i").alias("m"), "j", (F.col("weight") / F.col("t")).alias("p")))
+    nodes = written(total.select(F.col("i").alias("cell_id")))
+    comp = components(weights, nodes)
+    wanted = written(comp.join(comp.groupBy("component").agg((F.count("*") - 1).alias("__n")), "component").select(F.col("cell_id").alias("i"), F.least(F.lit(k), "__n").alias("want")))
+    nearest = Window.partitionBy("i")
+    walk, reach = move.select(F.col("m").alias("i"), "j", "p"), None
+    for step in range(2, most + 1):
+        walk = walk.withColumnRenamed("j", "m").join(move.withColumnRenamed("p", "q"), "m").groupBy("i", "j").agg(F.round(F.sum(F.col("p") * F.col("q")), 15).alias("p")).where("p > 0")
+        walk = written(walk.withColumn("__r", F.row_number().over(nearest.orderBy(F.desc("p"), "j"))).where(F.col("__r") <= width).drop("__r"))
+        if step < 3:
+            continue
+        reach = walk if reach is None else written(reach.unionByName(walk).groupBy("i", "j").agg(F.sum("p").alias("p")))
+        found = reach.where("i <> j").groupBy("i").agg(F.count("*").alias("n"))
+        if wanted.join(found, "i", "left").where("coalesce(n, 0) < want").isEmpty():
+            break
+    r = reach.where("i <> j").withColumn("reach", F.round("p", 12))
+    return r.withColumn("rank", F.row_number().over(nearest.orderBy(F.desc("reach"), "j"))).where(F.col("rank") <= k).select("i", "j", "rank", "reach")
+
+
 def components_within(edges: DataFrame, cells: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Components of each label's subgraph: cell_id, by, label, component. by: further columns of cells to keep; ids are unique over all of them."""
     a, b = cells.select(F.col("cell_id").alias("i"), F.col(label).alias("li")), cells.select(F.col("cell_id").alias("j"), F.col(label).alias("lj"))
