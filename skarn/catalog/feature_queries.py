@@ -144,8 +144,8 @@ def t1(s, d):
     return _tokens(s, d)
 
 
-@query("t2_bin_values", f"""WITH {EXPR}, q AS (SELECT cell_id, quantile_cont(value, {[i / 49 for i in range(50)]}) AS e FROM expr WHERE value > 0 GROUP BY 1)
-  SELECT cell_id, gene_id, CAST(1 + len([x FOR x IN e[2:49] IF x < value]) AS INTEGER) AS bin FROM expr JOIN q USING (cell_id) WHERE value > 0""")
+@query("t2_bin_values", f"""WITH {EXPR}, q AS (SELECT cell_id, gene_id, rank() OVER (PARTITION BY cell_id ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY cell_id) AS n FROM expr WHERE value > 0)
+  SELECT cell_id, gene_id, CAST(1 + len([i FOR i IN range(1, 49) IF i * (n - 1) < 49 * below]) AS INTEGER) AS bin FROM q""")
 def t2(s, d):
     return T.bin_values(A.expr(s, d), 51)
 

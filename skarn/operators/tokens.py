@@ -20,12 +20,15 @@ def rank_tokens(expr: DataFrame, medians: DataFrame, vocab: DataFrame, max_len:
 
 
 def bin_values(expr: DataFrame, n_bins: int = 51) -> DataFrame:
-    """Quantile bins of each cell's nonzeros: 1 + inner edges below the value; zeros stay 0."""
+    """Quantile bins of each cell's nonzeros: 1 + inner edges below the value; zeros stay 0.
+
+    Edge i of m lies i (n - 1) / m places up the n sorted values, between its neighbours there. So it is below a value just if that number is less than the count of smaller values: whole numbers decide, not sums of fractions."""
+    m = n_bins - 2
     nz = expr.where("value > 0")
-    steps = [i / (n_bins - 2) for i in range(n_bins - 1)]
-    edges = nz.groupBy("cell_id").agg(F.percentile("value", F.array(*map(F.lit, steps))).alias("edges"))
-    inner = F.slice("edges", 2, n_bins - 3)
-    return nz.join(edges, "cell_id").select("cell_id", "gene_id", (1 + F.aggregate(inner, F.lit(0), lambda a, e: a + (e < F.col("value")).cast("int"))).alias("bin"))
+    own = Window.partitionBy("cell_id")
+    below, n = F.rank().over(own.orderBy("value")).cast("long") - 1, F.count("*").over(own)
+    edges = F.when(F.col("below") > 0, F.least(F.floor((m * F.col("below") - 1) / (F.col("n") - 1)), F.lit(m - 1))).otherwise(0)
+    return nz.withColumns({"below": below, "n": n}).select("cell_id", "gene_id", (1 + edges).cast("int").alias("bin"))
 
 
 def tokenize_pad(expr: DataFrame, vocab: DataFrame, max_len: int, pad: int = -1, cls: int | None = None, seed: int = 0) -> DataFrame:
