@@ -91,3 +91,17 @@ def test_tables_without_cells_or_genes(spark):
     got = axes.sparse_axes(none, cells, genes, 2, False)
     assert [r["embedding"] for r in got[0].collect()] == [[0.0, 0.0]] * 3 and got[1].value.tolist() == [0, 0]
     assert [r["embedding"] for r in axes.sparse_axes(expr, cells, genes.where("false"), 2, True)[0].collect()] == [[]] * 3
+
+
+def test_partial_products_travel_as_chunks(spark, monkeypatch):
+    """A pass over 300 columns brings at most 300 / 64 rows, not one a column, to the driver; columns without values are zero rows."""
+    monkeypatch.setattr(axes, "CHUNK", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 300)) * (rng.random((80, 300)) < 0.2)
+    x[:, 128:192] = 0
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x], "pos array<int>, value array<double>").repartition(5)
+    q, found = rng.normal(size=(300, 4)), []
+    to = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: found.append(to(df)) or found[-1])
+    assert np.allclose(axes.sparse_product(rows, np.zeros(300))(q), x.T @ (x @ q))
+    assert found[0].num_rows == 4  # chunks 0, 1, 3 and 4; none of the empty columns
