@@ -82,16 +82,22 @@ def pad_mask(tokens: DataFrame, length: int | None = None, pad: int = 0) -> Data
 
 def mask_tokens(tokens: DataFrame, p: float = 0.15, seed: int = 0, mask_id: int = -2, n_special: int = 0, vocab_size: int = 1000) -> DataFrame:
     """The share p of a cell's ordinary tokens, by hash: 80 % the mask, 10 % another token, 10 % kept; labels hold what stood there, else -100."""
-    x = tokens.select("cell_id", F.posexplode("input_ids").alias("pos", "tok"))
-    key = hash_order("cell_id", "pos", seed=seed)
-    plain = F.col("tok") >= n_special
-    nth = F.row_number().over(Window.partitionBy("cell_id", plain).orderBy(key, "pos"))
-    n = F.sum(plain.cast("int")).over(Window.partitionBy("cell_id"))
-    x = x.withColumn("key", key).withColumn("hit", plain & (nth <= F.ceil(F.lit(p) * n)))
-    u = uniform(F.reverse("key"))
-    new = F.when(~F.col("hit"), F.col("tok")).when(u < 0.8, F.lit(mask_id)).when(u < 0.9, (n_special + F.conv(F.substring("key", 9, 6), 16, 10).cast("long") % vocab_size).cast("int")).otherwise(F.col("tok"))
-    s = F.array_sort(F.collect_list(F.struct("pos", new.alias("t"), F.when(F.col("hit"), F.col("tok")).otherwise(-100).alias("l"))))
-    return x.groupBy("cell_id").agg(s.alias("a")).select("cell_id", F.col("a.t").alias("input_ids"), F.col("a.l").alias("labels"))
+    key = lambda i: hash_order("cell_id", i, seed=seed)
+    plain = lambda tok: tok >= n_special
+    # a cell's own row holds all it takes: places of plain tokens by key, of which the first are hit
+    places = F.filter(F.transform("input_ids", lambda tok, i: F.struct(key(i).alias("key"), i.alias("pos"), plain(tok).alias("plain"))), lambda p: p["plain"])
+    x = tokens.select("cell_id", "input_ids", F.array_sort(places).alias("__p"))
+    n = F.ceil(F.lit(p) * F.size("__p")).cast("int")
+    x = x.select("cell_id", "input_ids", F.transform(F.slice("__p", F.lit(1), n), lambda q: q["pos"]).alias("__hit"))
+
+    def masked(tok, i):
+        k = key(i)
+        u = uniform(F.reverse(k))
+        other = (n_special + F.conv(F.substring(k, 9, 6), 16, 10).cast("long") % vocab_size).cast("int")
+        return F.when(~F.array_contains("__hit", i), tok).when(u < 0.8, F.lit(mask_id)).when(u < 0.9, other).otherwise(tok)
+
+    labels = F.transform("input_ids", lambda tok, i: F.when(F.array_contains("__hit", i), tok).otherwise(-100))
+    return x.select("cell_id", F.transform("input_ids", masked).alias("input_ids"), labels.alias("labels"))
 
 
 def make_bags(tokens: DataFrame, cells: DataFrame, max_cells: int = 1000, bag: int = 500, max_len: int = 512, seed: int = 0) -> DataFrame:

@@ -67,3 +67,14 @@ def test_mean_pools_that_round_to_zero(spark, tmp_path):
 
 def test_pools_that_round_to_zero(spark, tmp_path):
     _same_bits(spark, tmp_path, "t10_pool_tokens", _tiny(spark))
+
+
+def test_masks_are_made_inside_rows(spark):
+    """No row a token and no shuffle; empty cells and cells of special tokens alone keep theirs."""
+    df = spark.createDataFrame([("a", [1, *range(3, 40), 2]), ("b", [1, 2]), ("c", [])], "cell_id string, input_ids array<int>")
+    out = T.mask_tokens(df, 0.15, 0, -2, 3, 150)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {r["cell_id"]: (r["input_ids"], r["labels"]) for r in out.collect()}
+    assert sum(x != -100 for x in got["a"][1]) == 6 and all(t == o for t, o, h in zip(got["a"][0], df.first()["input_ids"], got["a"][1], strict=True) if h == -100)
+    assert got["b"] == ([1, 2], [-100, -100]) and got["c"] == ([], [])
