@@ -58,3 +58,13 @@ def test_groups_of_block_pairs_hold_every_pair_once(spark):
     rows = graph.block_pairs(emb, emb, block_rows=3).collect()
     assert sorted((a["cell_id"], b["cell_id"]) for r in rows for a in r["a"] for b in r["b"]) == sorted((str(i), str(j)) for i in range(60) for j in range(60))
     assert len({r["i"] for r in rows}) == len({tuple(x["cell_id"] for x in r["a"]) for r in rows})
+
+
+def test_distance_sums_by_category():
+    """Against all distances at once, over several slices and a category without rows."""
+    from skarn.operators.embed_metrics import _distance_sums
+
+    rng = np.random.default_rng(4)
+    x, y, at = rng.normal(size=(600, 8)), rng.normal(size=(5000, 8)), rng.integers(0, 3, 5000)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    assert np.allclose(_distance_sums(x, y, at, 4), np.stack([d[:, at == k].sum(1) for k in range(4)], 1))
