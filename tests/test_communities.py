@@ -103,3 +103,26 @@ def test_separate_graphs_and_odd_edges(spark):
     assert {k: v for k, v in got.items() if k[0] == "a"} == alone == {"a1": "a1", "a2": "a1", "a3": "a1", "a4": "a4", "a5": "a4", "a6": "a4"}
     assert {k: v for k, v in got.items() if k[0] == "b"} == {x: f"{x[:2]}0" for x in got if x[0] == "b"}
     assert N.communities(edges.where("false")).collect() == []
+
+
+def test_a_block_ends_where_no_node_gains():
+    """Packed lists, a block of 300 nodes that knows 60 others by their communities alone: those stand still, and afterwards no move of a node of the block gains."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, own = 360, 300
+    w = np.triu(np.where(rng.random((n, n)) < np.where(np.arange(n)[:, None] % 6 == np.arange(n) % 6, 0.2, 0.02), rng.uniform(0.5, 1, (n, n)), 0), 1)
+    w = w + w.T
+    k, c = w.sum(1), np.where(np.arange(n) < own, np.arange(n), own + np.arange(n) % 6)
+    size, count = np.bincount(c, k, minlength=n), np.bincount(c, minlength=n)
+    rows = [{"i": i, "c": int(c[i]), "d": size[c[i]], "n": int(count[c[i]]), "k": k[i] if i < own else None, "two_m": k.sum() if i < own else None,
+             "js": np.flatnonzero(w[i]).tolist() if i < own else None, "ws": w[i][w[i] > 0].tolist() if i < own else None} for i in rng.permutation(n).tolist()]
+    got = N._settle(pa.Table.from_pylist(rows), 1.0, False).to_pylist()
+    assert [r["i"] for r in got] == list(range(own)) and all(r["moved"] == (r["c"] != r["i"]) for r in got)
+    c[:own] = [r["c"] for r in got]
+    size, count = np.bincount(c, k, minlength=n), np.bincount(c, minlength=n)
+    for i in range(own):
+        gain = np.bincount(c, w[i], minlength=n) / k[i] - (size - np.where(np.arange(n) == c[i], k[i], 0)) / k.sum()
+        near = np.unique(c[w[i] > 0])
+        assert gain[near].max() <= gain[c[i]] + 1e-9
+    assert len(set(c.tolist())) < 30
