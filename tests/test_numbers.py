@@ -459,3 +459,16 @@ def test_a_null_group_is_a_group(spark):
     a, b = (N.knn(x, 4, within=["label"]).select(F.coalesce("label", F.lit("none")), "i", "j", "rank", "distance") for x in (some, named))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.select("i").distinct().count() == len(rows)
     assert M.batch_asw(some).first()["batch_asw"] == pytest.approx(M.batch_asw(named).first()["batch_asw"])
+
+
+def test_benchmark_fits_an_embeddings_clusters_once(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    from skarn.operators import embed_metrics as M
+
+    fits, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    monkeypatch.setattr(M, "embedding_suite", lambda *a, **k: spark.createDataFrame([], "key string, metric string, value double, error string"))
+    emb = spark.createDataFrame([("e", f"c{i}", [float(10 * (i % 2)), i / 100], f"B{i // 2 % 2}", f"L{i % 2}") for i in range(24)], "key string, cell_id string, embedding array<double>, batch string, label string")
+    got = {r["metric"]: (r["value"], r["error"]) for r in M.benchmark(emb).collect()}
+    assert len(fits) == 1 and all(got[m][1] is None and abs(got[m][0] - 1) < 1e-9 for m in ("nmi_kmeans", "ari_kmeans"))
