@@ -5,7 +5,8 @@ of each vector's list (its best so far, and REVERSE of those that list it) are c
 that were there before, aren't compared again.
 
 No list is longer than k - 1 + REVERSE, whatever is near to whatever: a vector that many others list hears from the nearest REVERSE of them, picked before the shuffle; equal vectors are ordered by id. A task
-holds one list's vectors at a time.
+compares many lists at once, CELLS pairs of them. Of a list's pairs only those leave it that are no farther than the farthest of a full list of the one they are for; lists without a new member aren't sent.
+Inside, vectors are numbered in the order of their ids, and have single precision where that loses nothing.
 """
 
 import numpy as np
@@ -14,39 +15,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
-from .graph import distances
 from .splits import ranked
 
-LEAF, REVERSE = 24, 8
+LEAF, REVERSE, CELLS = 24, 8, 1 << 18
 
 
 def _first(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def _compared(t: pa.Table, keep: int, metric: str) -> pa.Table:
-    """Rows (u, embedding, new, leaves) of one list -> (i, j, d): the nearest of each among those not compared before, and a row without ids that counts comparisons."""
-    names, n = t.column("u").to_pylist(), len(t)
-    x = np.asarray(t.column("embedding").to_pylist())
-    new = t.column("new").to_numpy(zero_copy_only=False)
-    open_ = new[:, None] | new[None, :]
-    if "leaves" in t.column_names:
-        leaves = np.asarray(t.column("leaves").to_pylist())
-        open_ &= ~(leaves[:, None] == leaves[None]).any(-1)
-    np.fill_diagonal(open_, False)
-    d = np.where(open_, np.round(distances(x, x, metric), 6) + 0.0, np.inf)
+def _distances(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded distances inside each of many lists (list, member, component); infinite where there is none."""
+    dots, own = x @ x.transpose(0, 2, 1), np.einsum("gid,gid->gi", x, x)
+    if metric == "cosine":
+        norm = np.sqrt(own)
+        d = 1 - dots / np.maximum(norm[:, :, None] * norm[:, None], 1e-300)
+    else:
+        d = np.sqrt(np.maximum(own[:, :, None] + own[:, None] - 2 * dots, 0))
+    d = np.round(d, 6) + 0.0
     d[np.isnan(d)] = np.inf
-    order = np.argsort(d, axis=1, kind="stable")[:, :keep]
-    a, b = np.nonzero(np.isfinite(np.take_along_axis(d, order, 1)))
-    b = order[a, b]
-    return pa.table({"i": [None, *(names[k] for k in a)], "j": [None, *(names[k] for k in b)], "d": [float(open_.sum() // 2), *d[a, b].tolist()]}, schema=pa.schema([("i", pa.string()), ("j", pa.string()), ("d", pa.float64())]))
+    return d
+
+
+def _whole(batches):
+    """Tables of whole lists from batches of rows in the order of their list p."""
+    rest: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        p = b.column(0).to_numpy()
+        cut = int(np.searchsorted(p, p[-1]))
+        if cut:
+            yield pa.Table.from_batches([*rest, b.slice(0, cut)])
+            rest = []
+        rest.append(b.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _compared(t: pa.Table, keep: int, metric: str):
+    """Rows (p, u, embedding, and from the second time on new, bound, leaves) of lists p -> (i, j, d): of each member the nearest of those not compared before, none beyond its bound, and rows without ids that count comparisons."""
+    p, u = t.column("p").to_numpy(), t.column("u").to_numpy()
+    flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    x, again = flat("embedding"), "new" in t.column_names
+    if again:
+        new, bound, leaves = t.column("new").to_numpy(), t.column("bound").to_numpy(), flat("leaves")
+    order = np.lexsort((u, p))
+    first = np.flatnonzero(np.diff(p[order], prepend=p.min() - 1))
+    size = np.diff(first, append=len(p))
+    for m in np.unique(size[size > 1]).tolist():
+        starts, step = first[size == m], max(CELLS // (m * m), 1)
+        for lo in range(0, len(starts), step):
+            at = order[starts[lo : lo + step, None] + np.arange(m)]
+            open_ = np.broadcast_to(~np.eye(m, dtype=bool), (len(at), m, m))
+            if again:
+                open_ = open_ & (new[at][:, :, None] | new[at][:, None])
+                for leaf in leaves.T:
+                    open_ &= leaf[at][:, :, None] != leaf[at][:, None]
+            d = np.where(open_, _distances(x[at].astype("f8"), metric), np.inf)
+            near = np.isfinite(d) & (d <= bound[at][:, :, None]) if again else np.isfinite(d)
+            some = np.nonzero(near.any(2))
+            d, own, others = np.where(near[some], d[some], np.inf), at[some], at[some[0]]
+            nth = np.argsort(d, axis=1, kind="stable")[:, :keep]
+            d = np.take_along_axis(d, nth, 1)
+            a, b = np.nonzero(np.isfinite(d))
+            count = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([count, count, pa.array([float(open_.sum() // 2)])], names=["i", "j", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(u[own[a]]), pa.array(u[others[a, nth[a, b]]]), pa.array(d[a, b])], names=["i", "j", "d"])
 
 
 def knn_descent(emb: DataFrame, k: int = 15, metric: str = "euclidean", *, trees: int = 6, most_rounds: int = 12, until: float = 0.005, seed: int = 1) -> tuple[DataFrame, dict]:
     """emb(cell_id, embedding) -> edges (i, j, rank, distance), k - 1 of each cell (fewer in tables of fewer), ties by j; and figures: comparisons, their share of all pairs, rounds, the longest list compared.
 
     cell_id must not repeat; rows with a null id or vector are left out. Vectors that are zero have no cosine to others and come last."""
-    v = written(emb.where("cell_id is not null and embedding is not null").select(F.col("cell_id").cast("string").alias("u"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
+    named = emb.where("cell_id is not null and embedding is not null").select(F.col("cell_id").cast("string").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    named = written(ranked(named, [], [F.col("name")]).select("name", F.col("__nth").cast("long").alias("u"), "embedding"))
+    single = lambda x: x.cast("float")
+    v = named.select("u", "embedding")
+    if v.where(F.exists("embedding", lambda x: single(x).cast("double") != x)).isEmpty():
+        v = v.withColumn("embedding", F.transform("embedding", single))
     n = v.count()
     if n < 2 or k < 2:
         none = v.sparkSession.createDataFrame([], "i string, j string, rank int, distance double")
@@ -62,20 +109,28 @@ def knn_descent(emb: DataFrame, k: int = 15, metric: str = "euclidean", *, trees
     def place(batches):
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("f8") - mean
                 for t in range(trees):
                     code = ((x @ planes[t].T > 0) << np.arange(bits)).sum(1) if bits else np.zeros(len(x), "i8")
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), t, "i4")), pa.array(code.astype("i8")), pa.array(x @ lines[t])], names=["u", "t", "code", "at"])
 
-    placed = ranked(v.mapInArrow(place, "u string, t int, code long, at double"), ["t"], [F.col("code"), F.col("at"), F.col("u")])
+    placed = ranked(v.mapInArrow(place, "u long, t int, code long, at double"), ["t"], [F.col("code"), F.col("at"), F.col("u")])
     placed = written(placed.select("u", "t", F.floor((F.col("__nth") - 1) / LEAF).alias("leaf")))
-    compared = _compared  # goes with the job
-    edge = "i string, j string, d double"
-    met = written(placed.join(v, "u").withColumn("new", F.lit(True)).groupBy("t", "leaf").applyInArrow(lambda t: compared(t, keep, metric), edge))
+    whole, compared = _whole, _compared  # go with the job
+
+    def met_in(rows):
+        run = lambda batches: (b for t in whole(batches) for b in compared(t, keep, metric))
+        return written(rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, "i long, j long, d double"))
+
+    def nearest(pairs, *more):
+        """The first `keep` of each i; rows are dealt by i once for both steps."""
+        return _first(pairs.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"), *more), "i", ["d", "j"], keep)
+
+    met = met_in(placed.join(v, "u").select((F.col("leaf") * trees + F.col("t")).cast("long").alias("p"), "u", "embedding"))
     total = met.where("i is null").agg(F.sum("d")).first()[0] or 0.0
-    near = met.where("i is not null").groupBy("i", "j").agg(F.min("d").alias("d"))
-    lists = written(_first(near, "i", ["d", "j"], keep).withColumn("new", F.lit(True)))
-    v = written(v.join(placed.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "leaf"))), lambda x: x["leaf"]).alias("leaves")), "u"))
+    lists = written(nearest(met.where("i is not null")).withColumn("new", F.lit(True)))
+    leaves = placed.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "leaf"))), lambda x: x["leaf"].cast("int")).alias("leaves"))
+    v = written(v.join(leaves, "u"))
     rounds = longest = 0
     while rounds < most_rounds:
         rounds += 1
@@ -83,13 +138,17 @@ def knn_descent(emb: DataFrame, k: int = 15, metric: str = "euclidean", *, trees
         members = lists.select(F.col("i").alias("p"), F.col("j").alias("u"), "d", "new").unionByName(back).groupBy("p", "u").agg(F.max("new").alias("new"))
         members = written(members)
         longest = max(longest, members.groupBy("p").count().agg(F.max("count")).first()[0])
-        met = written(members.join(v, "u").groupBy("p").applyInArrow(lambda t: compared(t, keep, metric), edge))
+        changed = members.where("new").select("p").distinct()
+        bound = lists.groupBy(F.col("i").alias("u")).agg(F.when(F.count("*") == keep, F.max("d")).otherwise(float("inf")).alias("bound"))
+        sent = v.join(bound, "u", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        met = met_in(members.join(changed, "p", "left_semi").join(sent, "u").select("p", "u", "embedding", "new", "bound", "leaves"))
         total += met.where("i is null").agg(F.sum("d")).first()[0] or 0.0
         old = lists.select("i", "j", "d", F.lit(False).alias("new"))
-        near = old.unionByName(met.where("i is not null").select("i", "j", "d", F.lit(True).alias("new"))).groupBy("i", "j").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-        lists = written(_first(near, "i", ["d", "j"], keep))
+        lists = written(nearest(old.unionByName(met.where("i is not null").withColumn("new", F.lit(True))), F.min("new").alias("new")))
         if lists.where("new").count() <= until * n * keep:
             break
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    edges = lists.select("i", "j", rank.alias("rank"), F.col("d").alias("distance"))
+    names = named.select("name", "u")
+    edges = lists.select("i", "j", rank.alias("rank"), F.col("d").alias("distance")).join(names.toDF("__i", "i"), "i").join(names.toDF("__j", "j"), "j")
+    edges = edges.select(F.col("__i").alias("i"), F.col("__j").alias("j"), "rank", "distance")
     return edges, {"comparisons": int(total), "share_of_pairs": total / (n * (n - 1) / 2), "rounds": rounds, "longest_list": int(longest)}

@@ -1,6 +1,7 @@
 """Neighbour descent against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skarn.operators import descent as D
@@ -53,3 +54,32 @@ def test_copies_hubs_and_small_tables(spark):
     for n in (0, 1, 2, 4):
         few, figures = D.knn_descent(table(spark, rng.normal(size=(n, 3))) if n else table(spark, x).where("false"), 6)
         assert few.count() == n * (n - 1) and figures["share_of_pairs"] <= 1.0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_many_lists_at_once_send_only_what_can_enter(metric, monkeypatch):
+    """Lists of 1 to 5 members cut by batches: pairs with a new member and no common leaf, none beyond the bound of the member they are for; few calls for many lists."""
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 6, 200)
+    p = np.repeat(np.arange(200), size)
+    n = len(p)
+    u, x, new, leaves = rng.permutation(n), rng.normal(size=(n, 3)).astype("f4"), rng.random(n) < 0.5, rng.integers(0, 4, (n, 2))
+    bound = np.where(rng.random(n) < 0.3, np.inf, rng.uniform(0, 2, n))
+    t = pa.table({"p": p, "u": u, "embedding": list(x), "new": new, "bound": bound, "leaves": list(leaves)})
+    want, count = {}, 0
+    for a in range(n):
+        for b in range(n):
+            if a != b and p[a] == p[b] and (new[a] or new[b]) and not (leaves[a] == leaves[b]).any():
+                v, w = x[a].astype(float), x[b].astype(float)
+                d = np.linalg.norm(v - w) if metric == "euclidean" else 1 - v @ w / np.sqrt(v @ v * (w @ w))
+                count += 1
+                if d <= bound[a]:
+                    want[u[a], u[b]] = d
+    calls, distances = [0], D._distances
+    monkeypatch.setattr(D, "_distances", lambda y, m: calls.append(1) or distances(y, m))
+    whole = list(D._whole(t.to_batches(max_chunksize=64)))
+    assert sum(len(w) for w in whole) == n and all(set(a.column("p").to_pylist()).isdisjoint(b.column("p").to_pylist()) for a, b in zip(whole, whole[1:], strict=False))
+    rows = [r for w in whole for b in D._compared(w, 9, metric) for r in b.to_pylist()]
+    got = {(r["i"], r["j"]): r["d"] for r in rows if r["i"] is not None}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert sum(r["d"] for r in rows if r["i"] is None) * 2 == count and sum(calls) <= 5 * len(whole)
