@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.operators import graph
 
@@ -68,3 +69,32 @@ def test_distance_sums_by_category():
     x, y, at = rng.normal(size=(600, 8)), rng.normal(size=(5000, 8)), rng.integers(0, 3, 5000)
     d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
     assert np.allclose(_distance_sums(x, y, at, 4), np.stack([d[:, at == k].sum(1) for k in range(4)], 1))
+
+
+def test_distance_runs_over_slices():
+    """Runs that begin inside, at and beyond the edges of slices."""
+    from skarn.operators.embed_metrics import _distance_runs
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 8)), rng.normal(size=(5000, 8))
+    starts = np.array([0, 1, 2047, 2048, 4096, 4999])
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    assert np.allclose(_distance_runs(x, y, starts), np.add.reduceat(d, starts, axis=1))
+
+
+def test_a_suite_computes_distances_once(spark, monkeypatch):
+    """The three silhouettes of one pass equal those of a pass each; two groups, blocks of 20, a null label, a batch of one; the suite pairs all its blocks for them once."""
+    from skarn.operators import embed_metrics as M
+
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 2}", str(i), rng.normal(size=5).tolist(), None if i % 31 == 0 else f"L{i % 3}", "B9" if i == 7 else f"B{i % 5 % 2}") for i in range(120)]
+    emb = spark.createDataFrame(rows, "run string, cell_id string, embedding array<double>, label string, batch string")
+    sums = M.distance_sums(emb, by=["run"], block_rows=20).cache()
+    for kind, keys, plain in (("label", ["run"], M.silhouette_samples(emb, "label", ["run"])), ("batch", ["run"], M.silhouette_samples(emb, "batch", ["run"])), ("within", ["run", "label"], M.silhouette_samples(emb, "batch", ["run", "label"]))):
+        got, want = ({tuple(r)[:-1]: r["s"] for r in t.collect()} for t in (M._silhouettes(sums.where(f"kind = '{kind}'"), keys), plain))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), kind
+    paired, block_pairs = [], M.graph.block_pairs
+    monkeypatch.setattr(M.graph, "block_pairs", lambda a, b, within=None, block_rows=None: paired.append("cat" in a.columns and a.schema["cat"].dataType.typeName()) or block_pairs(a, b, within, block_rows))
+    monkeypatch.setattr(M, "silhouette_samples", None)
+    values = {(r["run"], r["metric"]): r for r in M.embedding_suite(emb, k=5, clusters=emb.select("run", "cell_id", F.col("label").alias("community")), by=["run"]).collect()}
+    assert paired.count("struct") == 1 and not [r for r in values.values() if r["error"]]
