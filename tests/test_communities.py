@@ -105,6 +105,25 @@ def test_separate_graphs_and_odd_edges(spark):
     assert N.communities(edges.where("false")).collect() == []
 
 
+def test_graphs_of_their_own_are_cut_as_if_alone(spark, monkeypatch):
+    """Two noisy graphs of some 600 edges and one of some 1,200, together over a block: each is cut only if it is over a block itself, and one that isn't has the communities that it has alone."""
+    rng = np.random.default_rng(5)
+    graphs = {g: [(f"{g}{a:03}", f"{g}{b:03}", float(rng.uniform(0.5, 1))) for a in range(60) for b in range(a) if rng.random() < p] for g, p in zip("abc", (0.16, 0.17, 0.34), strict=True)}
+    small, other, large = (2 * len(e) for e in graphs.values())
+    edges = written(table(spark, [e for x in graphs.values() for e in x]))
+    groups = edges.select("i").distinct().selectExpr("i", "left(i, 1) as g")
+    asked, settle = [], N._in_blocks
+    monkeypatch.setattr(N, "_in_blocks", lambda *a: asked.append(a[4:]) or settle(*a))
+    found = lambda e, g=None: {r["cell_id"]: r["community"] for r in N.communities(e, 1.0, groups=g).collect()}
+    alone = found(table(spark, graphs["a"]))
+    for most in (700, 1_300):
+        assert max(small, other) < 700 < large < 1_300 < small + other + large
+        monkeypatch.setattr(N, "BLOCK_EDGES", most)
+        asked.clear()
+        assert {k: v for k, v in found(edges, groups).items() if k[0] == "a"} == alone
+        assert all(within or whole == [True] for within, *whole in asked) == (most > large)  # where no graph is cut, no node is sent beside its block
+
+
 def test_a_block_ends_where_no_node_gains():
     """Packed lists, a block of 300 nodes that knows 60 others by their communities alone: those stand still, and afterwards no move of a node of the block gains."""
     import pyarrow as pa
