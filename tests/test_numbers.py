@@ -214,6 +214,22 @@ def test_bootstrapped_runs_equal_the_suite_of_each_run(spark):
         assert r["n_runs"] == 2 and r["n_failed"] == 0 and r["mean"] == pytest.approx(np.mean(v)) and r["sd"] == pytest.approx(np.std(v, ddof=1)) and r["median"] == pytest.approx(np.median(v))
 
 
+def test_a_sample_is_written_before_it_is_ranked(spark, monkeypatch):
+    """The ranking reads about the sampled rows alone, not the whole table again for every run; a run has the first of each class by md5, or all of a small table."""
+    from hashlib import md5
+
+    rows = [(f"c{i}", f"g{i % 3 and 1}") for i in range(600)]
+    df, seen, ranked = spark.createDataFrame(rows, "cell_id string, g string"), [], P.ranked
+    monkeypatch.setattr(P, "ranked", lambda x, *a: seen.append(x) or ranked(x, *a))
+    for n in (30, 1_000):
+        seen.clear()
+        got = {(r["run"], r["cell_id"]) for r in P.bootstrap_samples(df, 4, n, "g", 5).collect()}
+        of = lambda run, g: sorted((c for c, x in rows if x == g), key=lambda c: md5(f"{c}:{run + 5}".encode()).hexdigest())
+        assert got == {(run, c) for run in range(4) for g, k in (("g0", n // 3), ("g1", n - n // 3)) for c in of(run, g)[:k]}
+        plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert len(seen) == 1 and "Generate" not in plan and "md5" not in plan and seen[0].count() <= 4 * n + 40
+
+
 def test_benchmark_of_two_embeddings(spark):
     """Of unlike lengths; each key as if it were alone."""
     e, rows = table(spark, shift=4.0)
