@@ -678,6 +678,22 @@ def test_every_shard_of_a_few_hundred_members_is_a_hierarchy(spark, n, shards):
     assert (got <= true).all() and got.sum() >= 0.99 * true.sum()
 
 
+def test_of_two_shards_one_asks_the_other(spark, monkeypatch):
+    """Links between shards are looked for once and count for both ends, copies included; large tables get further shards, whose first beams do."""
+    ids, v, _ = shard_of_groups(4000)
+    v = np.concatenate([v, v[:700]])  # equal vectors: copies on either side of a link
+    ids = np.arange(len(v)) * 2 + 1
+    true = (v @ v.T >= 0.9).sum(1) - 1
+    df = common.prepare(spark) and spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    for most, n in ((700, 6), (600, 7), (500, 8)):  # even and odd numbers of shards
+        monkeypatch.setattr(hnsw, "MEMBERS", most)
+        got, audits = hnsw.with_audits(df, shards=1)
+        assert audits.count() == n and audits.where(f"beam <> {hnsw.BEAM} or recall < 0.99").count() == 0
+        n_links = {r["vec_id"]: r["n_links"] for r in got.collect()}
+        got = np.asarray([n_links[i] for i in ids.tolist()])
+        assert (got <= true).all() and got.sum() >= 0.99 * true.sum()
+
+
 def test_graph_search_recall_over_several_layers(monkeypatch):
     monkeypatch.setattr(hnsw, "DIRECT", 256)  # else 6,000 vectors have one layer below the one compared directly
     rng = np.random.default_rng(3)
