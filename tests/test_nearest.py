@@ -98,3 +98,41 @@ def test_a_suite_computes_distances_once(spark, monkeypatch):
     monkeypatch.setattr(M, "silhouette_samples", None)
     values = {(r["run"], r["metric"]): r for r in M.embedding_suite(emb, k=5, clusters=emb.select("run", "cell_id", F.col("label").alias("community")), by=["run"]).collect()}
     assert paired.count("struct") == 1 and not [r for r in values.values() if r["error"]]
+
+
+def test_distances_are_computed_once_for_both_ends(spark, monkeypatch):
+    """Of 5 blocks and of 4 each meets itself and half of the others; both ends get their sums."""
+    from skarn.operators import embed_metrics as M
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(600, 5)), rng.normal(size=(2500, 5))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    xs, ys = np.array([0, 3, 255, 256, 590]), np.array([0, 1, 2048, 2400])
+    there, back = M._distance_both(x, y, xs, ys)
+    assert np.allclose(there, np.add.reduceat(d, ys, axis=1)) and np.allclose(back, np.add.reduceat(d.T, xs, axis=1))
+    emb = spark.createDataFrame([(f"c{i}", v.tolist(), f"L{i % 3}", f"B{i % 2}") for i, v in enumerate(x[:100])], "cell_id string, embedding array<double>, label string, batch string")
+    for rows, pairs in ((20, 15), (25, 10)):
+        met = []
+        of = M.graph.once
+        monkeypatch.setattr(M.graph, "once", lambda pairs, of=of: met.append(of(pairs)) or met[-1])
+        t = M.distance_sums(emb, block_rows=rows).where("kind = 'label'").cache()
+        assert met[0].count() == pairs
+        got = {(r["i"], r["other"]): (r["d"], r["n"]) for r in t.collect()}
+        e = np.sqrt(((x[:100, None] - x[None, :100]) ** 2).sum(2))
+        assert len(got) == 300 and all(np.isclose(got[f"c{i}", f"L{k}"][0], e[i, k::3].sum()) and got[f"c{i}", f"L{k}"][1] == len(e[i, k::3]) for i in range(100) for k in range(3))
+        monkeypatch.setattr(M.graph, "once", of)
+
+
+def test_a_benchmark_takes_isolated_labels_from_the_suites_silhouettes(spark, monkeypatch):
+    """Label L0 is in one batch, the others in two: its silhouettes alone are averaged; there is no pass over the distances beside the suite's."""
+    from skarn.operators import embed_metrics as M
+
+    rng = np.random.default_rng(9)
+    emb = spark.createDataFrame([("k", f"c{i}", rng.normal(size=4).tolist(), f"B{0 if i % 3 == 0 else i % 2}", f"L{i % 3}") for i in range(60)], "key string, cell_id string, embedding array<double>, batch string, label string")
+    samples, more = M.silhouette_samples(emb, "label", ["key"]), {}
+    monkeypatch.setattr(M, "silhouette_samples", None)
+    monkeypatch.setattr(M, "embedding_suite", lambda *a, **b: more.update(b["more"]) or spark.createDataFrame([], "key string, metric string, value double, error string"))
+    got = M.benchmark(emb).collect()
+    assert {r["metric"] for r in got} == {"nmi_kmeans", "ari_kmeans"} and not [r for r in got if r["error"]]
+    (key, value), = more["isolated_label_asw"](samples).collect()
+    assert key == "k" and np.isclose(value, (np.mean([r["s"] for r in samples.collect() if r["cat"] == "L0"]) + 1) / 2)
